@@ -184,3 +184,8 @@ def event_to_model_features(df: DataFrame, names: Sequence[str], key: str = "seq
         F.struct(F.lit(n).alias("feature"), event_feature_value(n).alias("value")) for n in names
     ])
     return df.select(key, F.inline(pairs))
+
+
+def join_labels(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Features and labels matched by row key, never by position."""
+    return features.join(labels, key)

@@ -400,7 +400,7 @@ MODEL_NAMES = ["model_confidence", "attack_angle", "src_ip", "geo_code", "timest
 @query("b40_event_to_model_features", "telemetry", """
 SELECT seq, f.feature, CASE f.feature WHEN 'model_confidence' THEN CAST(CAST(confidence AS DECIMAL(10,4)) AS VARCHAR) WHEN 'attack_angle' THEN CAST(vector AS VARCHAR)
  WHEN 'src_ip' THEN src_ip WHEN 'geo_code' THEN CASE WHEN seq % 3 = 0 THEN 'unknown' ELSE dst_ip END
- WHEN 'timestamp_ms' THEN CAST(epoch_ms(ts) AS VARCHAR) WHEN 'threat_kind' THEN label WHEN 'activity_last' THEN CAST(k AS VARCHAR) ELSE '0' END AS value
+ WHEN 'timestamp_ms' THEN CAST((epoch_us(ts) // 1000) AS VARCHAR) WHEN 'threat_kind' THEN label WHEN 'activity_last' THEN CAST(k AS VARCHAR) ELSE '0' END AS value
 FROM telemetry, (VALUES ('model_confidence'), ('attack_angle'), ('src_ip'), ('geo_code'), ('timestamp_ms'), ('threat_kind'), ('activity_last'), ('other')) f(feature)""")
 def model_features(spark, sf):
     t = views.telemetry(spark, sf).select(
