@@ -108,26 +108,26 @@ def dominant_vector(df: DataFrame) -> DataFrame:
 
 # --- threat index ------------------------------------------------------------------------
 
-def _contribution(severity: Column) -> Column:
+def index_contribution(severity: Column) -> Column:
     return coerce.severity_weight(severity) * EMA_GAIN
 
 
 def threat_index_per_source(df: DataFrame) -> DataFrame:
     """The index after every event of each source."""
-    rows = df.select("seq", "src_ip", _contribution(F.col("severity")).alias("_w"))
+    rows = df.select("seq", "src_ip", index_contribution(F.col("severity")).alias("_w"))
     return ordering.decayed_sum(rows, ["src_ip"], "seq", "_w", "threat_index").drop("_w")
 
 
 def threat_index_trajectory(df: DataFrame) -> DataFrame:
     """The global index after every event."""
-    rows = df.select("seq", _contribution(F.col("severity")).alias("_w"))
+    rows = df.select("seq", index_contribution(F.col("severity")).alias("_w"))
     return ordering.decayed_sum(rows, [], "seq", "_w", "threat_index").drop("_w")
 
 
 def threat_index_final(df: DataFrame, per_source: bool = False) -> DataFrame:
     """The index after the newest event, over all events or for each source."""
     return ordering.decayed_sum_last(
-        df, ["src_ip"] if per_source else [], "seq", _contribution(F.col("severity")), "threat_index"
+        df, ["src_ip"] if per_source else [], "seq", index_contribution(F.col("severity")), "threat_index"
     )
 
 

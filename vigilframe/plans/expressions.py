@@ -43,13 +43,13 @@ def dates(spark, sf):
 
 
 @query("h4_math_functions", "telemetry", """
-SELECT seq, round(tanh(confidence), 9) AS tanh, round(ln(1 + k), 9) AS log1p, round(sqrt(k), 9) AS sqrt, round(confidence, 2) AS rounded,
+SELECT seq, round(tanh(confidence), 9) AS tanh, round(ln(1 + k), 9) AS log1p, round(sqrt(k), 9) AS sqrt, round(vector, 0) AS rounded,
  least(greatest(k, 10), 90) AS clipped, abs(k - 50) AS away, CAST(((k - 50) % 7 + 7) % 7 AS INT) AS modulo, round(sin(radians(vector)), 9) + 0 AS sine, round(cos(radians(vector)), 9) + 0 AS cosine FROM telemetry""")
 def maths(spark, sf):
     k = F.col("k")
     return views.telemetry(spark, sf).select(
         "seq", F.round(F.tanh("confidence"), 9).alias("tanh"), F.round(F.log1p(k), 9).alias("log1p"), F.round(F.sqrt(k), 9).alias("sqrt"),
-        F.round("confidence", 2).alias("rounded"), F.least(F.greatest(k, F.lit(10)), F.lit(90)).alias("clipped"), F.abs(k - 50).alias("away"),
+        F.round("vector", 0).alias("rounded"), F.least(F.greatest(k, F.lit(10)), F.lit(90)).alias("clipped"), F.abs(k - 50).alias("away"),
         F.pmod(k - 50, F.lit(7)).alias("modulo"), F.round(F.sin(F.radians("vector")), 9).alias("sine"), F.round(F.cos(F.radians("vector")), 9).alias("cosine"))
 
 

@@ -86,7 +86,6 @@ def stream_summary(spark, sf):
 @query("i5_stream_threat_index", "telemetry", f"""WITH {ema('PARTITION BY src_ip')}
 SELECT src_ip, round(arg_max(s, seq), 6) AS threat_index, count(*) AS events FROM ema GROUP BY 1""")
 def stream_index(spark, sf):
-    jobs.use_rocksdb(spark)
     out = sinks.drain_to_table(jobs.threat_index_stream(telemetry_stream(spark, sf)), "update", ["src_ip"])
     return out.withColumn("threat_index", F.round("threat_index", 6))
 

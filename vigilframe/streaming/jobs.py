@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigilframe.functions import bands
@@ -90,41 +89,39 @@ def _newest_per_source(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield newest
 
 
-class ThreatIndexProcessor(StatefulProcessor):
-    """Keeps the newest contributions of a source; its index is their decayed sum."""
+INDEX_STATE = T.StructType([T.StructField("recent", T.StringType()), T.StructField("events", T.LongType())])
+INDEX_SCHEMA = "src_ip string, threat_index double, events bigint"
+IDLE_MS = 24 * 3600 * 1000
 
-    TTL_MS = 24 * 3600 * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = T.StructType([T.StructField("recent", T.StringType()), T.StructField("events", T.LongType())])
-        self._state = handle.getValueState("index", fields, self.TTL_MS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self._state.get() if self._state.exists() else None
-        recent = [tuple(x) for x in json.loads(held[0])] if held else []
-        events = held[1] if held else 0
-        for pdf in rows:
-            events += int(pdf["events"].sum())
-            recent = sorted(recent + list(zip(pdf["seq"].tolist(), pdf["w"].tolist())))[-ordering.REACH:]
-        self._state.update((json.dumps(recent), events))
-        index = sum(w * 0.5**age for age, (_, w) in enumerate(reversed(recent)))
-        yield pd.DataFrame({"src_ip": [key[0]], "threat_index": [float(index)], "events": [events]})
-
-    def close(self) -> None:
-        pass
-
-
-INDEX_SCHEMA = T.StructType([
-    T.StructField("src_ip", T.StringType()), T.StructField("threat_index", T.DoubleType()), T.StructField("events", T.LongType()),
-])
+def _advance_index(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keep the newest contributions of a source; its index is their decayed sum."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    held = state.get if state.exists else ("[]", 0)
+    recent, events = [tuple(x) for x in json.loads(held[0])], int(held[1])
+    newest_ms = state.getCurrentWatermarkMs()
+    for pdf in batches:
+        events += int(pdf["events"].sum())
+        newest_ms = max(newest_ms, int(pdf["ts"].max().timestamp() * 1000))
+        recent = sorted(recent + list(zip(pdf["seq"].tolist(), pdf["w"].tolist())))[-ordering.REACH:]
+    state.update((json.dumps(recent), events))
+    state.setTimeoutTimestamp(newest_ms + IDLE_MS)
+    index = sum(w * 0.5**age for age, (_, w) in enumerate(reversed(recent)))
+    yield pd.DataFrame({"src_ip": [key[0]], "threat_index": [float(index)], "events": [events]})
 
 
 def threat_index_stream(stream: DataFrame) -> DataFrame:
-    """The index of every source that changed in a micro-batch."""
-    rows = stream.select("src_ip", "seq", threats._contribution(F.col("severity")).alias("w"))
-    reduced = rows.mapInPandas(_newest_per_source, "src_ip string, seq bigint, w double, events bigint")
-    return reduced.groupBy("src_ip").transformWithStateInPandas(
-        statefulProcessor=ThreatIndexProcessor(), outputStructType=INDEX_SCHEMA, outputMode="Update", timeMode="ProcessingTime",
+    """The index of every source that changed in a micro-batch; idle sources lose their state.
+
+    The timeout runs on event time: a processing-time one would keep a run over all
+    available data from ever ending.
+    """
+    rows = stream.select("src_ip", "seq", F.col("ts").cast("timestamp").alias("ts"), threats.index_contribution(F.col("severity")).alias("w"))
+    reduced = rows.mapInPandas(_newest_per_source, "src_ip string, seq bigint, ts timestamp, w double, events bigint")
+    return with_event_time(reduced).groupBy("src_ip").applyInPandasWithState(
+        _advance_index, INDEX_SCHEMA, INDEX_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
