@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from math import factorial, inf
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.session import fresh_path
@@ -61,28 +61,34 @@ def leaf_boxes(spark: SparkSession, model: PipelineModel) -> list[Leaf]:
     return leaves
 
 
-def _passes(name: str, low: float, high: float) -> Column:
-    test = F.lit(True)
-    if low > -inf:
-        test = test & (F.col(name) > low)
-    if high < inf:
-        test = test & (F.col(name) <= high)
-    return test
+MASKS = "_masks"
 
 
-def mask_of(leaf: Leaf, features: Sequence[str]) -> Column:
-    """Bit i is set when the row passes the leaf's i-th test."""
-    bits = F.lit(0)
+def mask_sql(leaf: Leaf, features: Sequence[str]) -> str:
+    """SQL of the mask: bit i is set when the row passes the leaf's i-th test.
+
+    Written as SQL text, since building thousands of column objects one call at a time
+    takes longer than the query.
+    """
+    bits = []
     for bit, (index, (low, high)) in enumerate(sorted(leaf.box.items())):
-        bits = bits + F.when(_passes(features[index], low, high), 1 << bit).otherwise(0)
-    return bits
+        name = f"`{features[index]}`"
+        tests = [f"{name} > {low!r}D"] if low > -inf else []
+        tests += [f"{name} <= {high!r}D"] if high < inf else []
+        bits.append(f"IF({' AND '.join(tests)}, {1 << bit}, 0)")
+    return " + ".join(bits) or "0"
+
+
+def with_masks(rows: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Evaluates every path test once per row, as one array of masks in leaf order."""
+    masks = ", ".join(mask_sql(leaf, features) for leaf in leaves)
+    return rows.select(*keep, F.expr(f"array({masks})").alias(MASKS))
 
 
 def background_masks(background: DataFrame, leaves: Sequence[Leaf], features: Sequence[str]) -> list[dict[int, float]]:
     """How often each mask occurs per leaf, as a share of the background rows."""
-    named = background.select(*features)
-    masks = F.array(*[F.struct(F.lit(i).alias("leaf"), mask_of(leaf, features).alias("mask")) for i, leaf in enumerate(leaves)])
-    counts = named.select(F.inline(masks)).groupBy("leaf", "mask").agg(F.count("*").alias("n")).collect()
+    masks = with_masks(background, leaves, features)
+    counts = masks.select(F.posexplode(MASKS).alias("leaf", "mask")).groupBy("leaf", "mask").agg(F.count("*").alias("n")).collect()
     totals: dict[int, int] = defaultdict(int)
     for row in counts:
         totals[row["leaf"]] += row["n"]
@@ -109,53 +115,42 @@ def _reachable(row_mask: int, back_mask: int, tests: int) -> bool:
     return (row_mask | back_mask) == (1 << tests) - 1
 
 
-def contributions(leaves: Sequence[Leaf], shares: Sequence[dict[int, float]], features: Sequence[str]) -> tuple[dict[str, Column], float]:
-    """One column per feature with its contribution to the margin, and the base value."""
-    parts: dict[str, list[Column]] = defaultdict(list)
+def contributions(leaves: Sequence[Leaf], shares: Sequence[dict[int, float]], features: Sequence[str]) -> tuple[dict[str, str], float]:
+    """SQL of each feature's contribution to the margin, and the base value."""
+    parts: dict[str, list[str]] = defaultdict(list)
     base = 0.0
-    for leaf, share in zip(leaves, shares):
+    for number, (leaf, share) in enumerate(zip(leaves, shares)):
         tests = len(leaf.box)
         base += leaf.value * share.get((1 << tests) - 1, 0.0)
-        position = mask_of(leaf, features) + 1
         for bit, index in enumerate(sorted(leaf.box)):
             table = [
                 leaf.value * sum(
-                    p * _gain(mask, back, bit) for back, p in share.items() if _reachable(mask, back, tests)
+                    p * _gain(row, back, bit) for back, p in share.items() if _reachable(row, back, tests)
                 )
-                for mask in range(1 << tests)
+                for row in range(1 << tests)
             ]
-            lookup = F.element_at(F.array(*[F.lit(float(v)) for v in table]), position)
-            parts[features[index]].append(lookup)
-    columns = {}
-    for name in features:
-        total = F.lit(0.0)
-        for part in parts.get(name, []):
-            total = total + part
-        columns[name] = total
-    return columns, base
-
-
-def margin(leaves: Sequence[Leaf], features: Sequence[str]) -> Column:
-    """The weighted sum of the trees for a row."""
-    total = F.lit(0.0)
-    for leaf in leaves:
-        inside = F.lit(True)
-        for index, (low, high) in leaf.box.items():
-            inside = inside & _passes(features[index], low, high)
-        total = total + F.when(inside, leaf.value).otherwise(0.0)
-    return total
+            values = ", ".join(f"{float(v)!r}D" for v in table)
+            parts[features[index]].append(f"get(array({values}), {MASKS}[{number}])")
+    return {name: " + ".join(parts.get(name, [])) or "0.0D" for name in features}, base
+
+
+def margin_sql(leaves: Sequence[Leaf]) -> str:
+    """The weighted sum of the trees: each row reaches the leaves whose tests it all passes."""
+    return " + ".join(
+        f"IF({MASKS}[{number}] = {(1 << len(leaf.box)) - 1}, {float(leaf.value)!r}D, 0.0D)" for number, leaf in enumerate(leaves)
+    )
 
 
 def explain_wide(rows: DataFrame, background: DataFrame, model: PipelineModel, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Contribution columns next to base value, margin and probability of every row."""
     leaves = leaf_boxes(rows.sparkSession, model)
     shares = background_masks(background, leaves, features)
-    columns, base = contributions(leaves, shares, features)
-    total = margin(leaves, features)
-    return rows.select(
-        *keep, *[columns[f].alias(f"phi_{f}") for f in features], F.lit(base).alias("base_value"),
-        total.alias("margin"), (F.lit(1.0) / (F.lit(1.0) + F.exp(total * -2))).alias("predicted_score"),
+    parts, base = contributions(leaves, shares, features)
+    wide = with_masks(rows, leaves, features, keep).select(
+        *keep, *[F.expr(parts[f]).alias(f"phi_{f}") for f in features], F.lit(base).alias("base_value"),
+        F.expr(margin_sql(leaves)).alias("margin"),
     )
+    return wide.withColumn("predicted_score", 1 / (1 + F.exp(F.col("margin") * -2)))
 
 
 def explain_rows(rows: DataFrame, background: DataFrame, model: PipelineModel, features: Sequence[str], keep: Sequence[str]) -> DataFrame:

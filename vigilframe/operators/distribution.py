@@ -59,10 +59,18 @@ def histogram(df: DataFrame, feature: str) -> DataFrame:
     rows = clipped(df, feature)
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     place = F.least(F.col("bins") - 1, F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins"))).cast("int")
-    counts = rows.groupBy(place.alias("bin")).agg(F.count("*").alias("count"))
-    shape = rows.limit(1).select(F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"), F.col("lo"), width.alias("width"))
-    return shape.join(counts, "bin", "left").select(
-        "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("edge"), F.coalesce("count", F.lit(0)).alias("count")
+    counts = rows.groupBy(place.alias("bin")).agg(
+        F.count("*").alias("count"), F.first("bins").alias("bins"), F.first("lo").alias("lo"), F.first(width).alias("width")
+    )
+    # At most 30 bins: fold them into one map and spread it again to fill the gaps.
+    folded = counts.agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"),
+        *[F.max(c).alias(c) for c in ("bins", "lo", "width")],
+    )
+    spread = folded.select("m", "lo", "width", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    return spread.select(
+        "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("edge"),
+        F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0)).alias("count"),
     )
 
 

@@ -22,19 +22,17 @@ def order_statistics(df: DataFrame, value: str, ps: Sequence[float], accuracy: i
     highs = [min(1.0, p + margin) for p in ps]
     sketch = clean.agg(
         F.count("*").alias("n"),
-        F.percentile_approx("v", lows, accuracy).alias("lo"),
-        F.percentile_approx("v", highs, accuracy).alias("hi"),
+        F.percentile_approx("v", lows + highs, accuracy).alias("at"),
         F.min("v").alias("least"), F.max("v").alias("most"),
     )
-    # A bracket reaches one value further: rank (n-1)p + 1 is wanted as well.
     bounds = sketch.select(
         F.struct(
             "n",
             F.array(*[
                 F.struct(
                     F.lit(float(p)).alias("p"),
-                    (F.col("least") if low == 0 else F.col("lo")[i]).alias("lo"),
-                    (F.col("most") if high == 1 else F.col("hi")[i]).alias("hi"),
+                    (F.col("least") if low == 0 else F.col("at")[i]).alias("lo"),
+                    (F.col("most") if high == 1 else F.col("at")[len(ps) + i]).alias("hi"),
                 )
                 for i, (p, low, high) in enumerate(zip(ps, lows, highs))
             ]).alias("brackets"),

@@ -175,7 +175,7 @@ Decide = Callable[[pd.DataFrame, str], tuple[list[bool], str]]
 
 
 def accept_in_order(
-    df: DataFrame, keys: Sequence[str], order: str, decide: Decide, width: int = 4096
+    df: DataFrame, keys: Sequence[str], order: str, decide: Decide, width: int = 65536
 ) -> DataFrame:
     """Rows a sequential rule accepts, where each decision depends on earlier acceptances.
 
@@ -187,9 +187,13 @@ def accept_in_order(
     """
     spark = df.sparkSession
     group = [*keys, SEG]
-    base_path = fresh_path(spark, "segments")
-    _with_segment(df, order, width).write.parquet(base_path)
-    base = spark.read.parquet(base_path)
+
+    def written(frame: DataFrame, label: str) -> DataFrame:
+        path = fresh_path(spark, label)
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    base = written(_with_segment(df, order, width), "segments")
     key_fields = [base.schema[c] for c in group]
     end_schema = T.StructType([*key_fields, T.StructField("_start", T.StringType()), T.StructField("_end", T.StringType())])
     mask_schema = T.StructType([base.schema[order]])
@@ -206,12 +210,10 @@ def accept_in_order(
         mask, _ = decide(pdf, pdf["_start"].iloc[0] or "")
         return pdf.loc[mask, [order]]
 
-    def written(frame: DataFrame) -> DataFrame:
-        path = fresh_path(spark, "ends")
-        frame.write.parquet(path)
-        return spark.read.parquet(path)
+    def ends_of(starts: DataFrame) -> DataFrame:
+        return written(starts.groupBy(*group).applyInPandas(finish, end_schema), "ends")
 
-    ends = written(base.withColumn("_start", F.lit("")).groupBy(*group).applyInPandas(finish, end_schema))
+    ends = ends_of(base.withColumn("_start", F.lit("")))
     over_key = Window.partitionBy(*keys).orderBy(SEG)
     while True:
         true_start = ends.select(
@@ -219,12 +221,10 @@ def accept_in_order(
             F.coalesce(F.lag("_end").over(over_key), F.lit("")).alias("_start"),
         )
         stale = true_start.filter(F.col("_start") != F.col("_used")).select(*group, "_start")
-        redone = written(base.join(stale, group).groupBy(*group).applyInPandas(finish, end_schema))
-        if redone.isEmpty():
+        if stale.isEmpty():
             break
-        ends = written(
-            ends.join(redone.select(*group), group, "left_anti").unionByName(redone)
-        )
+        redone = ends_of(base.join(stale, group))
+        ends = written(ends.join(redone.select(*group), group, "left_anti").unionByName(redone), "ends")
     accepted = (
         base.join(ends.select(*group, "_start"), group).groupBy(*group).applyInPandas(keep, mask_schema)
     )
