@@ -32,7 +32,8 @@ def threat_band_ui(level: Column, status: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    # greatest and least skip NULL, so a missing value must be kept out of them.
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
 
 
 def rescale_index(index: Column, count: Column) -> Column:

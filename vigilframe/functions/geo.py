@@ -27,7 +27,7 @@ def address_word(ip: Column) -> Column:
 
 def ip_lat(ip: Column) -> Column:
     lat = F.pmod(address_word(ip), F.lit(180)) - 90
-    return F.greatest(F.lit(-85), F.least(F.lit(85), lat))
+    return F.when(lat.isNotNull(), F.greatest(F.lit(-85), F.least(F.lit(85), lat)))
 
 
 def ip_lon(ip: Column) -> Column:

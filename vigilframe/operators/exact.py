@@ -25,14 +25,16 @@ def order_statistics(df: DataFrame, value: str, ps: Sequence[float], accuracy: i
         F.percentile_approx("v", lows + highs, accuracy).alias("at"),
         F.min("v").alias("least"), F.max("v").alias("most"),
     )
+    # Too few rows for the margin to span whole ranks: the bracket is everything.
+    few = F.col("n") * margin < 4
     bounds = sketch.select(
         F.struct(
             "n",
             F.array(*[
                 F.struct(
                     F.lit(float(p)).alias("p"),
-                    (F.col("least") if low == 0 else F.col("at")[i]).alias("lo"),
-                    (F.col("most") if high == 1 else F.col("at")[len(ps) + i]).alias("hi"),
+                    (F.col("least") if low == 0 else F.when(few, F.col("least")).otherwise(F.col("at")[i])).alias("lo"),
+                    (F.col("most") if high == 1 else F.when(few, F.col("most")).otherwise(F.col("at")[len(ps) + i])).alias("hi"),
                 )
                 for i, (p, low, high) in enumerate(zip(ps, lows, highs))
             ]).alias("brackets"),

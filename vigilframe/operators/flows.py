@@ -67,8 +67,12 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def clip(df: DataFrame, columns: Sequence[str], limit: float = LIMIT) -> DataFrame:
-    bound = lambda c: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col(c)))
-    return _replace(df, columns, bound)
+    """Values beyond the limit become the limit; NULL and NaN stay what they are."""
+    def bound(c: str) -> Column:
+        x = F.col(c)
+        return F.when(x > limit, F.lit(limit)).when(x < -limit, F.lit(-limit)).otherwise(x)
+
+    return _replace(df, columns, lambda c: F.when(F.isnan(F.col(c).cast("double")), F.col(c)).otherwise(bound(c)))
 
 
 def downcast_float32(df: DataFrame) -> DataFrame:
