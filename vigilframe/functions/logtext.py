@@ -14,24 +14,33 @@ FULL_LINE = (
 )
 
 
-def _group(line: Column, index: int) -> Column:
-    value = F.regexp_extract(line, FULL_LINE, index)
-    return F.when(value != "", value)
+_MARK = "\x01"
 
 
 def matches_full(line: Column) -> Column:
     return line.rlike(FULL_LINE)
 
 
-def full_fields(line: Column) -> dict[str, Column]:
-    """Fields of a line that carries addresses."""
+def full_parts(line: Column) -> Column:
+    """The six groups of a line that carries addresses, from one pattern match; else NULL."""
+    joined = F.regexp_replace(line, "(?s)" + FULL_LINE + ".*$", _MARK.join(f"${i}" for i in range(1, 7)) + _MARK)
+    parts = F.split(joined, _MARK)
+    return F.when(F.size(parts) == 7, parts)
+
+
+def full_fields(parts: Column) -> dict[str, Column]:
+    """Typed fields of :func:`full_parts`."""
+    def part(index: int) -> Column:
+        value = F.get(parts, F.lit(index))
+        return F.when(value != "", value)
+
     return {
-        "timestamp": parse_time(_group(line, 1)),
-        "traffic_type": F.trim(_group(line, 2)),
-        "src_ip": _group(line, 3),
-        "src_port": _group(line, 4).try_cast("int"),
-        "dst_ip": _group(line, 5),
-        "dst_port": _group(line, 6).try_cast("int"),
+        "timestamp": parse_time(part(0)),
+        "traffic_type": F.trim(part(1)),
+        "src_ip": part(2),
+        "src_port": part(3).try_cast("int"),
+        "dst_ip": part(4),
+        "dst_port": part(5).try_cast("int"),
     }
 
 

@@ -19,8 +19,8 @@ HEARTBEAT = r"^\s*\S+ auto-pulse"
 
 
 def scan_json_events(df: DataFrame, raw: str = "raw", out: str = "event") -> DataFrame:
-    """Rows whose text is a JSON object, parsed once into a VARIANT column."""
-    return df.withColumn(out, coerce.object_or_null(F.col(raw))).filter(F.col(out).isNotNull())
+    """Rows whose text is a JSON object, with the parsed event."""
+    return df.withColumn(out, coerce.parsed(F.col(raw))).filter(F.col(out).isNotNull())
 
 
 def scan_json_lenient(df: DataFrame, raw: str = "raw", out: str = "payload") -> DataFrame:

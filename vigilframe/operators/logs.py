@@ -12,13 +12,14 @@ from vigilframe.operators.threats import minute
 
 def parse_lines(df: DataFrame, as_of: Column, line: str = "line") -> DataFrame:
     """Both layouts; a line without a readable time counts at ``as_of`` with parse_ok false."""
-    full, legacy = logtext.full_fields(F.col(line)), logtext.legacy_fields(F.col(line))
-    is_full = logtext.matches_full(F.col(line))
-    chosen = {n: F.when(is_full, full[n]).otherwise(legacy[n]) for n in full}
-    return df.select(
-        *df.columns, *[chosen[n].alias(n) for n in chosen if n != "timestamp"],
-        F.coalesce(chosen["timestamp"], as_of).alias("ts"), chosen["timestamp"].isNotNull().alias("parse_ok"),
-        logtext.category(chosen["traffic_type"]).alias("category"),
+    rows = df.withColumn("_parts", logtext.full_parts(F.col(line)))
+    full, legacy = logtext.full_fields(F.col("_parts")), logtext.legacy_fields(F.col(line))
+    chosen = {n: F.when(F.col("_parts").isNotNull(), full[n]).otherwise(legacy[n]) for n in full}
+    fields = rows.select(*df.columns, *[c.alias(n) for n, c in chosen.items()])
+    return fields.select(
+        *df.columns, *[n for n in chosen if n != "timestamp"],
+        F.coalesce("timestamp", as_of).alias("ts"), F.col("timestamp").isNotNull().alias("parse_ok"),
+        logtext.category(F.col("traffic_type")).alias("category"),
     )
 
 

@@ -9,6 +9,7 @@ segment border through per-segment summaries. The row-level shuffle is the one o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -171,63 +172,64 @@ def decayed_sum_last(df: DataFrame, keys: Sequence[str], order: str, value: Colu
 
 # --- sequential acceptance ----------------------------------------------------------------
 
-Decide = Callable[[pd.DataFrame, str], tuple[list[bool], str]]
+# (ordered rows, states by key) -> (accepted mask, states worth keeping)
+Decide = Callable[[pd.DataFrame, dict], tuple[list[bool], dict]]
+LANE = "_lane"
 
 
 def accept_in_order(
-    df: DataFrame, keys: Sequence[str], order: str, decide: Decide, width: int = 65536
+    df: DataFrame, keys: Sequence[str], order: str, decide: Decide, width: int = 65536, lanes: int = 64
 ) -> DataFrame:
     """Rows a sequential rule accepts, where each decision depends on earlier acceptances.
 
-    ``decide(rows, state)`` scans one ordered segment and returns the accepted mask and the
-    state it leaves. All segments run at once from a guessed start state; then only those
-    whose true start state (the end state of the segment before) turns out different run
-    again, until none does. Rules that forget after a while settle in two or three rounds,
-    and the result is exact in any case, since round ``i`` fixes at least ``i`` segments.
+    Keys are dealt into ``lanes`` by hash, and a lane is cut into segments of at most
+    ``width`` rows, so a hot key is split like any other. All segments run at once from an
+    empty start state; then only those whose true start state (the end state of the segment
+    before) turns out different run again, until none does. Rules that forget after a while
+    settle in two or three rounds, and the result is exact in any case, since round ``i``
+    fixes at least ``i`` segments. Time must not run backwards along ``order``.
     """
     spark = df.sparkSession
-    group = [*keys, SEG]
+    group = [LANE, SEG]
 
     def written(frame: DataFrame, label: str) -> DataFrame:
         path = fresh_path(spark, label)
         frame.write.parquet(path)
         return spark.read.schema(frame.schema).parquet(path)
 
-    base = written(_with_segment(df, order, width), "segments")
-    key_fields = [base.schema[c] for c in group]
-    end_schema = T.StructType([*key_fields, T.StructField("_start", T.StringType()), T.StructField("_end", T.StringType())])
+    lane = F.pmod(F.hash(*keys), F.lit(lanes))
+    base = written(_with_segment(df, order, width).withColumn(LANE, lane), "segments")
+    end_schema = T.StructType([
+        T.StructField(LANE, T.IntegerType()), T.StructField(SEG, T.LongType()),
+        T.StructField("_start", T.StringType()), T.StructField("_end", T.StringType()),
+    ])
     mask_schema = T.StructType([base.schema[order]])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        start = pdf["_start"].iloc[0] or ""
-        _, end = decide(pdf, start)
+        start = pdf["_start"].iloc[0] or "{}"
+        _, end = decide(pdf.sort_values(order), json.loads(start))
         head = {c: [pdf[c].iloc[0]] for c in group}
-        return pd.DataFrame({**head, "_start": [start], "_end": [end]})
+        return pd.DataFrame({**head, "_start": [start], "_end": [json.dumps(end, sort_keys=True)]})
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        mask, _ = decide(pdf, pdf["_start"].iloc[0] or "")
-        return pdf.loc[mask, [order]]
+        rows = pdf.sort_values(order)
+        mask, _ = decide(rows, json.loads(rows["_start"].iloc[0] or "{}"))
+        return rows.loc[mask, [order]]
 
     def ends_of(starts: DataFrame) -> DataFrame:
         return written(starts.groupBy(*group).applyInPandas(finish, end_schema), "ends")
 
-    ends = ends_of(base.withColumn("_start", F.lit("")))
-    over_key = Window.partitionBy(*keys).orderBy(SEG)
+    ends = ends_of(base.withColumn("_start", F.lit("{}")))
+    over_lane = Window.partitionBy(LANE).orderBy(SEG)
     while True:
         true_start = ends.select(
             *group, "_end", F.col("_start").alias("_used"),
-            F.coalesce(F.lag("_end").over(over_key), F.lit("")).alias("_start"),
+            F.coalesce(F.lag("_end").over(over_lane), F.lit("{}")).alias("_start"),
         )
         stale = true_start.filter(F.col("_start") != F.col("_used")).select(*group, "_start")
         if stale.isEmpty():
             break
         redone = ends_of(base.join(stale, group))
         ends = written(ends.join(redone.select(*group), group, "left_anti").unionByName(redone), "ends")
-    accepted = (
-        base.join(ends.select(*group, "_start"), group).groupBy(*group).applyInPandas(keep, mask_schema)
-    )
-    return base.drop(SEG).join(accepted, order, "left_semi")
-
-
+    accepted = base.join(ends.select(*group, "_start"), group).groupBy(*group).applyInPandas(keep, mask_schema)
+    return base.drop(SEG, LANE).join(accepted, order, "left_semi")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +112,7 @@ def index_contribution(severity: Column) -> Column:
 
 def threat_index_per_source(df: DataFrame) -> DataFrame:
     """The index after every event of each source."""
-    rows = df.select("seq", "src_ip", index_contribution(F.col("severity")).alias("_w"))
+    rows = df.select("seq", "ts", "src_ip", index_contribution(F.col("severity")).alias("_w"))
     return ordering.decayed_sum(rows, ["src_ip"], "seq", "_w", "threat_index").drop("_w")
 
 
@@ -166,24 +164,26 @@ def level_jumps(df: DataFrame) -> DataFrame:
     return (
         lagged.withColumn("change", change)
         .withColumn("jump", F.when(change >= JUMP_UP, "up").when(change <= -JUMP_DOWN, "down"))
-        .filter(F.col("jump").isNotNull()).select("seq", "src_ip", "jump", "change")
+        .filter(F.col("jump").isNotNull())
+        .select("seq", "src_ip", "jump", "change", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     )
 
 
-def _pause_rule(rows: pd.DataFrame, state: str) -> tuple[list[bool], str]:
-    last, mask = (int(state) if state else None), []
-    for ms, jump in zip(rows["ms"].tolist(), rows["jump"].tolist()):
-        ok = last is None or ms - last > PAUSE[jump]
+def _pause_rule(rows: pd.DataFrame, last: dict) -> tuple[list[bool], dict]:
+    """``last`` holds the time of each source's last signal."""
+    mask, ms = [], 0
+    for src, ms, jump in zip(rows["src_ip"].tolist(), rows["ms"].tolist(), rows["jump"].tolist()):
+        ok = src not in last or ms - last[src] > PAUSE[jump]
         mask.append(ok)
-        last = ms if ok else last
-    return mask, "" if last is None else str(last)
+        if ok:
+            last[src] = ms
+    longest = max(PAUSE.values())
+    return mask, {src: at for src, at in last.items() if ms - at <= longest}
 
 
 def level_signals(df: DataFrame) -> DataFrame:
     """Jumps that sound: not within the pause after the last one that did."""
-    ms = df.select("seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    jumps = level_jumps(df).join(ms, "seq")
-    return ordering.accept_in_order(jumps, ["src_ip"], "seq", _pause_rule).select("seq", "src_ip", "jump")
+    return ordering.accept_in_order(level_jumps(df), ["src_ip"], "seq", _pause_rule).select("seq", "src_ip", "jump")
 
 
 # Alert repetition window, pause per level, order of levels.
@@ -192,20 +192,27 @@ LEVEL_PAUSE = {"info": 5_000, "warning": 3_000, "critical": 1_000}
 LEVEL_ORDER = ("critical", "warning", "info")
 
 
-def suppression_rule(rows: pd.DataFrame, state: str) -> tuple[list[bool], str]:
-    """Accept unless this text or this level was accepted too recently."""
-    texts, levels = json.loads(state) if state else ({}, {})
-    mask = []
-    for ms, level, text in zip(rows["ms"].tolist(), rows["level"].tolist(), rows["identity"].tolist()):
+def suppression_rule(rows: pd.DataFrame, sources: dict) -> tuple[list[bool], dict]:
+    """Accept unless this text or this level of the source was accepted too recently.
+
+    ``sources`` maps a source to its last times by text and by level.
+    """
+    mask, ms = [], 0
+    columns = (rows[c].tolist() for c in ("src_ip", "ms", "level", "identity"))
+    for src, ms, level, text in zip(*columns):
+        texts, levels = sources.setdefault(src, ({}, {}))
         heard, spoke = texts.get(text), levels.get(level)
         ok = (heard is None or ms - heard >= REPEAT_MS) and (spoke is None or ms - spoke >= LEVEL_PAUSE[level])
         mask.append(ok)
         if ok:
             texts[text] = levels[level] = ms
-    if mask:
+    live = {}
+    for src, (texts, levels) in sources.items():
         texts = {t: at for t, at in texts.items() if ms - at < REPEAT_MS}
         levels = {v: at for v, at in levels.items() if ms - at < LEVEL_PAUSE[v]}
-    return mask, json.dumps([texts, levels], sort_keys=True)
+        if texts or levels:
+            live[src] = (texts, levels)
+    return mask, live
 
 
 def alert_messages(df: DataFrame) -> DataFrame:

@@ -235,8 +235,8 @@ SELECT seq, try_strptime({_dg(1)}, '%Y-%m-%d %H:%M:%S') AS timestamp, trim({_dg(
  {_dg(3)} AS src_ip, TRY_CAST({_dg(4)} AS INT) AS src_port, {_dg(5)} AS dst_ip, TRY_CAST({_dg(6)} AS INT) AS dst_port
 FROM log_lines WHERE regexp_matches(line, {DUCK_FULL_SQL}, 'i')""")
 def parse_full(spark, sf):
-    lines = views.log_lines(spark, sf).filter(logtext.matches_full(F.col("line")))
-    return lines.select("seq", *[c.alias(n) for n, c in logtext.full_fields(F.col("line")).items()])
+    lines = views.log_lines(spark, sf).withColumn("parts", logtext.full_parts(F.col("line"))).filter("parts is not null")
+    return lines.select("seq", *[c.alias(n) for n, c in logtext.full_fields(F.col("parts")).items()])
 
 
 @query("b23_parse_log_line_legacy", "log_lines", f"""

@@ -97,7 +97,7 @@ jumps AS (SELECT seq, ts, src_ip, change, CASE WHEN change >= 15 THEN 'up' WHEN
 
 @query("e9_level_jump", "telemetry", f"WITH {JUMPS} SELECT seq, src_ip, jump, change FROM jumps")
 def jumps(spark, sf):
-    return threats.level_jumps(views.telemetry(spark, sf))
+    return threats.level_jumps(views.telemetry(spark, sf)).drop("ms")
 
 
 @query("e9_level_jump_cooldown", "telemetry", f"""WITH RECURSIVE {JUMPS},

@@ -252,8 +252,8 @@ ALERT_STATE = T.StructType([T.StructField("heard", T.StringType())])
 
 def _suppress(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches)).sort_values("seq")
-    mask, end = threats.suppression_rule(rows, state.get[0] if state.exists else "")
-    state.update((end,))
+    mask, end = threats.suppression_rule(rows, json.loads(state.get[0]) if state.exists else {})
+    state.update((json.dumps(end),))
     yield rows.loc[mask, ["seq", "src_ip", "level", "identity", "ms"]]
 
 
