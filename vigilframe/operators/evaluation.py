@@ -20,20 +20,18 @@ def accuracy(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
 
 
-def auc_roc(df: DataFrame, score: str = "score", by: Sequence[str] = (), cells: int = 4096) -> DataFrame:
+def auc_roc(df: DataFrame, score: str = "score", by: Sequence[str] = (), cells: int = 256) -> DataFrame:
     """Exact rank-based area under the curve, ties counted half.
 
     Rows collapse to counts per distinct score. The counts of smaller negatives are a prefix
-    sum, taken over equal score cells first and then inside each cell, so that no task sees
-    all distinct scores.
+    sum, taken over cells first and then inside each cell. Cell edges are quantiles of the
+    distinct scores, so cells stay even however the scores crowd together.
     """
-    limits = df.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
     per = df.groupBy(*by, F.col(score).alias("s")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    ).withColumn("_l", limits)
-    span = F.col("_l.hi") - F.col("_l.lo")
-    cell = F.when(span > 0, F.floor((F.col("s") - F.col("_l.lo")) / span * cells)).otherwise(0)
-    per = per.withColumn("_cell", cell).drop("_l")
+    )
+    edges = per.agg(F.percentile_approx("s", [i / cells for i in range(1, cells)], 10 * cells)).scalar()
+    per = per.withColumn("_edges", edges).withColumn("_cell", F.size(F.filter("_edges", lambda e: e < F.col("s")))).drop("_edges")
     sums = per.groupBy(*by, "_cell").agg(F.sum("neg").alias("_neg"))
     earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_cell", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_below"))

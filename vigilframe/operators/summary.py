@@ -81,11 +81,11 @@ def grouped_counts(df: DataFrame, as_of: str | None, minutes: int) -> DataFrame:
     )
 
 
-def _top_list(part: str, k: int | None) -> Column:
-    """Ordered (value, count) pairs of one part."""
+def _listed(part: str) -> Column:
+    """Ordered (value, count) pairs of one part, largest first, newest first among equals."""
     pairs = F.collect_list(F.when(
-        (F.col("part") == part) & F.col("value").isNotNull() & ((F.col("rank") <= k) if k else F.lit(True)),
-        F.struct(F.col("rank"), F.col("value"), F.col("count")),
+        (F.col("part") == part) & F.col("value").isNotNull(),
+        F.struct((-F.col("count")).alias("a"), (-F.col("last")).alias("b"), "value", "count"),
     ))
     return F.transform(F.sort_array(pairs), lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count")))
 
@@ -93,15 +93,19 @@ def _top_list(part: str, k: int | None) -> Column:
 def attack_summary(df: DataFrame, as_of: str | None, minutes: int) -> DataFrame:
     """The whole summary as one row: rate, total, ordered top lists and the timeline."""
     counts = grouped_counts(df, as_of, minutes)
-    order = Window.partitionBy("part").orderBy(F.col("value").isNull(), F.col("count").desc(), F.col("last").desc())
-    ranked = counts.withColumn("rank", F.row_number().over(order))
-    limit = F.when(F.col("part").isin("src_ip", "dst_port"), TOP).otherwise(F.lit(2**31 - 1))
-    kept = ranked.filter(F.col("rank") <= limit)
+    # The limit is the same for every group, so that it also applies before the shuffle and
+    # no task sorts all sources. Values of the unlimited parts are groups of their own.
+    limited = F.col("part").isin("src_ip", "dst_port")
+    group = F.when(limited, F.col("part")).otherwise(F.concat_ws(":", "part", "value"))
+    order = Window.partitionBy("_group").orderBy(F.col("value").isNull(), F.col("count").desc(), F.col("last").desc())
+    ranked = counts.withColumn("_group", group).withColumn("rank", F.row_number().over(order))
+    kept = ranked.filter(F.col("rank") <= TOP)
+    total = F.col("part") == "total"
     one = kept.agg(
-        F.coalesce(F.max(F.when(F.col("part") == "total", F.col("count"))), F.lit(0)).alias("total_events"),
-        F.coalesce(F.round(F.max(F.when(F.col("part") == "total", F.col("attacks"))) / minutes, 2), F.lit(0.0)).alias("attack_rate"),
-        _top_list("src_ip", TOP).alias("top_ips"), _top_list("dst_port", TOP).alias("top_ports"),
-        _top_list("proto", None).alias("protocols"), _top_list("minute", None).alias("_minutes"),
+        F.coalesce(F.max(F.when(total, F.col("count"))), F.lit(0)).alias("total_events"),
+        F.coalesce(F.round(F.max(F.when(total, F.col("attacks"))) / minutes, 2), F.lit(0.0)).alias("attack_rate"),
+        _listed("src_ip").alias("top_ips"), _listed("dst_port").alias("top_ports"),
+        _listed("proto").alias("protocols"), _listed("minute").alias("_minutes"),
     )
     end = minute(resolve_as_of(df, as_of))
     labels = F.sequence(end - F.expr(f"interval {int(minutes) - 1} minutes"), end, F.expr("interval 1 minute"))

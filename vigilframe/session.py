@@ -50,8 +50,3 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the work folder that no other run uses."""
     return f"{work_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-
-def is_small(df, limit_bytes: int = 64 << 20) -> bool:
-    """Whether the optimizer's size estimate proves the frame fits a broadcast."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
