@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigilframe.session import fresh_path
+
 
 def confusion_matrix(df: DataFrame) -> DataFrame:
     """Counts of the four (label, prediction) cells, empty ones 0."""
@@ -20,18 +22,21 @@ def accuracy(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
 
 
-def auc_roc(df: DataFrame, score: str = "score", by: Sequence[str] = (), cells: int = 256) -> DataFrame:
+def auc_roc(df: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Exact rank-based area under the curve, ties counted half.
 
     Rows collapse to counts per distinct score. The counts of smaller negatives are a prefix
-    sum, taken over cells first and then inside each cell. Cell edges are quantiles of the
-    distinct scores, so cells stay even however the scores crowd together.
+    sum, taken over range partitions of the scores first and then inside each. Spark keeps
+    those even however the scores crowd together; they are written once, so that both
+    sides of the prefix sum see the same ones.
     """
-    per = df.groupBy(*by, F.col(score).alias("s")).agg(
+    counts = df.groupBy(*by, F.col(score).alias("s")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    edges = per.agg(F.percentile_approx("s", [i / cells for i in range(1, cells)], 10 * cells)).scalar()
-    per = per.withColumn("_edges", edges).withColumn("_cell", F.size(F.filter("_edges", lambda e: e < F.col("s")))).drop("_edges")
+    ranged = counts.repartitionByRange("s").withColumn("_cell", F.spark_partition_id())
+    path = fresh_path(df.sparkSession, "scores")
+    ranged.write.parquet(path)
+    per = df.sparkSession.read.schema(ranged.schema).parquet(path)
     sums = per.groupBy(*by, "_cell").agg(F.sum("neg").alias("_neg"))
     earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_cell", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_below"))
