@@ -13,7 +13,7 @@ from vigilframe.session import fresh_path
 
 def confusion_matrix(df: DataFrame) -> DataFrame:
     """Counts of the four (label, prediction) cells, empty ones 0."""
-    cells = df.sparkSession.sql("SELECT label, prediction FROM VALUES (0), (1) l(label), VALUES (0), (1) p(prediction)")
+    cells = df.sparkSession.sql("SELECT * FROM VALUES (0, 0), (0, 1), (1, 0), (1, 1) c(label, prediction)")
     counts = df.groupBy("label", "prediction").agg(F.count("*").alias("n"))
     return cells.join(counts, ["label", "prediction"], "left").select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -103,7 +103,7 @@ SELECT src_ip, count(*) AS count FROM telemetry WHERE severity = 'ALERT' GROUP B
 def fallback(spark, sf):
     t = views.telemetry(spark, sf)
     per = lambda d: d.groupBy("src_ip").agg(F.count("*").alias("count"))
-    return summary.source_fallback(per(t.filter("seq < 0")), per(threats.alerts_only(t)), per(t))
+    return summary.source_fallback(per(t.filter("severity = 'FATAL'")), per(threats.alerts_only(t)), per(t))
 
 
 @query("c9_dashboard_composite")
@@ -113,22 +113,22 @@ def composite(spark, sf):
 
 
 @query("c11_importance_delta", "telemetry importance", f"""
-WITH {NORM}, old AS (SELECT concat(lower(proto), '_', CAST(dst_port AS VARCHAR)) AS name, avg(k) AS score FROM telemetry WHERE dst_port <> 80 AND seq % 2 = 0 GROUP BY 1),
+WITH {NORM}, old AS (SELECT concat(lower(proto), '_', CAST(dst_port AS VARCHAR)) AS name, avg(k) AS score FROM telemetry WHERE dst_port <> 80 AND ts < TIMESTAMP '2024-01-01 00:30:00' GROUP BY 1),
 prev AS (SELECT name, abs(score) / (SELECT max(abs(score)) FROM old) AS normalized_score FROM old)
 SELECT name, round(norm.normalized_score, 9) AS normalized_score, round(coalesce(norm.normalized_score - prev.normalized_score, 0), 9) AS delta
 FROM norm LEFT JOIN prev USING (name)""")
 def delta(spark, sf):
-    t = views.telemetry(spark, sf).filter("dst_port <> 80 AND seq % 2 = 0")
+    t = views.telemetry(spark, sf).filter("dst_port <> 80 AND ts < TIMESTAMP_NTZ '2024-01-01 00:30:00'")
     old = t.groupBy(F.concat_ws("_", F.lower("proto"), F.col("dst_port").cast("string")).alias("name")).agg(F.avg("k").alias("score"))
     out = imp.importance_delta(norm_importance(spark, sf), imp.normalise_importance(old))
     return out.select("name", F.round("normalized_score", 9).alias("normalized_score"), F.round("delta", 9).alias("delta"))
 
 
 @query("c12_merge_kpis", "telemetry", f"""
-WITH l AS (SELECT src_ip, arg_max(status, seq) AS status FROM telemetry WHERE seq % 3 = 0 GROUP BY 1)
+WITH l AS (SELECT src_ip, arg_max(status, seq) AS status FROM telemetry GROUP BY 1)
 SELECT count(*) FILTER (status = 'Active') AS active_threats, count(*) FILTER (status = 'Blocked') AS blocked_ips,
  greatest(count(*) FILTER (status <> 'Blocked'), (SELECT count(DISTINCT src_ip) FROM telemetry WHERE severity = 'ALERT')) AS suspicious_ips,
- (SELECT round(avg(confidence), 2) FROM telemetry WHERE seq % 3 = 0) AS avg_confidence FROM l""")
+ (SELECT round(avg(confidence), 2) FROM telemetry) AS avg_confidence FROM l""")
 def kpis(spark, sf):
     t = views.telemetry(spark, sf)
-    return summary.merge_kpis(threats.threat_stats(t.filter("seq % 3 = 0")), summary.live_alert_kpis(threats.alerts_only(t)))
+    return summary.merge_kpis(threats.threat_stats(t), summary.live_alert_kpis(threats.alerts_only(t)))

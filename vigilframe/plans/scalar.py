@@ -490,28 +490,28 @@ def confidence_band(spark, sf):
 
 
 @query("b51_normalise_patterns", "telemetry", """
-SELECT seq, 0 AS pos, concat('p-', CAST(seq AS VARCHAR)) AS id, label AS title, label AS summary, CAST(k AS DOUBLE) AS confidence FROM telemetry WHERE seq % 2 = 0
-UNION ALL SELECT seq, 1, 'pattern-1', 'Pattern 2', 'Diagnostics pattern', CAST(70 AS DOUBLE) FROM telemetry WHERE seq % 2 = 0
-UNION ALL SELECT seq, 2, 'pattern-2', proto, 'seen', CAST(70 AS DOUBLE) FROM telemetry WHERE seq % 2 = 0""")
+SELECT seq, 0 AS pos, concat('p-', CAST(seq AS VARCHAR)) AS id, label AS title, label AS summary, CAST(k AS DOUBLE) AS confidence FROM telemetry
+UNION ALL SELECT seq, 1, 'pattern-1', 'Pattern 2', 'Diagnostics pattern', CAST(70 AS DOUBLE) FROM telemetry
+UNION ALL SELECT seq, 2, 'pattern-2', proto, 'seen', CAST(70 AS DOUBLE) FROM telemetry""")
 def patterns(spark, sf):
     payload = F.concat(
         F.lit('{"patterns":[{"id":"p-'), F.col("seq").cast("string"), F.lit('","title":"'), F.col("label"), F.lit('","confidence":'),
         F.col("k").cast("string"), F.lit('},{},{"title":"'), F.col("proto"), F.lit('","summary":"seen"}]}'))
-    t = views.telemetry(spark, sf).filter("seq % 2 = 0").select("seq", payload.alias("payload"))
+    t = views.telemetry(spark, sf).select("seq", payload.alias("payload"))
     return narrative.normalise_patterns(t, ["seq"])
 
 
 @query("b52_normalise_points", "telemetry", """
-WITH p AS (SELECT seq, 0 AS pos, 'T0' AS minute, CAST(k AS DOUBLE) AS count FROM telemetry WHERE seq % 5 = 0
-UNION ALL SELECT seq, 1, '00:01', CAST(k + 1 AS DOUBLE) FROM telemetry WHERE seq % 5 = 0
-UNION ALL SELECT seq, 2, '2', CAST(0 AS DOUBLE) FROM telemetry WHERE seq % 5 = 0)
+WITH p AS (SELECT seq, 0 AS pos, 'T0' AS minute, CAST(k AS DOUBLE) AS count FROM telemetry
+UNION ALL SELECT seq, 1, '00:01', CAST(k + 1 AS DOUBLE) FROM telemetry
+UNION ALL SELECT seq, 2, '2', CAST(0 AS DOUBLE) FROM telemetry)
 SELECT seq, pos, minute, count, CASE WHEN seq % 2 = 0 THEN CAST(999 AS DOUBLE) ELSE sum(count) OVER (PARTITION BY seq) END AS total FROM p""")
 def points(spark, sf):
     total = F.when(F.col("seq") % 2 == 0, F.lit(',"total":999')).otherwise("")
     payload = F.concat(
         F.lit('{"points":[{"timestamp":"T0","count":'), F.col("k").cast("string"), F.lit('},{"minute":"00:01","value":'),
         (F.col("k") + 1).cast("string"), F.lit('},{"hits":"x"}]'), total, F.lit("}"))
-    t = views.telemetry(spark, sf).filter("seq % 5 = 0").select("seq", payload.alias("payload"))
+    t = views.telemetry(spark, sf).select("seq", payload.alias("payload"))
     return narrative.normalise_points(t, ["seq"])
 
 

@@ -49,11 +49,12 @@ def recent(spark, sf):
 
 
 def log_folder(spark, sf):
-    """Two generations of log files: the even events first, the odd ones later."""
+    """Two generations of log files: the first half hour, then everything else."""
     path = fresh_path(spark, "logs")
     lines = views.log_lines(spark, sf)
-    writers.write_log_lines(lines.filter("seq % 2 = 0"), path)
-    writers.write_log_lines(lines.filter("seq % 2 = 1"), path)
+    early = F.col("line") < "[2024-01-01 00:30"
+    writers.write_log_lines(lines.filter(early), path)
+    writers.write_log_lines(lines.filter(~early), path)
     return path
 
 

@@ -153,11 +153,12 @@ def retention(spark, sf):
 
 
 @query("i11_stream_live_feed", "telemetry", """
-SELECT seq, src_ip FROM telemetry WHERE seq % 2 = 1 UNION ALL
-(SELECT seq, src_ip FROM telemetry WHERE seq % 2 = 0 ORDER BY seq DESC LIMIT 50)""")
+SELECT seq, src_ip FROM telemetry WHERE ts >= TIMESTAMP '2024-01-01 00:30:00' UNION ALL
+(SELECT seq, src_ip FROM telemetry WHERE ts < TIMESTAMP '2024-01-01 00:30:00' ORDER BY seq DESC LIMIT 50)""")
 def live_feed(spark, sf):
-    history = views.telemetry(spark, sf).filter("seq % 2 = 0").select("seq", "src_ip")
-    return jobs.live_feed(history, telemetry_stream(spark, sf).filter("seq % 2 = 1").select("seq", "src_ip"))
+    start = F.lit("2024-01-01 00:30:00").cast("timestamp_ntz")
+    history = views.telemetry(spark, sf).filter(F.col("ts") < start).select("seq", "src_ip")
+    return jobs.live_feed(history, telemetry_stream(spark, sf).filter(F.col("ts") >= start).select("seq", "src_ip"))
 
 
 @query("i12_stream_dedup", "telemetry", "SELECT DISTINCT concat('e', CAST(seq // 3 AS VARCHAR)) AS id FROM telemetry")

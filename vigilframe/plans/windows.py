@@ -70,11 +70,11 @@ def rank(spark, sf):
     return imp.importance_rank(norm_importance(spark, sf))
 
 
-BUCKETS = """b AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS count FROM telemetry WHERE severity = 'ALERT' AND seq % 7 < 3 GROUP BY 1)"""
+BUCKETS = """b AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS count FROM telemetry WHERE severity = 'ALERT' GROUP BY 1)"""
 
 
 def buckets(spark, sf):
-    return summary.per_minute(threats.alerts_only(views.telemetry(spark, sf)).filter("seq % 7 < 3"))
+    return summary.per_minute(threats.alerts_only(views.telemetry(spark, sf)))
 
 
 @query("e7_spike_or_cooldown", "telemetry", f"""WITH {BUCKETS},
