@@ -12,7 +12,8 @@ from vigilframe.operators.threats import minute
 
 def parse_lines(df: DataFrame, as_of: Column, line: str = "line") -> DataFrame:
     """Both layouts; a line without a readable time counts at ``as_of`` with parse_ok false."""
-    rows = df.withColumn("_parts", logtext.full_parts(F.col(line)))
+    # The generator keeps filters on parsed fields from repeating the pattern match.
+    rows = df.withColumn("_parts", F.explode(F.array(logtext.full_parts(F.col(line)))))
     full, legacy = logtext.full_fields(F.col("_parts")), logtext.legacy_fields(F.col(line))
     chosen = {n: F.when(F.col("_parts").isNotNull(), full[n]).otherwise(legacy[n]) for n in full}
     fields = rows.select(*df.columns, *[c.alias(n) for n, c in chosen.items()])
