@@ -39,6 +39,7 @@ def default_rules() -> list[Rule]:
         Rule("symbols", 10 * F.col("n_symbols") > words),
         Rule("repeated lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         Rule("few letters", 10 * letters < 6 * chars),
+        Rule("capitals", 2 * F.regexp_count(F.col("text"), F.lit("\\p{Lu}")) > letters),
         Rule("words without letters", 10 * lettered < 8 * words),
         Rule("cut-off lines", 10 * dotted > 3 * F.col("n_lines")),
         Rule("bullet lists", 10 * bullets > 9 * F.col("n_lines")),
@@ -74,13 +75,15 @@ def counted(docs: DataFrame) -> DataFrame:
         F.zip_with("spots", F.slice("spots", 2, F.greatest(F.size("spots"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))),
         F.lit(0).cast("long"), lambda total, n: total + n)
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    return docs.withColumn("lines", lines).select(
-        "doc_id", "text", "n_words",
+    docs = docs.withColumn("lines", lines)
+    # One struct, unnested: a filter on the counts can't be pushed into the steps that make them.
+    return docs.select("doc_id", "text", F.inline(F.array(F.struct(
+        "n_words",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")))))
 
 
 def base_failed() -> Column:
