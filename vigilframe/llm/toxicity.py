@@ -1,6 +1,6 @@
 """Toxicity: a learnt lexicon found under misspellings, weighed by the words around each hit.
 
-The lexicon holds words, and stems of five letters, that mark toxic documents. Levenshtein
+The lexicon holds words, and stems of four to six letters, that mark toxic documents. Levenshtein
 automata of its terms, intersected with its trie, run over each different word once; states of
 the product are made as words ask for them. A hit counts as quoted if quotation marks surround
 it, its line is quoted, or a word of reporting is near; else as direct, and as aimed if a word
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.llm.words import Memo, settle
 
-STEM = 5
+STEMS = (4, 5, 6)  # letters of a stem
 WINDOW = 6  # words on either side of a hit
 EDGE = ".,;:!?\"'`()[]{}<>*#$%&|_-/\\…«»“”„‘’¡¿"
 QUOTES = frozenset("\"«»“”„")
@@ -193,7 +193,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
             terms, flags = [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = {bare(c) for c in text.split()} - {""}
-                found = words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+                found = words | {w[:n] + "*" for n in STEMS for w in words if len(w) > n}
                 terms += found
                 flags += [toxic] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(flags, pa.int64())], names=["term", "toxic"])
