@@ -46,11 +46,14 @@ def linked_lines(lines: DataFrame) -> DataFrame:
     before = Window.partitionBy(*key).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*key, "segment", F.max("end").over(before).alias("carried"))
     inside = Window.partitionBy(*key, "segment").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    found = spots.withColumn("near", F.max("said").over(inside)).where("quotes").join(ends, [*key, "segment"]).select(
+    found = spots.withColumn("near", F.max("said").over(inside)).where("quotes")
+    ends = ends.select(F.col("conv_id").alias("__c"), F.col("passage").alias("__p"), F.col("segment").alias("__s"), "carried")
+    found = found.join(ends, [F.col("conv_id").eqNullSafe(F.col("__c")), F.col("passage") == F.col("__p"), F.col("segment") == F.col("__s")]).select(
         *key, "turn", F.coalesce("near", "carried").alias("source_turn"))
-    same = [lines[c].eqNullSafe(found[c]) if c == "conv_id" else lines[c] == found[c] for c in (*key, "turn")]
-    return lines.join(found, [*same, lines["level"] > 0], "left").select(
-        lines["conv_id"], lines["turn"], "line_no", "level", "body", lines["passage"], "source_turn")
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in (*key, "turn")], "source_turn")
+    same = [F.col("conv_id").eqNullSafe(F.col("__conv_id")), F.col("passage") == F.col("__passage"), F.col("turn") == F.col("__turn")]
+    return lines.join(found, [*same, F.col("level") > 0], "left").select(
+        "conv_id", "turn", "line_no", "level", "body", "passage", "source_turn")
 
 
 def linked_messages(messages: DataFrame) -> DataFrame:
