@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.words import counter_rows, scatter, settle, summed_counts
+from vigilframe.llm.words import PART, counter_rows, packed, scatter, summed_counts, unpacked
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -100,7 +100,7 @@ def learnt(docs: DataFrame, per_lang: int = 4000, smoothing: float = 0.1) -> Mod
                 table += np.bincount(grams(text), minlength=BUCKETS)
                 rows[lang] = rows.get(lang, 0) + 1
         out = list(counter_rows(pid, tables))
-        out += [{"key": k, "part": -1, "pid": pid, "counts": np.array([n]).tobytes()} for k, n in rows.items()]
+        out += [{"key": k, "part": -1, "pid": pid, "counts": packed(np.array([n]))} for k, n in rows.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r["key"] for r in out], pa.string()), pa.array([r["part"] for r in out], pa.int32()),
              pa.array([r["pid"] for r in out], pa.int64()), pa.array([r["counts"] for r in out], pa.binary())],
@@ -109,11 +109,11 @@ def learnt(docs: DataFrame, per_lang: int = 4000, smoothing: float = 0.1) -> Mod
     counted = picked.mapInArrow(count, "key string, part int, pid long, counts binary")
     tables, rows = {}, {}
     for r in summed_counts(counted, ["key", "part"]).collect():  # languages x buckets numbers
-        piece = np.frombuffer(r["counts"], np.int64)
+        piece = unpacked(r["counts"])
         if r["part"] < 0:
             rows[r["key"]] = int(piece[0])
         else:
-            tables.setdefault(r["key"], np.zeros(BUCKETS, np.int64))[r["part"] << 14 : (r["part"] << 14) + len(piece)] = piece
+            tables.setdefault(r["key"], np.zeros(BUCKETS, np.int64))[r["part"] * PART : r["part"] * PART + len(piece)] = piece
     langs = sorted(tables)
     if not langs:
         return Model([], np.empty(0), np.empty((BUCKETS, 0), np.float32))

@@ -1,9 +1,10 @@
 """Exact Jaccard self-join of documents on word shingles, with signature trees.
 
 1. Every text becomes a set of shingle hashes. Equal sets are one class from here on.
-2. Classes that share one of their rarest shingles (a prefix long enough that no pair at the
-   threshold can miss it) are joined to candidate groups. How frequent a shingle is comes from
-   a table of counters of fixed size, so passages that many documents share link nothing.
+2. Classes of like size that share some of their rarest shingles are joined to candidate groups.
+   The prefix of rarest shingles is so long that a pair at the threshold has several of them in
+   common; a class with fewer shared ones is out. How frequent a shingle is comes from a table
+   of counters of fixed size, so passages that many documents share link nothing.
 3. In each candidate group, classes are ordered by size and form the leaves of a tree whose
    nodes hold OR-combined token bitmaps and size ranges. A dual traversal drops node pairs
    whose greatest possible overlap is too small; what is left is compared exactly. Groups too
@@ -23,14 +24,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.llm.components import components
-from vigilframe.llm.words import byte_texts, counter_rows, scatter, settle, shingle_set, summed_counts, word_hashes, word_memo
+from vigilframe.llm.words import (
+    PART, STEP, byte_texts, counter_rows, scatter, settle, shingle_set, summed_counts, unpacked, word_hashes, word_memo,
+)
 from vigilframe.session import fresh_path
 
-SLOTS = 1 << 18  # counters of shingle frequency
+SLOTS = 1 << 22  # counters of shingle frequency
 FILTER_SLOTS = 1 << 20  # flags of documents whose sets are wanted
 BITS = 2048  # bitmap of a tree node
 LEAF, FAN = 16, 8
@@ -45,10 +48,21 @@ def set_hash(tokens: np.ndarray) -> int:
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
-    """The fewest common tokens that a set of n tokens has with a partner."""
+    """The fewest common tokens that a set of n tokens has with a partner; also its least size."""
     return -(-num * n // den)
 
 
+def shared_least(n: int, num: int, den: int) -> int:
+    """How many common tokens the prefixes of sets of n tokens are made to hold."""
+    return 1 + (n - least_overlap(n, num, den) + 1) // 4
+
+
+def prefix_length(n: int, num: int, den: int) -> int:
+    """Two sets at the threshold, each cut to this many tokens of one order, have at least
+    shared_least(the smaller's size) of them in common."""
+    return n - least_overlap(n, num, den) + shared_least(n, num, den)
+
+
 # ---------------------------------------------------------------- trees
 
 class Tree:
@@ -187,7 +201,7 @@ def shingled(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, cls) of every document, and the counters of shingle frequency."""
 
     def run(batches):
-        memo, counts, pid = word_memo(), np.zeros(SLOTS, np.int64), TaskContext.get().partitionId()
+        memo, counts, pid = word_memo(), np.zeros(SLOTS, np.uint32), TaskContext.get().partitionId()
 
         def batch_of(rows):
             columns = list(zip(*rows)) or [[]] * 6
@@ -206,33 +220,50 @@ def shingled(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
     out = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, cls long, part int, pid long, counts binary"))
-    counts = np.zeros(SLOTS, np.int64)  # fixed size: SLOTS numbers come to the driver
+    counts = np.zeros(SLOTS, np.uint32)  # fixed size: SLOTS numbers come to the driver
     for r in summed_counts(out.where("part is not null").select("part", "pid", "counts"), ["part"]).collect():
-        piece = np.frombuffer(r["counts"], np.int64)
-        counts[r["part"] << 14 : (r["part"] << 14) + len(piece)] = piece
+        piece = unpacked(r["counts"])
+        counts[r["part"] * PART : r["part"] * PART + len(piece)] = piece
     return out.where("part is null").select("doc_id", "n_shingles", "cls"), counts
 
 
 def prefixes(docs: DataFrame, counts, width: int, num: int, den: int) -> DataFrame:
-    """(token, cls): each document's rarest shingles, as many as no partner can miss."""
+    """(token, cls, need): each document's rarest shingles, hashed together with its size band.
+
+    A document whose partners may lie in the next band repeats its shingles there. need is how
+    many of them a partner of any size must share.
+    """
+    step = 4 * math.log(den / num)
 
     def run(batches):
         memo, table = word_memo(), counts.value
         for batch in batches:
-            tokens, classes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            tokens, classes, needs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for text in byte_texts(batch.column(0)):
                 found = shingle_set(word_hashes(text.lower(), memo), width)
-                if not len(found):
-                    continue
                 n = len(found)
-                rank = np.lexsort((found, table[(found & np.uint64(SLOTS - 1)).astype(np.int64)]))
-                kept = found[rank[: n - least_overlap(n, num, den) + 1]]
-                tokens.append(kept)
-                classes.append(np.full(len(kept), set_hash(found), np.int64))
+                if not n:
+                    continue
+                size = prefix_length(n, num, den)
+                seen = table[(found & np.uint64(SLOTS - 1)).astype(np.int64)]
+                if size < n:
+                    limit = np.partition(seen, size - 1)[size - 1]
+                    found_low = found[seen < limit]
+                    kept = np.concatenate([found_low, found[seen == limit][: size - len(found_low)]])
+                else:
+                    kept = found
+                own = math.floor(math.log(n) / step)
+                above = math.floor((math.log(n) + step / 4 + 1e-9) / step)
+                name = set_hash(found)
+                for band in {own, above}:
+                    tokens.append(scatter(kept + np.array([band], np.uint64) * STEP))
+                    classes.append(np.full(size, name, np.int64))
+                    needs.append(np.full(size, shared_least(least_overlap(n, num, den), num, den), np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], names=["token", "cls"])
+                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(needs))],
+                names=["token", "cls", "need"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long")
+    return docs.select("text").mapInArrow(run, "token long, cls long, need int")
 
 
 def wanted_sets(docs: DataFrame, flags, width: int) -> DataFrame:
@@ -312,12 +343,15 @@ def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
 
     path = fresh_path(spark, "prefixes")
     prefixes(docs, spark.sparkContext.broadcast(table), width, num, den).write.parquet(path)
-    tokens = spark.read.schema("token long, cls long").parquet(path)
+    tokens = spark.read.schema("token long, cls long, need int").parquet(path)
     shared = tokens.groupBy("token").agg(F.min("cls").alias("u"), F.max("cls").alias("top")).where("u <> top").select("token", "u")
-    near = tokens.join(shared, "token").where("cls <> u").select("u", F.col("cls").alias("v")).distinct()
-    groups = components(near)
+    near = settle(tokens.join(shared, "token").groupBy("cls", "u").agg(F.count("*").alias("n"), F.max("need").alias("need")))
+    left = near.groupBy("cls").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("cls")
+    groups = components(near.join(left, "cls").select("u", F.col("cls").alias("v")))
 
-    candidates = settle(groups.select(F.col("node").alias("cls"), "root").join(classes, "cls"))
+    members = groups.select(F.col("node").alias("cls"), "root").join(left, "cls")
+    several = members.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
+    candidates = settle(members.join(several, "root").join(classes, "cls"))
     slot = F.pmod(F.xxhash64("least_id"), F.lit(FILTER_SLOTS)).alias("slot")
     flags = np.zeros(FILTER_SLOTS, bool)  # fixed size, as above; a full table only means that every set is made
     flags[[r["slot"] for r in candidates.select(slot).distinct().collect()]] = True
@@ -348,8 +382,6 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     """
     kept = linked_documents(docs, width, num, den).where("doc_id <=> component_id").select(
         F.col("doc_id").alias("__keep")).distinct()
-    from pyspark.sql import Window
-
     row = F.row_number().over(Window.partitionBy("__keep").orderBy(F.col("text").desc_nulls_last()))
     return (
         docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")))

@@ -6,6 +6,7 @@ so that only ASCII white space counts. Everything works on whole texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from vigilframe.session import work_folder
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
+PART = 1 << 14  # counters in one row
 
 
 def settle(frame: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def summed_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds counter arrays (`counts`, little-endian int64 bytes) per key in two rounds.
+    """Adds counter arrays (`counts`, see packed) per key in two rounds.
 
     A round takes at most 64 arrays of one key together, so no task gathers what all
     partitions have counted before it has been added up.
@@ -85,22 +87,32 @@ def summed_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", counts binary"
 
     def add(pdf):
-        total = np.sum([np.frombuffer(c, np.int64) for c in pdf["counts"]], axis=0, dtype=np.int64)
+        total = unpacked(pdf["counts"].iloc[0]).copy()
+        for counts in pdf["counts"].iloc[1:]:
+            total += unpacked(counts)
         out = pdf[keys].head(1).copy()
-        out["counts"] = [total.tobytes()]
+        out["counts"] = [packed(total)]
         return out
 
     first = rows.groupBy(*keys, (F.col("pid") / 64).cast("long").alias("lane")).applyInPandas(add, schema)
     return first.groupBy(*keys).applyInPandas(add, schema)
 
 
-def counter_rows(pid: int, tables: dict, part: int = 1 << 14) -> Iterator[dict]:
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i8")
+
+
+def counter_rows(pid: int, tables: dict, part: int = PART) -> Iterator[dict]:
     """Cuts counter arrays into parts: one row for each key and part that is not all zero."""
     for key, counts in tables.items():
         for i in range(0, len(counts), part):
             piece = counts[i : i + part]
             if piece.any():
-                yield {"key": key, "part": i // part, "pid": pid, "counts": piece.astype(np.int64).tobytes()}
+                yield {"key": key, "part": i // part, "pid": pid, "counts": packed(piece)}
 
 
 def has_rows(frame: DataFrame) -> bool:
