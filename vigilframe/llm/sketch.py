@@ -81,7 +81,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     quantiles = [i / buckets for i in range(1, buckets)] or [0.5]
     cuts = docs.agg(F.percentile_approx("doc_id", quantiles, max(10_000, 20 * buckets))).head()[0] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [-float("inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__at", outputCol="__bucket", handleInvalid="keep")
     placed = cut.transform(docs.withColumn("__at", F.col("doc_id").cast("double"))).select(
         "doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__bucket")).cast("int").alias("bucket"))
