@@ -11,16 +11,18 @@ from vigilframe.llm.words import has_rows, settle
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is one node of its component.
 
-    Each round maps a node to the least of itself and its neighbours and renames the edges'
-    ends, which at least halves the nodes that still have edges. The minimum is taken map-side
-    first, so a hub costs one row per task; renaming is a join that adaptive execution splits.
+    Each round maps a node to the first of itself and its neighbours, in an order drawn anew by
+    a hash, and renames the edges' ends. On average that leaves a constant share of the nodes
+    with edges, whatever the graph's form, so chains take few rounds too. The first one is taken
+    map-side before the shuffle; renaming is a join that adaptive execution splits.
     """
     edges = settle(edges.where("u <> v").distinct())
     maps: list[DataFrame] = []
     while has_rows(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = settle(both.groupBy("u").agg(F.min("v").alias("least")).select(
-            F.col("u").alias("node"), F.least("u", "least").alias("parent")))
+        drawn = lambda c, r=len(maps): F.xxhash64(c, F.lit(r))
+        step = settle(both.groupBy("u").agg(F.min_by("v", drawn("v")).alias("first")).select(
+            F.col("u").alias("node"), F.when(drawn("u") <= drawn("first"), F.col("u")).otherwise(F.col("first")).alias("parent")))
         left = step.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         right = step.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
         edges = settle(edges.join(left, "u").join(right, "v").where("pu <> pv")
