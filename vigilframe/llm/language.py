@@ -23,6 +23,7 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 CHUNK = 1 << 18  # code points scored together
 SPACE = np.uint64(32)
+FEW = 10_000  # languages whose row counts are sent to all tasks
 OUT = "lang_pred string, score double"
 
 
@@ -89,6 +90,8 @@ def learnt(docs: DataFrame, per_lang: int = 4000, smoothing: float = 0.1) -> Mod
     """
     docs = docs.where("lang is not null and text is not null").select("lang", "text")
     sizes = docs.groupBy("lang").agg(F.count("*").alias("of"))
+    if sizes.count() <= FEW:  # else adaptive execution picks the join
+        sizes = F.broadcast(sizes)
     mark = F.xxhash64("text", F.lit("lang"))
     picked = docs.join(sizes, "lang").where(F.pmod(mark, F.col("of")) < per_lang)
 
