@@ -16,6 +16,7 @@ from vigilframe.llm.words import settle
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 CELLS = 1 << 16  # rank cells of a source
+BLOCK = 1 << 8  # cells of a block
 FEW = 100_000  # source rows of under 100 bytes that are sent to all tasks; with more, adaptive execution picks the join
 
 
@@ -78,14 +79,15 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
         F.min("level").alias("low"), F.max("level").alias("high")), weights, most)
     sources = settle(sources)
     rows = ranked(by_source(sized, sources), most)
-    cells = rows.groupBy("source", "cell").agg(
-        F.sum(F.when(F.col("rank").isNotNull(), F.col("size"))).alias("words"),
-        F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
-    left = F.first("target").over(Window.partitionBy("source")) - F.sum("certain").over(Window.partitionBy("source"))
-    upto = Window.partitionBy("source").orderBy(F.col("cell").asc_nulls_first())
-    cells = cells.withColumn("left", left).withColumn("after", F.sum(F.coalesce("words", F.lit(0))).over(upto))
-    cut = settle(cells.where("cell is not null and after > left").groupBy("source", "left").agg(
-        F.min("cell").alias("cut_cell"), F.min_by(F.col("after") - F.col("words"), "cell").alias("before")))
+    cells = settle(rows.groupBy("source", "cell").agg(
+        F.coalesce(F.sum(F.when(F.col("rank").isNotNull(), F.col("size"))), F.lit(0)).alias("words"),
+        F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"),
+    ).withColumn("block", F.floor(F.col("cell") / BLOCK).cast("int")))
+    budget = cells.groupBy("source").agg((F.first("target") - F.sum("certain")).alias("left"))
+    blocks = crossing(by_source(cells.where("cell is not null").groupBy("source", "block").agg(
+        F.sum("words").alias("words"), F.lit(0).cast("long").alias("before")), budget), "block")
+    inner = by_source(cells, blocks.withColumnRenamed("block", "cut_block")).where("block = cut_block")
+    cut = crossing(inner, "cell").withColumnRenamed("cell", "cut_cell")
     crossed = by_source(rows, cut).where("cell = cut_cell")
     inside = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size")
     last = (
@@ -98,6 +100,17 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
         .join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
 
 
+def crossing(sums: DataFrame, key: str) -> DataFrame:
+    """The first block or cell of each source at which the words taken pass those left.
+
+    At most 256 rows of a source are ordered: first its blocks, then the cells of one block.
+    """
+    upto = Window.partitionBy("source").orderBy(key)
+    after = sums.withColumn("after", F.col("before") + F.sum("words").over(upto))
+    return settle(after.where("after > left").groupBy("source", "left").agg(
+        F.min(key).alias(key), F.min_by(F.col("after") - F.col("words"), key).alias("before")))
+
+
 def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Joins with a table of one row per source, sent to all tasks while it is small."""
     table = table.withColumnRenamed("source", "__source")
