@@ -18,6 +18,7 @@ PROTO_FIELDS = ("proto", "protocol", "protocol_name")
 LABEL_FIELDS = ("label", "category", "status", "level")
 ATTACK_SEVERITIES = ("ALERT", "CRITICAL", "HIGH")
 MILLISECOND_EPOCH = 1_000_000_000_000
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 _ISO = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -91,8 +92,10 @@ def parse_time(value: Column) -> Column:
 
 
 def epoch_time(seconds: Column) -> Column:
+    """Epoch seconds or milliseconds as a UTC time; NULL beyond the years 1 to 9999."""
     scaled = F.when(seconds > MILLISECOND_EPOCH, seconds / 1000).otherwise(seconds)
-    return F.timestamp_micros((scaled * 1_000_000).cast("bigint")).cast("timestamp_ntz")
+    inside = F.when((scaled >= FIRST_SECOND) & (scaled <= LAST_SECOND), scaled)
+    return F.timestamp_micros((inside * 1_000_000).try_cast("bigint")).cast("timestamp_ntz")
 
 
 def event_time(event: Column, default: Column) -> Column:

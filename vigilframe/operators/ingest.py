@@ -14,8 +14,7 @@ MAX_PORT = 65535
 MAX_LENGTH = {"proto": 32, "severity": 32, "message": 2048}
 KNOWN_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "proto", "severity", "message")
 FLAG_ON = ("1", "true", "yes", "on")
-# A producer's name, then the pulse marker.
-HEARTBEAT = r"^\s*\S+ auto-pulse"
+PULSE = "auto-pulse"  # follows the producer's name
 
 
 def scan_json_events(df: DataFrame, raw: str = "raw", out: str = "event") -> DataFrame:
@@ -55,19 +54,31 @@ def validate_events(df: DataFrame) -> DataFrame:
     )
 
 
-def is_heartbeat(*candidates: Column, pattern: str = HEARTBEAT) -> Column:
-    """The first non-empty text is a producer's pulse."""
-    return F.lower(F.coalesce(coerce.first_text(*candidates), F.lit(""))).rlike(pattern)
+def is_heartbeat(*candidates: Column, producer: str) -> Column:
+    """The first non-empty text is a pulse of this producer."""
+    text = F.trim(F.lower(F.coalesce(coerce.first_text(*candidates), F.lit(""))))
+    return text.startswith(f"{producer.lower()} {PULSE}")
 
 
-def drop_heartbeats(df: DataFrame, *fields: str, pattern: str = HEARTBEAT) -> DataFrame:
-    return df.filter(~is_heartbeat(*[F.col(c) for c in fields or ("message",)], pattern=pattern))
+def drop_heartbeats(df: DataFrame, *fields: str, producer: str) -> DataFrame:
+    """Leaves out the pulses of one producer; messages of others stay, whatever their form."""
+    return df.filter(~is_heartbeat(*[F.col(c) for c in fields or ("message",)], producer=producer))
 
 
 def default_event_fields(df: DataFrame, as_of: Column, ts: str = "ts", content: Sequence[str] = KNOWN_FIELDS) -> DataFrame:
-    """Missing times become the arrival time; the id is a digest, so a retry repeats it."""
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in content])
-    return df.withColumn("id", F.sha2(text, 256)).withColumn(ts, F.coalesce(F.col(ts), as_of))
+    """Missing times become the arrival time, missing ids a digest of all that was sent.
+
+    The digest covers the content fields, the time as sent, and ``extras`` where there are
+    any, so a retry repeats the id and another event doesn't. Each value carries its length and
+    NULL is a mark of its own: fields can't run into each other.
+    """
+    sent = [F.col(c).cast("string") for c in (*content, ts)]
+    if "extras" in df.columns:
+        sent.append(F.to_json(F.array_sort(F.map_entries("extras"))))
+    marked = [F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in sent]
+    digest = F.sha2(F.concat_ws("|", *marked), 256)
+    given = F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), digest) if "id" in df.columns else digest
+    return df.withColumn("id", given).withColumn(ts, F.coalesce(F.col(ts), as_of))
 
 
 def extras(df: DataFrame, raw: str = "raw", known: Sequence[str] = KNOWN_FIELDS) -> DataFrame:

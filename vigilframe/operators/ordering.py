@@ -40,7 +40,8 @@ def newest_n_per_key(df: DataFrame, keys: Sequence[str], n: int, order: str = "s
 
 
 def _with_segment(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn(SEG, F.floor(F.col(order) / width))
+    # Whole-number division: a double can't hold numbers beyond 2^53.
+    return df.withColumn(SEG, F.expr(f"cast(`{order}` as bigint) div {int(width)}"))
 
 
 def lag_by_key(
@@ -203,7 +204,8 @@ def accept_in_order(
         T.StructField(LANE, T.IntegerType()), T.StructField(SEG, T.LongType()),
         T.StructField("_start", T.StringType()), T.StructField("_end", T.StringType()),
     ])
-    mask_schema = T.StructType([base.schema[order]])
+    # A sequence number may repeat among keys, so an accepted row is known by both.
+    mask_schema = T.StructType([T.StructField(f"_is_{c}", base.schema[c].dataType) for c in (*keys, order)])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         start = pdf["_start"].iloc[0] or "{}"
@@ -214,7 +216,7 @@ def accept_in_order(
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order)
         mask, _ = decide(rows, json.loads(rows["_start"].iloc[0] or "{}"))
-        return rows.loc[mask, [order]]
+        return rows.loc[mask, [*keys, order]].set_axis(mask_schema.names, axis=1)
 
     def ends_of(starts: DataFrame) -> DataFrame:
         return written(starts.groupBy(*group).applyInPandas(finish, end_schema), "ends")
@@ -232,4 +234,5 @@ def accept_in_order(
         redone = ends_of(base.join(stale, group))
         ends = written(ends.join(redone.select(*group), group, "left_anti").unionByName(redone), "ends")
     accepted = base.join(ends.select(*group, "_start"), group).groupBy(*group).applyInPandas(keep, mask_schema)
-    return base.drop(SEG, LANE).join(accepted, order, "left_semi")
+    same = [base[c].eqNullSafe(accepted[f"_is_{c}"]) for c in (*keys, order)]
+    return base.join(accepted, same, "left_semi").drop(SEG, LANE)

@@ -261,9 +261,12 @@ def attack_frequency_window(points: DataFrame, as_of: str | None, window: str) -
     )
 
 
-def spike_states(buckets: DataFrame, back: int = 4) -> DataFrame:
-    """For each minute: spike, cooled or steady against the mean of the minutes before."""
-    before = Window.orderBy("minute").rowsBetween(-back, -1)
+def spike_states(buckets: DataFrame) -> DataFrame:
+    """For each minute of a zero-filled timeline: spike, cooled or steady against the mean of all minutes before.
+
+    The timeline's length, an argument of ``timeline``, bounds the rows of the window.
+    """
+    before = Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
     mean, n = F.avg("count").over(before), F.count("count").over(before)
     state = (
         F.when(n < 1, "steady")

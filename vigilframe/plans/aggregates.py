@@ -277,14 +277,16 @@ def busiest(spark, sf):
     return health.highest_cpu_node(health.latest_samples(views.host_metrics(spark, sf)))
 
 
-@query("d28_backlog_size", "telemetry", "SELECT least(count(*), 10000) AS backlog FROM telemetry")
+@query("d28_backlog_size", "telemetry", "SELECT count(*) AS backlog FROM telemetry")
 def backlog(spark, sf):
-    return views.telemetry(spark, sf).agg(F.least(F.count("*"), F.lit(10_000)).alias("backlog"))
+    return views.telemetry(spark, sf).agg(F.count("*").alias("backlog"))
 
 
-@query("d29_event_count", "telemetry", "SELECT severity, count(*) AS count FROM telemetry GROUP BY 1")
+@query("d29_event_count", "telemetry", """
+SELECT coalesce(severity, 'all') AS severity, count(*) AS count FROM telemetry GROUP BY GROUPING SETS ((severity), ())""")
 def event_count(spark, sf):
-    return views.telemetry(spark, sf).groupBy("severity").agg(F.count("*").alias("count"))
+    per = views.telemetry(spark, sf).rollup("severity").agg(F.count("*").alias("count"))
+    return per.select(F.coalesce("severity", F.lit("all")).alias("severity"), "count")
 
 
 @query("d30_incidents_overview", "telemetry", f"""

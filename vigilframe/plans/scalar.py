@@ -58,17 +58,24 @@ def valid_ip(spark, sf):
 
 @query("b3_drop_heartbeats", "inbound", """
 SELECT seq, message FROM inbound
-WHERE NOT regexp_matches(lower(trim(coalesce(message, ''))), '^\\S+ auto-pulse')""")
+WHERE NOT regexp_matches(lower(trim(coalesce(message, ''))), '^sensor auto-pulse')""")
 def heartbeats(spark, sf):
-    return ingest.drop_heartbeats(views.inbound(spark, sf)).select("seq", "message")
+    return ingest.drop_heartbeats(views.inbound(spark, sf), producer="Sensor").select("seq", "message")
 
 
+def _duck_sent(name):
+    return f"coalesce(CAST(length(CAST({name} AS VARCHAR)) AS VARCHAR) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+# Every fifth event has an id, and some of these repeat.
 @query("b4_default_event_fields", "inbound", f"""
-SELECT seq, coalesce(ts, {ASOF}) AS ts,
-  sha256(concat_ws('|', src_ip, dst_ip, CAST(src_port AS VARCHAR), CAST(dst_port AS VARCHAR), proto, severity, message)) AS id
+SELECT seq, coalesce(ts, {ASOF}) AS ts, CASE WHEN seq % 5 = 0 THEN 'given-' || CAST(seq % 500 AS VARCHAR)
+  ELSE sha256(concat_ws('|', {', '.join(_duck_sent(c) for c in (*ingest.KNOWN_FIELDS, 'ts'))})) END AS id
 FROM inbound""")
 def defaults(spark, sf):
-    return ingest.default_event_fields(views.inbound(spark, sf), views.as_of()).select("seq", "ts", "id")
+    given = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("given-"), (F.col("seq") % 500).cast("string")))
+    events = views.inbound(spark, sf).withColumn("id", given)
+    return ingest.default_event_fields(events, views.as_of()).select("seq", "ts", "id")
 
 
 @query("b5_keep_extras", "raw_events", RAWCTE + """,
@@ -314,10 +321,10 @@ def impute(spark, sf):
 
 
 @query("b30_clip", "flows", """
-SELECT flow_key, least(greatest(flow_bytes_s, -1e9::DOUBLE), 1e9::DOUBLE) AS flow_bytes_s,
- least(greatest(pkt_len_mean * 20000, -1e9::DOUBLE), 1e9::DOUBLE) AS pkt_len_mean FROM flows WHERE NOT isnan(flow_bytes_s)""")
+SELECT flow_key, CASE WHEN isnan(flow_bytes_s) THEN flow_bytes_s ELSE least(greatest(flow_bytes_s, -1e9::DOUBLE), 1e9::DOUBLE) END AS flow_bytes_s,
+ CASE WHEN isnan(pkt_len_mean) THEN pkt_len_mean ELSE least(greatest(pkt_len_mean * 20000, -1e9::DOUBLE), 1e9::DOUBLE) END AS pkt_len_mean FROM flows""")
 def clip(spark, sf):
-    f = views.flows(spark, sf).filter(~F.isnan("flow_bytes_s")).withColumn("pkt_len_mean", F.col("pkt_len_mean") * 20000)
+    f = views.flows(spark, sf).withColumn("pkt_len_mean", F.col("pkt_len_mean") * 20000)
     return flowops.clip(f.select("flow_key", "flow_bytes_s", "pkt_len_mean"), ["flow_bytes_s", "pkt_len_mean"])
 
 
@@ -510,7 +517,8 @@ def points(spark, sf):
     total = F.when(F.col("seq") % 2 == 0, F.lit(',"total":999')).otherwise("")
     payload = F.concat(
         F.lit('{"points":[{"timestamp":"T0","count":'), F.col("k").cast("string"), F.lit('},{"minute":"00:01","value":'),
-        (F.col("k") + 1).cast("string"), F.lit('},{"hits":"x"}]'), total, F.lit("}"))
+        (F.col("k") + 1).cast("string"), F.lit('},{"hits":"'),
+        F.when(F.col("seq") % 3 == 0, "NaN").when(F.col("seq") % 3 == 1, "Infinity").otherwise("x"), F.lit('"}]'), total, F.lit("}"))
     t = views.telemetry(spark, sf).select("seq", payload.alias("payload"))
     return narrative.normalise_points(t, ["seq"])
 

@@ -45,11 +45,11 @@ def tail(spark, sf):
 
 @query("i1_stream_ingest", "inbound", """
 SELECT seq, seq % 83 <> 0 AND seq % 89 <> 0 AND seq % 97 <> 0 AND seq % 79 <> 0 AND seq % 73 <> 0 AND seq % 107 <> 0 AS accepted FROM inbound
-WHERE NOT regexp_matches(lower(trim(coalesce(message, ''))), '^\\S+ auto-pulse')""")
+WHERE NOT regexp_matches(lower(trim(coalesce(message, ''))), '^sensor auto-pulse')""")
 def stream_ingest(spark, sf):
     inbound = views._over(spark, views.view_sql("inbound", "spark"), telemetry=telemetry_stream(spark, sf))
     good, bad = fresh_path(spark, "accepted"), fresh_path(spark, "rejected")
-    sinks.drain(inbound, jobs.ingest_writer(good, bad))
+    sinks.drain(inbound, jobs.ingest_writer(good, bad, producer="Sensor"))
     seq = lambda path, ok: spark.read.parquet(path).select("seq", F.lit(ok).alias("accepted"))
     return seq(good, True).unionByName(seq(bad, False))
 
@@ -177,8 +177,9 @@ def stream_logs(spark, sf):
 @query("i14_stream_backlog", "", "SELECT CAST(count(*) AS BIGINT) AS input_rows FROM events")
 def stream_backlog(spark, sf):
     path = fresh_path(spark, "backlog")
-    finished = sinks.drain(events_stream(spark, sf).select("event_id"), sinks.changelog(path))
-    return jobs.progress_table(spark, finished).agg(F.sum("input_rows").alias("input_rows"))
+    ids = events_stream(spark, sf).select("event_id")
+    sinks.drain(ids, sinks.changelog(path))
+    return jobs.rows_per_batch(sinks.read_changelog(spark, path, ids.schema)).agg(F.sum("input_rows").alias("input_rows"))
 
 
 @query("e10_stream_suppress_alerts", "telemetry", f"""WITH RECURSIVE {SUPPRESS.strip()}

@@ -100,12 +100,14 @@ def table_rows(spark, sf):
 
 
 @query("f12_geo_top", "telemetry", f"""
-WITH t AS (SELECT src_ip AS ip, count(*) AS count FROM telemetry GROUP BY 1 ORDER BY 2 DESC, max(seq) DESC LIMIT 100),
+WITH t AS (SELECT src_ip AS ip, count(*) AS count FROM telemetry WHERE src_ip IS NOT NULL GROUP BY 1),
 ranked AS (SELECT *, row_number() OVER (ORDER BY count DESC, ip) - 1 AS rank FROM t), {PSEUDO}
 SELECT concat('geo-', ip) AS id, ip, {PSEUDO_LAT} AS latitude, {PSEUDO_LON} AS longitude,
  round(greatest(0.2::DOUBLE, least(1.0::DOUBLE, count / CAST((SELECT max(count) FROM t) AS DOUBLE))), 9) AS intensity FROM seed ORDER BY count DESC, ip LIMIT 30""")
 def geo_top(spark, sf):
-    points = summary.geo_points(summary.top_k(views.telemetry(spark, sf), "src_ip", 100))
+    # The list is cut once, in the order that the points are numbered and kept in.
+    per = views.telemetry(spark, sf).where("src_ip is not null").groupBy("src_ip").agg(F.count("*").alias("count"))
+    points = summary.geo_points(per.orderBy(F.col("count").desc(), "src_ip").limit(30))
     return summary.geo_top(points).withColumn("intensity", F.round("intensity", 9))
 
 

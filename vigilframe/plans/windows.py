@@ -70,24 +70,30 @@ def rank(spark, sf):
     return imp.importance_rank(norm_importance(spark, sf))
 
 
-BUCKETS = """b AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS count FROM telemetry WHERE severity = 'ALERT' GROUP BY 1)"""
+RARE = "severity = 'ALERT' AND seq % 97 = 0"  # leaves minutes empty
 
 
-def buckets(spark, sf):
-    return summary.per_minute(threats.alerts_only(views.telemetry(spark, sf)))
+def _buckets(rows):
+    return f"""s AS (SELECT unnest(generate_series({ASOF} - INTERVAL 59 MINUTE, {ASOF}, INTERVAL 1 MINUTE)) AS minute),
+c AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS count FROM telemetry WHERE {rows} AND ts >= {ASOF} - INTERVAL 60 MINUTE GROUP BY 1),
+b AS (SELECT minute, coalesce(count, 0) AS count FROM s LEFT JOIN c USING (minute))"""
 
 
-@query("e7_spike_or_cooldown", "telemetry", f"""WITH {BUCKETS},
-m AS (SELECT *, avg(count) OVER w AS mean, count(*) OVER w AS n FROM b WINDOW w AS (ORDER BY minute ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
+def buckets(spark, sf, rows):
+    return summary.timeline(views.telemetry(spark, sf).where(rows), views.AS_OF, 60)
+
+
+@query("e7_spike_or_cooldown", "telemetry", f"""WITH {_buckets(RARE)},
+m AS (SELECT *, avg(count) OVER w AS mean, count(*) OVER w AS n FROM b WINDOW w AS (ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT minute, count, CASE WHEN n < 1 THEN 'steady' WHEN count > mean * 1.5 AND count >= 3 THEN 'spike' WHEN count <= mean * 0.5 AND mean > 0 THEN 'cooled' ELSE 'steady' END AS state FROM m""")
 def spike(spark, sf):
-    return summary.spike_states(buckets(spark, sf))
+    return summary.spike_states(buckets(spark, sf, RARE))
 
 
-@query("e8_recent_spike", "telemetry", f"""WITH {BUCKETS}, n AS (SELECT * FROM b ORDER BY minute DESC LIMIT 3)
+@query("e8_recent_spike", "telemetry", f"""WITH {_buckets("true")}, n AS (SELECT * FROM b ORDER BY minute DESC LIMIT 3)
 SELECT minute, count FROM n WHERE count >= 5 ORDER BY minute LIMIT 1""")
 def recent_spike(spark, sf):
-    return summary.recent_spike(buckets(spark, sf))
+    return summary.recent_spike(buckets(spark, sf, "true"))
 
 
 JUMPS = f"""{ema('PARTITION BY src_ip')},

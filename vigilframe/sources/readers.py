@@ -12,17 +12,54 @@ LOG_GLOB = "detection_log_*.txt"
 
 
 def scan_flow_csvs(spark: SparkSession, folder: str, schema: T.StructType | str | None = None, glob: str = "*.csv") -> DataFrame:
-    """All CSV files of a folder with a ``file_id``; unreadable files are skipped.
+    """All CSV files of a folder, united by column name, with a ``file_id``.
 
-    Give a schema for large folders: inference reads a sample of the text once more.
+    Each file's own header names its columns, whatever their order; a column that a file lacks
+    is NULL there. Without a schema, types come from all rows of the files that share a header.
+    With one, lines that don't fit it are kept in ``_corrupt_record``. Files that can't be read
+    are skipped; ``skipped_csvs`` lists them. No file at all is an error.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob)
-    reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("enforceSchema", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True).option("samplingRatio", 0.1)
-    found = reader.csv(folder)
-    if not found.columns:
+    headers = csv_headers(spark, folder, glob)
+    by_header = headers.groupBy("header").agg(F.collect_list("file_id").alias("files")).orderBy("header").collect()
+    if not by_header:
         raise FileNotFoundError(f"no readable CSV files in {folder}")
-    return found.select(*[F.col(f"`{c}`") for c in found.columns], F.col("_metadata.file_path").alias("file_id"))
+    wanted = None
+    if schema is not None:
+        wanted = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    united = None
+    for row in by_header:
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
+        names = reader.csv(row["files"][0]).columns
+        if wanted is None:
+            found = reader.option("inferSchema", True).csv(row["files"])
+        else:
+            types = {f.name: f.dataType for f in wanted.fields}
+            fields = [T.StructField(n, types.get(n, T.StringType())) for n in names]
+            fields.append(T.StructField(CORRUPT, T.StringType()))
+            found = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", CORRUPT).csv(row["files"])
+        found = found.select(*[F.col(f"`{c}`") for c in found.columns], F.col("_metadata.file_path").alias("file_id"))
+        united = found if united is None else united.unionByName(found, allowMissingColumns=True)
+    return united
+
+
+CORRUPT = "_corrupt_record"
+
+
+def csv_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """(file_id, header) of the CSV files that can be read and are not empty."""
+    lines = spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).text(folder).select(
+        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value")
+    return lines.where("block = 0").groupBy("file_id").agg(F.min_by("value", "place").alias("header"))
+
+
+def skipped_csvs(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """The CSV files of a folder that have no header to read: broken or empty."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    files = listing.select(F.col("path").alias("file_id"))
+    name = F.regexp_replace("file_id", "^file:/+", "/")
+    read = csv_headers(spark, folder, glob).select(name.alias("_name"))
+    return files.join(read, name == F.col("_name"), "left_anti")
 
 
 def read_log_dir(spark: SparkSession, folder: str, glob: str = LOG_GLOB) -> DataFrame:

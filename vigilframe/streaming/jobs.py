@@ -30,11 +30,11 @@ def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATENESS)
 
 
-def ingest_writer(accepted_path: str, rejected_path: str) -> sinks.BatchWriter:
+def ingest_writer(accepted_path: str, rejected_path: str, producer: str) -> sinks.BatchWriter:
     """Validate, drop pulses, fill defaults; accepted events and rejects go to two tables."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        checked = ingest.validate_events(ingest.drop_heartbeats(df)).persist()
+        checked = ingest.validate_events(ingest.drop_heartbeats(df, producer=producer)).persist()
         try:
             good = ingest.default_event_fields(checked.filter("accepted"), F.current_timestamp().cast("timestamp_ntz"))
             good.drop("errors", "accepted").write.mode("overwrite").parquet(sinks.batch_path(accepted_path, batch_id))
@@ -190,7 +190,7 @@ def score_writer(scorer: Scorer, path: str) -> sinks.BatchWriter:
             scored = scorer(df).select("seq", "score", bands.anomaly_label(F.col("score")).alias("label"), F.lit(None).cast("string").alias("error"))
             scored.write.mode("overwrite").parquet(target)
         except Exception as exc:
-            failed = df.select("seq", F.lit(0.0).alias("score"), F.lit("error").alias("label"), F.lit(str(exc)[:500]).alias("error"))
+            failed = df.select("seq", F.lit(0.0).alias("score"), F.lit("error").alias("label"), F.lit(str(exc)).alias("error"))
             failed.write.mode("overwrite").parquet(target)
 
     return write
@@ -279,10 +279,9 @@ def log_messages(stream: DataFrame, as_of) -> DataFrame:
     return parsed.select(F.col("ts").alias("timestamp"), "line", F.col("category").alias("type"))
 
 
-def progress_table(spark: SparkSession, query) -> DataFrame:
-    """Rows per micro-batch of a finished query, from its progress reports."""
-    rows = [(int(p["batchId"]), int(p["numInputRows"])) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint")
+def rows_per_batch(log: DataFrame) -> DataFrame:
+    """Rows of every micro-batch, counted in the change log itself: progress reports are forgotten."""
+    return log.groupBy("batch_id").agg(F.count("*").alias("input_rows"))
 
 
 def detection_latency(df: DataFrame, event_ts: str, processed_ts: str) -> DataFrame:
