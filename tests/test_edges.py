@@ -46,6 +46,7 @@ def test_event_time_forms(spark):
         '{"timestamp": 1704067200}': "2024-01-01 00:00:00", '{"ts": 1704067200000}': "2024-01-01 00:00:00",
         '{"time": "2024-01-01T00:00:00.250Z"}': "2024-01-01 00:00:00.250000", '{"@timestamp": "2024-01-01T02:00:00+02:00"}': "2024-01-01 00:00:00",
         '{"timestamp": "soon", "ts": "2024-01-01 00:00:05"}': "2024-01-01 00:00:05", '{"timestamp": "soon"}': AS_OF, "{}": AS_OF,
+        '{"timestamp": 1704067200000000000}': AS_OF, '{"timestamp": 1e300, "ts": 1704067200}': "2024-01-01 00:00:00", '{"time": -1e18}': AS_OF,
     }
     df = spark.createDataFrame([(r,) for r in raw], "raw string")
     got = ingest.scan_json_events(df).select("raw", coerce.event_time(F.col("event"), F.lit(AS_OF).cast("timestamp_ntz")).alias("ts"))
@@ -169,3 +170,33 @@ def test_latest_log(spark, tmp_path):
         path.write_text(name + "\n")
         os.utime(path, (1_700_000_000 + age, 1_700_000_000 + age))
     assert [r["line"] for r in readers.latest_log_only(spark, str(tmp_path)).collect()] == ["detection_log_a.txt"]
+
+
+def test_csv_files_are_united_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,label\n1,up\n2,down\n")
+    (tmp_path / "b.csv").write_text("label,x,extra\nup,7,q\nup,n/a,r\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "broken.csv.gz").write_bytes(b"no gzip at all")
+    typed = readers.scan_flow_csvs(spark, str(tmp_path), "x int, label string")
+    rows = sorted((r["x"] or 0, r["label"], r["extra"], r["_corrupt_record"]) for r in typed.collect())
+    assert rows == [(0, "up", "r", "up,n/a,r"), (1, "up", None, None), (2, "down", None, None), (7, "up", "q", None)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "big.csv").write_text("x\n" + "1\n" * 20000 + "7.5\n")
+    assert readers.scan_flow_csvs(spark, str(tmp_path / "d")).agg(F.max("x")).first()[0] == 7.5
+    assert [r["file_id"].rsplit("/", 1)[1] for r in readers.skipped_csvs(spark, str(tmp_path), "*.csv*").collect()] == ["broken.csv.gz"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        readers.scan_flow_csvs(spark, str(tmp_path / "none"), "x int")
+
+
+def test_ids_tell_events_apart(spark):
+    rows = [("a", None, 1, None), (None, "a", 1, None), ("a", None, 2, None), ("a", None, 1, None), ("a", None, 1, "given")]
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, t int, id string").withColumn(
+        "ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    ids = [r["id"] for r in ingest.default_event_fields(df, F.lit(AS_OF).cast("timestamp_ntz"), content=("src_ip", "dst_ip")).collect()]
+    assert ids[0] == ids[3] and ids[4] == "given" and len(set(ids)) == 4
+
+
+def test_only_the_named_pulse_goes(spark):
+    df = spark.createDataFrame([(" Sensor auto-pulse ok",), ("worm auto-pulse",), (None,)], "message string")
+    assert [r[0] for r in ingest.drop_heartbeats(df, producer="sensor").collect()] == ["worm auto-pulse", None]

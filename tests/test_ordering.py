@@ -124,3 +124,10 @@ def test_threat_state_replay(spark):
         status[ip] = now
     got = threats.threat_stats(spark.createDataFrame(rows, "seq bigint, src_ip string, status string, confidence double")).first()
     assert (got["active_threats"], got["blocked_ips"], got["suspicious_ips"]) == (active, blocked, len(suspicious))
+
+
+def test_accepted_rows_are_known_by_key_and_order(spark):
+    rows = [(1, "b", "info", "x", 0), (2, "b", "info", "x", 1000), (2, "a", "info", "x", 1000), (1 << 60, None, "info", "y", 2000)]
+    df = spark.createDataFrame(rows, "seq bigint, src_ip string, level string, identity string, ms bigint")
+    got = ordering.accept_in_order(df, ["src_ip"], "seq", threats.suppression_rule).collect()
+    assert {(r["seq"], r["src_ip"]) for r in got} == {(1, "b"), (2, "a"), (1 << 60, None)}

@@ -45,6 +45,19 @@ def test_threat_index(stream, batch):
     assert got == pytest.approx(want)
 
 
+def test_late_events_count_in_the_index(spark):
+    path = fresh_path(spark, "late")
+    schema = "seq bigint, ts timestamp_ntz, src_ip string, severity string"
+    rows = [(i, f"2024-01-01 {'05' if i < 3 else '03'}:00:0{i}", "a", "ALERT") for i in range(5)]
+    events = spark.createDataFrame(rows, "seq bigint, ts string, src_ip string, severity string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for i in range(5):
+        events.where(F.col("seq") == i).coalesce(1).write.mode("append").parquet(path)
+    late = readers.telemetry_source(spark, path, spark.createDataFrame([], schema).schema, files_per_batch=1)
+    live = sinks.drain_to_table(jobs.threat_index_stream(late), "update", ["src_ip"]).collect()
+    want = {r["src_ip"]: r["threat_index"] for r in threats.threat_index_final(events, True).collect()}
+    assert {r["src_ip"]: r["threat_index"] for r in live} == pytest.approx(want) and live[0]["events"] == 5
+
+
 def test_threat_state_and_deltas(spark, stream, batch):
     path = fresh_path(spark, "states")
     states = jobs.threat_state_stream(stream)

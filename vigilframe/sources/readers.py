@@ -54,7 +54,7 @@ def csv_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFr
 
 
 def skipped_csvs(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
-    """The CSV files of a folder that have no header to read: broken or empty."""
+    """The CSV files of a folder that are not empty but have no header to read: they are broken."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     files = listing.select(F.col("path").alias("file_id"))
     name = F.regexp_replace("file_id", "^file:/+", "/")

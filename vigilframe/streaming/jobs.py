@@ -17,7 +17,7 @@ from vigilframe.operators.logs import blocklist
 from vigilframe.session import ROCKSDB_PROVIDER, fresh_path
 from vigilframe.streaming import sinks
 
-LATENESS = "10 minutes"
+LATENESS = "10 minutes"  # default of every job with a watermark: rows later than that are left out
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -25,9 +25,9 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
+def with_event_time(df: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
     """Watermarks need a zoned timestamp."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATENESS)
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
 
 
 def ingest_writer(accepted_path: str, rejected_path: str, producer: str) -> sinks.BatchWriter:
@@ -61,16 +61,16 @@ def totals_of_sources(latest: DataFrame) -> DataFrame:
     )
 
 
-def minute_buckets(stream: DataFrame) -> DataFrame:
+def minute_buckets(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Tumbling minute counts of attack and other events."""
-    windowed = with_event_time(stream).groupBy(F.window("ts", "1 minute").alias("w"))
+    windowed = with_event_time(stream, lateness=lateness).groupBy(F.window("ts", "1 minute").alias("w"))
     counts = windowed.agg(F.count_if("attack").alias("attack"), F.count_if(~F.col("attack")).alias("normal"))
     return counts.select(F.col("w.start").alias("minute"), "attack", "normal")
 
 
-def sliding_summary(stream: DataFrame, minutes: int = 5) -> DataFrame:
+def sliding_summary(stream: DataFrame, minutes: int = 5, lateness: str = LATENESS) -> DataFrame:
     """Totals and attack rate of the trailing window, refreshed every minute."""
-    windowed = with_event_time(stream).groupBy(F.window("ts", f"{minutes} minutes", "1 minute").alias("w"))
+    windowed = with_event_time(stream, lateness=lateness).groupBy(F.window("ts", f"{minutes} minutes", "1 minute").alias("w"))
     return windowed.agg(F.count("*").alias("total_events"), F.count_if("attack").alias("attacks")).select(
         F.col("w.end").alias("window_end"), "total_events", F.round(F.col("attacks") / minutes, 2).alias("attack_rate")
     )
@@ -91,38 +91,40 @@ def _newest_per_source(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 INDEX_STATE = T.StructType([T.StructField("recent", T.StringType()), T.StructField("events", T.LongType())])
 INDEX_SCHEMA = "src_ip string, threat_index double, events bigint"
-IDLE_MS = 24 * 3600 * 1000
 
 
-def _advance_index(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance_index(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
     """Keep the newest contributions of a source; its index is their decayed sum."""
     if state.hasTimedOut:
         state.remove()
         return
     held = state.get if state.exists else ("[]", 0)
     recent, events = [tuple(x) for x in json.loads(held[0])], int(held[1])
-    newest_ms = state.getCurrentWatermarkMs()
+    newest_ms = state.getCurrentWatermarkMs() if idle_ms else 0
     for pdf in batches:
         events += int(pdf["events"].sum())
         newest_ms = max(newest_ms, int(pdf["ts"].max().timestamp() * 1000))
         recent = sorted(recent + list(zip(pdf["seq"].tolist(), pdf["w"].tolist())))[-ordering.REACH:]
     state.update((json.dumps(recent), events))
-    state.setTimeoutTimestamp(newest_ms + IDLE_MS)
+    if idle_ms:
+        state.setTimeoutTimestamp(newest_ms + idle_ms)
     index = sum(w * 0.5**age for age, (_, w) in enumerate(reversed(recent)))
     yield pd.DataFrame({"src_ip": [key[0]], "threat_index": [float(index)], "events": [events]})
 
 
-def threat_index_stream(stream: DataFrame) -> DataFrame:
-    """The index of every source that changed in a micro-batch; idle sources lose their state.
+def threat_index_stream(stream: DataFrame, idle_ms: int | None = None, lateness: str = LATENESS) -> DataFrame:
+    """The index of every source that changed in a micro-batch, late rows included.
 
-    The timeout runs on event time: a processing-time one would keep a run over all
-    available data from ever ending.
+    Only with ``idle_ms`` does a source lose its state, that long after its last event, and only
+    then are rows later than ``lateness`` left out. That timeout runs on event time: a
+    processing-time one would keep a run over all available data from ever ending.
     """
     rows = stream.select("src_ip", "seq", F.col("ts").cast("timestamp").alias("ts"), threats.index_contribution(F.col("severity")).alias("w"))
     reduced = rows.mapInPandas(_newest_per_source, "src_ip string, seq bigint, ts timestamp, w double, events bigint")
-    return with_event_time(reduced).groupBy("src_ip").applyInPandasWithState(
-        _advance_index, INDEX_SCHEMA, INDEX_STATE, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    step = lambda key, batches, state: _advance_index(key, batches, state, idle_ms)
+    rows = with_event_time(reduced, lateness=lateness) if idle_ms else reduced
+    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("src_ip").applyInPandasWithState(step, INDEX_SCHEMA, INDEX_STATE, "update", timeout)
 
 
 # --- threat state ----------------------------------------------------------------------------
