@@ -8,6 +8,8 @@ and packing returns the pieces of the sequences.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,4 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        gc.collect()  # lets the driver's JVM free the plans of frames that are out of reach
     return docs

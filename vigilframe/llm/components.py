@@ -31,7 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     if not maps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = maps[0].select("node", F.col("parent").alias("root"))
-    for step in maps[1:]:
+    for n, step in enumerate(maps[1:], 1):
         step = step.select(F.col("node").alias("root"), "parent")
         roots = roots.join(step, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+        if n % 3 == 0:  # a plan of many joins is costly to plan anew at each of them
+            roots = settle(roots)
     return settle(roots)

@@ -342,7 +342,9 @@ def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
         F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles")))
 
     path = fresh_path(spark, "prefixes")
-    prefixes(docs, spark.sparkContext.broadcast(table), width, num, den).write.parquet(path)
+    sent = spark.sparkContext.broadcast(table)
+    prefixes(docs, sent, width, num, den).write.parquet(path)
+    sent.destroy()  # the prefixes are written
     tokens = spark.read.schema("token long, cls long, need int").parquet(path)
     shared = tokens.groupBy("token").agg(F.min("cls").alias("u"), F.max("cls").alias("top")).where("u <> top").select("token", "u")
     near = settle(tokens.join(shared, "token").groupBy("cls", "u").agg(F.count("*").alias("n"), F.max("need").alias("need")))
@@ -355,12 +357,14 @@ def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     slot = F.pmod(F.xxhash64("least_id"), F.lit(FILTER_SLOTS)).alias("slot")
     flags = np.zeros(FILTER_SLOTS, bool)  # fixed size, as above; a full table only means that every set is made
     flags[[r["slot"] for r in candidates.select(slot).distinct().collect()]] = True
-    sets = wanted_sets(docs, spark.sparkContext.broadcast(flags), width)
+    sent = spark.sparkContext.broadcast(flags)
+    sets = wanted_sets(docs, sent, width)
     found = (
         blocks(candidates, num, den).join(sets, "cls")
         .groupBy("block").applyInPandas(lambda pdf: link_block(pdf, num, den), "cls long, root long, links long")
     )
     found = settle(found)
+    sent.destroy()
     roots = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
 
