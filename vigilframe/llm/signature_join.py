@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.llm.components import components
@@ -266,9 +266,20 @@ def prefixes(docs: DataFrame, counts, width: int, num: int, den: int) -> DataFra
     return docs.select("text").mapInArrow(run, "token long, cls long, need int")
 
 
+def slot_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_SLOTS))
+
+
+def slot_flags(slots: DataFrame) -> np.ndarray:
+    """Flags of the distinct slots given. Fixed size: full flags only mean that no row is spared."""
+    flags = np.zeros(FILTER_SLOTS, bool)
+    flags[[r["slot"] for r in slots.collect()]] = True
+    return flags
+
+
 def wanted_sets(docs: DataFrame, flags, width: int) -> DataFrame:
     """(cls, tokens) of the documents whose flag is set, and of those without an id."""
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_SLOTS)).alias("slot")
+    slot = slot_of(F.col("doc_id").cast("long")).alias("slot")
 
     def run(batches):
         memo, table = word_memo(), flags.value
@@ -354,10 +365,7 @@ def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     members = groups.select(F.col("node").alias("cls"), "root").join(left, "cls")
     several = members.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
     candidates = settle(members.join(several, "root").join(classes, "cls"))
-    slot = F.pmod(F.xxhash64("least_id"), F.lit(FILTER_SLOTS)).alias("slot")
-    flags = np.zeros(FILTER_SLOTS, bool)  # fixed size, as above; a full table only means that every set is made
-    flags[[r["slot"] for r in candidates.select(slot).distinct().collect()]] = True
-    sent = spark.sparkContext.broadcast(flags)
+    sent = spark.sparkContext.broadcast(slot_flags(candidates.select(slot_of(F.col("least_id")).alias("slot")).distinct()))
     sets = wanted_sets(docs, sent, width)
     found = (
         blocks(candidates, num, den).join(sets, "cls")
@@ -383,11 +391,23 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
 
     All columns stay. Texts without words are no duplicates of anything. Of rows that repeat an
     id one stays, by text; rows without an id stay only where nothing in their component has one.
+
+    Only rows whose slot holds a row to drop, or an id that repeats, are shuffled to be judged
+    by id; what the flags clear is passed on where it was read.
     """
-    kept = linked_documents(docs, width, num, den).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("__keep")).distinct()
+    spark = docs.sparkSession
+    judged = settle(linked_documents(docs, width, num, den).groupBy("doc_id").agg(
+        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("rows")))
+    doubtful = judged.where(~F.col("stays") | (F.col("rows") > 1)).select(slot_of(F.col("doc_id")).alias("slot")).distinct()
+    sent = spark.sparkContext.broadcast(slot_flags(doubtful))
+
+    @F.arrow_udf("boolean")
+    def flagged(slots: pa.Array) -> pa.Array:
+        return pa.array(sent.value[slots.to_numpy(zero_copy_only=False)])
+
+    name = F.col("__doc")
+    marked = docs.withColumn("__doc", docs["doc_id"].cast("long")).withColumn("__flag", flagged(slot_of(name)))
+    keep = judged.where("stays").select(F.col("doc_id").alias("__keep"))
     row = F.row_number().over(Window.partitionBy("__keep").orderBy(F.col("text").desc_nulls_last()))
-    return (
-        docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")))
-        .withColumn("__row", row).where("__row = 1").drop("__keep", "__row")
-    )
+    some = marked.where("__flag").join(keep, name.eqNullSafe(F.col("__keep"))).withColumn("__row", row).where("__row = 1")
+    return marked.where("not __flag").drop("__doc", "__flag").unionByName(some.drop("__doc", "__flag", "__keep", "__row"))
