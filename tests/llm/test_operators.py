@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -147,6 +148,24 @@ def test_join_against_all_pairs(spark, monkeypatch, width, num, den):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {d for d, w in want.items() if w[1] == d}
 
 
+@pytest.mark.parametrize("side", [0, 1])
+def test_block_with_one_side(side):
+    rows = pd.DataFrame({"cls": [1, 2], "weight": [1, 1], "side": [side, side], "tokens": [np.arange(9, dtype=np.uint64).tobytes()] * 2})
+    assert signature_join.link_block(rows, 8, 10).empty
+
+
+def test_join_with_more_parts_than_classes(spark, monkeypatch):
+    random.seed(6)
+    docs = []
+    for i in range(6):
+        words = [f"w{i}x{k}" for k in range(100 + 7 * i)]
+        docs += [(10 * i + k, " ".join([*words, *["end"] * (k > 0), *["more"] * (k > 1)])) for k in range(3)]
+    monkeypatch.setattr(signature_join, "BLOCK_TOKENS", 40)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = signature_join.linked_documents(frame, 3, 8, 10).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows} == links_of(docs, 3, 8, 10)
+
+
 def test_join_odd_rows(spark):
     rows = signature_join.linked_documents(odd_rows(spark), 3, 90, 100).collect()
     assert len(rows) == len(TEXTS) + 3

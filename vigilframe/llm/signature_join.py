@@ -164,10 +164,10 @@ def side_of(pdf: pd.DataFrame):
 
 def link_block(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """(cls, root, links) for the classes of one block, or of a pair of blocks, that have links."""
-    left = side_of(pdf[pdf["side"] != 1])
     same = bool((pdf["side"] == 2).all())
-    if not same and not (pdf["side"] == 1).any():
+    if not same and not ((pdf["side"] == 1).any() and (pdf["side"] != 1).any()):  # a side that got no class by hash
         return pd.DataFrame({"cls": [], "root": [], "links": []}).astype("int64")
+    left = side_of(pdf[pdf["side"] != 1])
     right = left if same else side_of(pdf[pdf["side"] == 1])
     vocabulary, ids = np.unique(np.concatenate([left[4]] if same else [left[4], right[4]]), return_inverse=True)
     ids_a, ids_b = ids[: len(left[4])], ids if same else ids[len(left[4]) :]
