@@ -176,6 +176,19 @@ def test_join_odd_rows(spark):
     assert signature_join.one_of_each(odd_rows(spark)).where("doc_id = 9").count() == 1
 
 
+def test_one_of_each_judges_rows_not_ids(spark):
+    def text(name, n=40):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c") + " end"), (None, ""), (None, None),  # no ids
+            (1, text("c")), (2, text("d")), (2, text("e")), (2, text("e").upper()), (7, text("d") + " end"), (3, text("f") + " end"), (3, text("g")), (4, ""), (4, "")]
+    want = Counter([(None, text("a")), (None, text("b")), (None, ""), (None, None), (1, text("c")), (2, text("d")), (2, text("e")),
+                    (3, text("f") + " end"), (3, text("g")), (4, ""), (4, "")])
+    for parts in (1, 5):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert Counter(tuple(r) for r in signature_join.one_of_each(frame).collect()) == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     roots = {r.node: r.root for r in components.components(edges).collect()}

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilframe.llm.components import components
 from vigilframe.llm.words import (
@@ -326,16 +327,9 @@ def blocks(candidates: DataFrame, num: int, den: int) -> DataFrame:
     return one.unionByName(many)
 
 
-def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links.
-
-    Two documents link when |A and B| / |A or B| >= num / den on their sets of lower-cased
-    (A-Z) word shingles. component_id is the smallest doc_id that links reach; n_links counts
-    the other documents linked with this one, exact copies included. Null or empty texts have
-    no shingles, no links and their own id. Rows that repeat an id are documents of their own.
-    A row without an id links like any other but names no component; if none of its component
-    has an id, component_id is null. An empty table gives no rows. Other columns are not read.
-    """
+def linked_classes(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, cls) of every document, and of every class of equal sets (cls, least_id,
+    weight, n_shingles, root, links); root is null for a class that links with no other."""
     spark = docs.sparkSession
     marked, table = shingled(docs, width)
     classes = settle(marked.where("cls is not null").groupBy("cls").agg(
@@ -368,7 +362,20 @@ def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     roots = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
 
-    classes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left")
+    return marked, classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left")
+
+
+def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links.
+
+    Two documents link when |A and B| / |A or B| >= num / den on their sets of lower-cased
+    (A-Z) word shingles. component_id is the smallest doc_id that links reach; n_links counts
+    the other documents linked with this one, exact copies included. Null or empty texts have
+    no shingles, no links and their own id. Rows that repeat an id are documents of their own.
+    A row without an id links like any other but names no component; if none of its component
+    has an id, component_id is null. An empty table gives no rows. Other columns are not read.
+    """
+    marked, classes = linked_classes(docs, width, num, den)
     names = classes.where("root is not null").groupBy("root").agg(F.min("least_id").alias("name"))
     named = classes.join(names, "root", "left").select(
         "cls", F.coalesce("name", "least_id").alias("component_id"),
@@ -378,16 +385,53 @@ def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def with_class(docs: DataFrame, width: int) -> DataFrame:
+    """docs with __cls and __spread. Rows without words have no class, but a number of their own in __spread.
+
+    Of the rows of an Arrow batch with one id and class only the last by text stays.
+    """
+    names = docs.columns
+
+    def run(batches):
+        memo, n, pid = word_memo(), 0, TaskContext.get().partitionId()
+        for batch in batches:
+            texts = batch.column(names.index("text"))
+            ids = batch.column(len(names)).to_pylist()
+            classes, spread, best = [], [], {}
+            for row, (doc, text) in enumerate(zip(ids, byte_texts(texts))):
+                tokens = shingle_set(word_hashes(text.lower(), memo), width)
+                classes.append(set_hash(tokens) if len(tokens) else None)
+                spread.append(0 if len(tokens) else (pid << 33) + n)
+                n += 1
+                at = (doc, classes[-1]) if len(tokens) else (row, None, None)
+                if at not in best or text > best[at][0]:
+                    best[at] = (text, row)
+            kept = pa.array(sorted(row for _, row in best.values()), pa.int64())
+            columns = [*batch.columns[: len(names)], pa.array(classes, pa.int64()), pa.array(spread, pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.take(kept) for c in columns], names=[*names, "__cls", "__spread"])
+
+    kind = T.StructType([*docs.schema.fields, T.StructField("__cls", T.LongType()), T.StructField("__spread", T.LongType())])
+    return docs.withColumn("__id", F.col("doc_id").cast("long")).mapInArrow(run, kind)
+
+
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the smallest id.
+    """The rows of docs without near duplicates: of each component one row, that with the smallest id.
 
-    All columns stay. Texts without words are no duplicates of anything. Of rows that repeat an
-    id one stays, by text; rows without an id stay only where nothing in their component has one.
+    All columns stay. Rows are judged by their texts, not by their ids: rows that repeat an id or
+    have none stay if their texts are no near duplicates. A row without an id stays only where
+    nothing in its component has one. Of rows with one id and set of shingles the last by text
+    stays; of several sets with the smallest id that of the smallest hash. Texts without words are
+    no duplicates of anything, so all these rows stay.
     """
-    kept = linked_documents(docs, width, num, den).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("__keep")).distinct()
-    row = F.row_number().over(Window.partitionBy("__keep").orderBy(F.col("text").desc_nulls_last()))
+    _, classes = linked_classes(docs, width, num, den)
+    first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "cls")).alias("first")
+    kept = classes.groupBy(F.coalesce("root", "cls").alias("component")).agg(first).select(
+        F.col("first.cls").alias("__kept"), F.col("first.least_id").alias("__id"))
+    rows = with_class(docs, width)
+    chosen = rows.join(kept, [
+        F.coalesce("__cls", "__spread") == F.col("__kept"), F.col("__cls").isNotNull(), F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))], "left")
+    row = F.row_number().over(Window.partitionBy("__cls", "__spread", "__id").orderBy(F.col("text").desc_nulls_last()))
     return (
-        docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")))
-        .withColumn("__row", row).where("__row = 1").drop("__keep", "__row")
+        chosen.where("__cls is null or __kept is not null").withColumn("__row", row)
+        .where("__cls is null or __row = 1").drop("__cls", "__spread", "__kept", "__id", "__row")
     )
