@@ -349,6 +349,27 @@ def test_quotes_odd_rows(spark):
     assert got[(None, 1)].reply_to == 0 and got[(2, None)].reply_to is None
 
 
+def test_mail_across_segments(spark):
+    turns = [0, 1, 2, 511, 512, 1024, 1025, 1026, 1027, 5000]
+    rows = [(c, t, "u", f"m{t}") for c in (1, None) for t in turns]
+    got = {(r.conv_id, r.turn): r.text for r in quotes.as_mail(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    marks = lambda k: "\n".join([*[f">> m{turns[k - 2]}"] * (k > 1), *[f"> m{turns[k - 1]}"] * (k > 0), f"m{turns[k]}"])
+    assert got == {(c, t): marks(k) for c in (1, None) for k, t in enumerate(turns)}
+
+
+def test_one_set_for_many_copies(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"many copies of this text {i % 3}") for i in range(300)], "doc_id long, text string").repartition(3)
+    flags = spark.sparkContext.broadcast(np.ones(signature_join.FILTER_SLOTS, bool))
+    assert signature_join.wanted_sets(docs, flags, 3).groupBy("cls").count().select("count").collect() == [(1,)] * 3
+
+
+def test_packing_spreads_rows_of_one_id(spark):
+    for doc in (None, 5):
+        docs = spark.createDataFrame([(doc, "the same text")] * 200, "doc_id long, text string")
+        sizes = packing.pack(docs, TOKENIZER, group_docs=10).groupBy(F.shiftright("sequence_id", packing.GROUP_BITS).alias("g")).count().collect()
+        assert len(sizes) > 10 and max(r["count"] for r in sizes) < 40
+
+
 def test_pipeline_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}

@@ -1,8 +1,8 @@
 """Packing documents into sequences: first-fit decreasing on a tournament tree of capacities.
 
 A document's ids (and the end id) are cut into full sequences and one rest. Only the sizes of
-the pieces are shuffled: every document goes to one of many groups by a hash of its id, and
-each group packs its rests by itself, longest first, into the first sequence with enough room.
+the pieces are shuffled: every piece goes to one of many groups by a hash of its id, start, checksum
+and row, so rows without an id or with one id spread too, and each group packs its rests by itself, longest first, into the first sequence with enough room.
 A tournament tree over the sequences' free room finds that sequence in logarithmic time.
 """
 
@@ -13,6 +13,7 @@ from array import array
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from vigilframe.llm.tokens import chunk_tokens
 from vigilframe.llm.words import settle
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+CUT = PIECES + ", row long"
 PLACED = PIECES + ", sequence_id long, offset long"
 GROUP_BITS = 31  # sequence_id = group * 2^31 + number in the group
 
@@ -60,7 +62,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1
     end = array("I", [end_id]).tobytes()
 
     def cut(batches):
-        ids = chunk_tokens(path)
+        ids, row = chunk_tokens(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -68,12 +70,13 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1
                 total = len(data) // 4
                 for start in range(0, total, capacity):
                     piece = data[4 * start : 4 * (start + capacity)]
-                    out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total))
-            columns = list(zip(*out)) or [[]] * 5
+                    out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, row))
+                row += 1
+            columns = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(cut, CUT)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, group_docs: int = 4096) -> DataFrame:
@@ -93,5 +96,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
         pdf["offset"] = [o for _, o in spots]
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    group = F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(groups)).alias("group")
+    # The pieces are settled, so a repeated task sees the same row numbers.
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row", F.lit("pack")), F.lit(groups)).alias("group")
     return pieces.groupBy(group).applyInPandas(place, PLACED)

@@ -56,8 +56,15 @@ def linked_lines(lines: DataFrame) -> DataFrame:
         "conv_id", "turn", "line_no", "level", "body", "passage", "source_turn")
 
 
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left joined with right on keys that may be null."""
+    right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(right, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def linked_messages(messages: DataFrame) -> DataFrame:
-    """One row per (conv_id, turn): role, reply_to, quoted_turns, n_quoted, n_linked, max_level, reply_depth and own text.
+    """One row per (conv_id, turn): role, reply_to, quoted_turns, n_quoted, n_linked, max_level and own text.
 
     reply_to is the turn most of the first-level quoted lines come from (of equal counts the
     latest); without a linked quote it is the turn before. quoted_turns lists all sources.
@@ -85,11 +92,6 @@ def linked_messages(messages: DataFrame) -> DataFrame:
         Window.partitionBy("conv_id").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
     placed = placed.withColumn("before", F.lag("turn").over(previous))
 
-    def matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-        return left.join(right, on, "left").drop(*[f"__{k}" for k in keys])
-
     rows = matched(matched(matched(placed, lanes, ["conv_id", "lane"]), texts, at), reply, at)
     return rows.select(
         "conv_id", "turn", "role",
@@ -107,6 +109,14 @@ def as_mail(messages: DataFrame) -> DataFrame:
     def quote(text, marks):
         return F.regexp_replace(text, "(?m)^", marks)
 
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    one, two = F.lag("text").over(order), F.lag("text", 2).over(order)
-    return messages.select("conv_id", "turn", "role", F.concat_ws("\n", quote(two, ">> "), quote(one, "> "), "text").alias("text"))
+    key = ["conv_id", "lane"]
+    order = Window.partitionBy(*key).orderBy("turn")
+    placed = messages.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / SEGMENT).alias("lane"))
+    placed = placed.withColumn("n", F.row_number().over(order)).select(
+        "*", F.count("*").over(Window.partitionBy(*key)).alias("size"), F.lag("text").over(order).alias("one"), F.lag("text", 2).over(order).alias("two"))
+    # The first two of a segment have theirs among the last two of earlier ones: a window over the segments' ends only.
+    ends = placed.where("n <= 2 or n > size - 2")
+    across = Window.partitionBy("conv_id").orderBy("lane", "n")
+    ends = ends.withColumns({"one": F.lag("text").over(across), "two": F.lag("text", 2).over(across)}).where("n <= 2")
+    return placed.where("n > 2").unionByName(ends).select(
+        "conv_id", "turn", "role", F.concat_ws("\n", quote(F.col("two"), ">> "), quote(F.col("one"), "> "), "text").alias("text"))

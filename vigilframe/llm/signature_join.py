@@ -39,6 +39,7 @@ FILTER_SLOTS = 1 << 20  # flags of documents whose sets are wanted
 BITS = 2048  # bitmap of a tree node
 LEAF, FAN = 16, 8
 BLOCK_CLASSES, BLOCK_TOKENS = 1024, 1 << 20
+MOST_SENT = 200_000  # classes a task remembers having sent
 FLUSH = 4096  # documents or rows in one batch to Spark
 
 
@@ -268,22 +269,29 @@ def prefixes(docs: DataFrame, counts, width: int, num: int, den: int) -> DataFra
 
 
 def wanted_sets(docs: DataFrame, flags, width: int) -> DataFrame:
-    """(cls, tokens) of the documents whose flag is set, and of those without an id."""
+    """(cls, tokens), once for each class, of the documents whose flag is set, and of those without an id.
+
+    A task sends a class about once, so a text with many copies sends one set for each task.
+    """
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_SLOTS)).alias("slot")
 
     def run(batches):
-        memo, table = word_memo(), flags.value
+        memo, table, sent = word_memo(), flags.value, set()
         for batch in batches:
             slots = batch.column(0).to_numpy(zero_copy_only=False)
             picked = batch.filter(pa.array(table[slots]))
             for at in range(0, max(1, picked.num_rows), FLUSH):
                 sets = [shingle_set(word_hashes(t.lower(), memo), width) for t in byte_texts(picked.column(1).slice(at, FLUSH))]
-                sets = [s for s in sets if len(s)]
+                fresh = {c: s for s in sets if len(s) and (c := set_hash(s)) not in sent}
+                if len(sent) > MOST_SENT:
+                    sent.clear()
+                sent.update(fresh)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [pa.array(list(fresh), pa.int64()), pa.array([s.tobytes() for s in fresh.values()], pa.binary())],
                     names=["cls", "tokens"])
 
-    return docs.select(slot, "text").mapInArrow(run, "cls long, tokens binary")
+    # Both parts of the aggregate combine; its shuffle is the one the join by class needs anyway.
+    return docs.select(slot, "text").mapInArrow(run, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
 def blocks(candidates: DataFrame, num: int, den: int) -> DataFrame:
