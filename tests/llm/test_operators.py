@@ -349,6 +349,20 @@ def test_quotes_odd_rows(spark):
     assert got[(None, 1)].reply_to == 0 and got[(2, None)].reply_to is None
 
 
+def test_conversations_with_branching_replies(spark):
+    says = {0: (None, "start"), 1: (0, "a"), 2: (0, "b"), 3: (1, "c"), 4: (0, "d"), 5: (3, "e"), 6: (1, "f"), 600: (0, "late"), 601: (2, "g")}
+    rows = [(c, t, "u", (f"> {says[to][1]}\n" if to is not None else "") + own) for c in (1, None) for t, (to, own) in says.items()]
+    rows += [(2, None, "u", "no place"), (2, 4, "u", "alone")]
+    linked = quotes.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = quotes.conversations(linked).collect()
+    order = [(0, 0), (1, 1), (3, 2), (5, 3), (6, 2), (2, 1), (601, 2), (4, 1), (600, 1)]
+    for c in (1, None):
+        assert [(r.turn, r.depth, r.root, r.position, r.own_text) for r in got if r.conv_id == c] == [
+            (t, depth, 0, k, says[t][1]) for k, (t, depth) in enumerate(order)]
+    assert [(r.turn, r.root, r.depth, r.position) for r in got if r.conv_id == 2] == [(None, None, None, None), (4, 4, 0, 0)]
+    assert quotes.conversations(linked.limit(0)).count() == 0
+
+
 def test_mail_across_segments(spark):
     turns = [0, 1, 2, 511, 512, 1024, 1025, 1026, 1027, 5000]
     rows = [(c, t, "u", f"m{t}") for c in (1, None) for t in turns]

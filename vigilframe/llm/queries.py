@@ -65,6 +65,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked_messages(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
+@register("op1_reply_threads")
+def op1_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(op1(spark, sf_dir))
+
+
 @register("op2_url_template_tree")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_tree.judged_urls(table(spark, sf_dir, "pages"), URL_RULES)

@@ -101,6 +101,53 @@ def linked_messages(messages: DataFrame) -> DataFrame:
         F.coalesce("max_level", F.lit(0)).cast("int").alias("max_level"), F.trim(F.coalesce("own", F.lit("")), F.lit("\n ")).alias("own_text"))
 
 
+def next_siblings(tree: DataFrame) -> DataFrame:
+    """(conv_id, turn, sibling): the next turn with the same reply_to, by segments of turns; none for roots."""
+    key = ["conv_id", "reply_to"]
+    tree = tree.where("reply_to is not null").withColumn("lane", F.floor(F.col("turn") / SEGMENT))
+    after = Window.partitionBy(*key).orderBy("lane").rowsBetween(1, Window.unboundedFollowing)
+    lanes = tree.groupBy(*key, "lane").agg(F.min("turn").alias("least")).select(*key, "lane", F.min("least").over(after).alias("carried"))
+    tree = tree.withColumn("near", F.lead("turn").over(Window.partitionBy(*key, "lane").orderBy("turn")))
+    return matched(tree, lanes, [*key, "lane"]).select("conv_id", "turn", F.coalesce("near", "carried").alias("sibling"))
+
+
+def conversations(linked: DataFrame) -> DataFrame:
+    """linked_messages with root, depth and position, in the order of conv_id, root and position.
+
+    root is the turn the chain of replies starts at and depth the number of replies to there.
+    position counts the messages of a root from 0 as one reads a thread: each before its
+    replies, replies to one message by turn, each followed by what answers it. Read in this order,
+    own_text is the conversation without quotes. A row without a turn has no place: all three are
+    null, and it comes first in its conversation.
+
+    A walk around the tree enters and leaves every message; pointer doubling over its steps sums
+    how many enterings are to come and how deep they are, in as many rounds as the walk's length has bits.
+    """
+    tree = settle(linked.where("turn is not null").select("conv_id", "turn", "reply_to"))
+    first = tree.where("reply_to is not null").groupBy("conv_id", F.col("reply_to").alias("turn")).agg(F.min("turn").alias("child"))
+    nodes = matched(matched(tree, first, ["conv_id", "turn"]), next_siblings(tree), ["conv_id", "turn"])
+    # A step is known by its turn and whether it leaves; to_turn and to_leave are the next step's.
+    enter = nodes.select("conv_id", "turn", F.lit(0).alias("leave"), F.coalesce("child", "turn").alias("to_turn"),
+                         F.col("child").isNull().cast("int").alias("to_leave"))
+    leave = nodes.select("conv_id", "turn", F.lit(1).alias("leave"), F.coalesce("sibling", "reply_to").alias("to_turn"),
+                         F.col("sibling").isNull().cast("int").alias("to_leave"))
+    steps = settle(enter.unionByName(leave).select(
+        "*", (1 - F.col("leave")).cast("long").alias("entered"), (1 - 2 * F.col("leave")).cast("long").alias("deeper"),
+        F.when(F.col("to_turn").isNull(), F.col("turn")).alias("root")))
+    while steps.where("to_turn is not null").limit(1).count():
+        to = steps.select("conv_id", F.col("turn").alias("to_turn"), F.col("leave").alias("to_leave"), F.col("to_turn").alias("far_turn"),
+                          F.col("to_leave").alias("far_leave"), F.col("entered").alias("more"), F.col("deeper").alias("down"), F.col("root").alias("far_root"))
+        moved = matched(steps.where("to_turn is not null"), to, ["conv_id", "to_turn", "to_leave"], "inner").select(
+            "conv_id", "turn", "leave", F.col("far_turn").alias("to_turn"), F.col("far_leave").alias("to_leave"),
+            (F.col("entered") + F.col("more")).alias("entered"), (F.col("deeper") + F.col("down")).alias("deeper"), F.col("far_root").alias("root"))
+        steps = settle(steps.where("to_turn is null").unionByName(moved))
+    entered = steps.where("leave = 0")
+    whole = entered.where("turn = root").select("conv_id", "root", F.col("entered").alias("whole"))
+    placed = matched(entered, whole, ["conv_id", "root"]).select(
+        "conv_id", "turn", "root", (-F.col("deeper")).alias("depth"), (F.col("whole") - F.col("entered")).alias("position"))
+    return matched(linked, placed, ["conv_id", "turn"]).orderBy("conv_id", "root", "position")
+
+
 def as_mail(messages: DataFrame) -> DataFrame:
     """Conversations as mail threads: each message quotes the one before, which quotes the one before it.
 
