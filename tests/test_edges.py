@@ -126,6 +126,26 @@ def test_spike_rules(spark):
     assert states([1, 2]) == ["steady", "steady"]
 
 
+def test_spikes_of_all_alerts(spark, small, monkeypatch):
+    from vigilframe import plans
+    from vigilframe.sources import views
+
+    alerts = views.telemetry(spark, small).where("severity = 'ALERT'").where(F.col("ts") >= F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = plans.QUERIES["e7_spike_or_cooldown_all_alerts"](spark, small)
+    assert rows.count() == 60
+    shown = alerts.where(F.col("ts") >= F.lit("2024-01-01 00:01:00").cast("timestamp_ntz")).count()
+    assert rows.agg(F.sum("count")).first()[0] == shown > 0
+    # Empty minutes: 10 alerts at 00:30, 20 at 00:45, other rows everywhere.
+    few = spark.createDataFrame(
+        [(i, f"2024-01-01 00:{m}:00", level) for i, (m, level) in enumerate(
+            [("30", "ALERT")] * 10 + [("45", "ALERT")] * 20 + [(f"{m:02d}", "INFO") for m in range(60)])],
+        "seq bigint, t string, severity string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    monkeypatch.setattr(views, "telemetry", lambda spark, sf: few)
+    got = {str(r["minute"])[11:16]: (r["count"], r["state"]) for r in plans.QUERIES["e7_spike_or_cooldown_all_alerts"](spark, small).collect()}
+    assert len(got) == 60 and got["00:29"] == (0, "steady") and got["00:30"] == (10, "spike") and got["00:31"] == (0, "cooled")
+    assert got["00:45"] == (20, "spike") and got["01:00"] == (0, "cooled") and sum(c for c, _ in got.values()) == 30
+
+
 def test_small_mappings(spark):
     df = spark.range(1)
     one = lambda c: df.select(c).first()[0]

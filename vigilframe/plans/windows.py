@@ -90,6 +90,16 @@ def spike(spark, sf):
     return summary.spike_states(buckets(spark, sf, RARE))
 
 
+ALERTS = "severity = 'ALERT'"
+
+
+@query("e7_spike_or_cooldown_all_alerts", "telemetry", f"""WITH {_buckets(ALERTS)},
+m AS (SELECT *, avg(count) OVER w AS mean, count(*) OVER w AS n FROM b WINDOW w AS (ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT minute, count, CASE WHEN n < 1 THEN 'steady' WHEN count > mean * 1.5 AND count >= 3 THEN 'spike' WHEN count <= mean * 0.5 AND mean > 0 THEN 'cooled' ELSE 'steady' END AS state FROM m""")
+def spike_all(spark, sf):
+    return summary.spike_states(buckets(spark, sf, ALERTS))
+
+
 @query("e8_recent_spike", "telemetry", f"""WITH {_buckets("true")}, n AS (SELECT * FROM b ORDER BY minute DESC LIMIT 3)
 SELECT minute, count FROM n WHERE count >= 5 ORDER BY minute LIMIT 1""")
 def recent_spike(spark, sf):
