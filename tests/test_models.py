@@ -79,3 +79,20 @@ def test_cross_validation(rows):
     folds = models.cross_validate(rows, FEATURES, ["k"], k=2)
     got = evaluation.cv_summary(folds, ["accuracy"]).first()
     assert folds.count() == 2 and 0.7 < got["accuracy_mean"] <= 1
+
+
+def test_learning_queries_read_all_flows(spark, small, monkeypatch):
+    from vigilframe import plans
+    from vigilframe.plans import learning
+
+    flows = learning.prepared(spark, small).cache()
+    full = models.train_full_model(flows, learning.FEATURES, maxIter=2)
+    edge = models.train_edge_model(learning.edge_rows(flows), learning.flows.EDGE_FEATURES, maxIter=2)
+    monkeypatch.setattr(learning, "trained", lambda spark, sf, kind: {"full": full, "edge": edge}[kind])
+    want = sorted(r["flow_key"] for r in flows.select("flow_key").collect())
+    for name, times in (("j7_predict_batch", 1), ("a16_save_load_model", 1), ("c10_rows_tree_leaves", 1), ("j9_explain_rows", len(learning.FEATURES))):
+        got = sorted(r["flow_key"] for r in plans.QUERIES[name](spark, small).select("flow_key").collect())
+        assert got == sorted(want * times), name
+    long = attribution.explain_rows(flows, learning.background(spark, small), full, learning.FEATURES, ["flow_key"])
+    mean = {r["name"]: r["score"] for r in attribution.mean_abs_attribution(long).collect()}
+    assert {r["name"]: r["score"] for r in plans.QUERIES["d19_mean_abs_attribution"](spark, small).collect()} == pytest.approx(mean)

@@ -96,16 +96,14 @@ def importances(spark, sf):
 
 @query("j7_predict_batch")
 def predict(spark, sf):
-    _, test = parts(spark, sf)
-    return models.predict_batch(trained(spark, sf, "full"), test, ["flow_key"])
+    return models.predict_batch(trained(spark, sf, "full"), prepared(spark, sf), ["flow_key"])
 
 
 @query("a16_save_load_model")
 def save_load(spark, sf):
     path = fresh_path(spark, "model")
     models.save_model(trained(spark, sf, "edge"), path)
-    _, test = parts(spark, sf)
-    return models.predict_batch(models.load_model(path), edge_rows(test), ["flow_key"])
+    return models.predict_batch(models.load_model(path), edge_rows(prepared(spark, sf)), ["flow_key"])
 
 
 @query("j8_score_label", "telemetry", """
@@ -124,28 +122,27 @@ def background(spark, sf):
 
 @query("j9_explain_rows")
 def explain(spark, sf):
-    _, test = parts(spark, sf)
-    return attribution.explain_rows(test, background(spark, sf), trained(spark, sf, "full"), FEATURES, ["flow_key"])
+    return attribution.explain_rows(prepared(spark, sf), background(spark, sf), trained(spark, sf, "full"), FEATURES, ["flow_key"])
 
 
 @query("d19_mean_abs_attribution")
 def mean_abs(spark, sf):
-    sample = background(spark, sf)
-    long = attribution.explain_rows(sample, sample, trained(spark, sf, "full"), FEATURES, ["flow_key"])
-    return attribution.mean_abs_attribution(long)
+    return attribution.mean_abs_attribution(explain(spark, sf))
 
 
 @query("j10_global_importance")
 def global_importance(spark, sf):
-    return importance.normalise_importance(mean_abs(spark, sf))
+    """Defined on the sample: its own rows against themselves."""
+    sample = background(spark, sf)
+    long = attribution.explain_rows(sample, sample, trained(spark, sf, "full"), FEATURES, ["flow_key"])
+    return importance.normalise_importance(attribution.mean_abs_attribution(long))
 
 
 @query("c10_rows_tree_leaves")
 def tree_leaves(spark, sf):
     """Margin of every row, summed over its leaves by a join with the leaf table."""
     model = trained(spark, sf, "full")
-    _, test = parts(spark, sf)
-    members = attribution.leaf_membership(test, model, ["flow_key"])
+    members = attribution.leaf_membership(prepared(spark, sf), model, ["flow_key"])
     # Bounded by trees * 2**depth rows, so the leaf side always fits a broadcast.
     values = F.broadcast(attribution.leaf_values(spark, attribution.leaf_boxes(spark, model)))
     return members.join(values, ["tree", "leaf"]).groupBy("flow_key").agg(F.sum("value").alias("margin"))
