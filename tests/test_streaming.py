@@ -38,6 +38,20 @@ def test_minute_buckets(stream, batch):
     assert got == {str(r["minute"]): (r["a"], r["n"]) for r in whole.collect()}
 
 
+def test_late_rows_count_in_minutes_and_summary(spark):
+    path = fresh_path(spark, "late-minutes")
+    hours = ["05:00:00", "05:00:30", "06:00:00", "03:00:10", "03:00:20", "05:00:40"]
+    events = spark.createDataFrame([(f"2024-01-01 {t}", i % 2 == 0) for i, t in enumerate(hours)], "t string, attack boolean").select(
+        F.col("t").cast("timestamp_ntz").alias("ts"), "attack")
+    for t in hours:  # a micro-batch each
+        events.where(F.date_format("ts", "HH:mm:ss") == t).coalesce(1).write.mode("append").parquet(path)
+    read = lambda: readers.telemetry_source(spark, path, events.schema, files_per_batch=1)
+    minutes = sinks.drain_to_table(jobs.minute_buckets(read()), "update", ["minute"]).collect()
+    assert {f"{r['minute']:%H:%M}": (r["attack"], r["normal"]) for r in minutes} == {"03:00": (1, 1), "05:00": (1, 2), "06:00": (1, 0)}
+    totals = sinks.drain_to_table(jobs.sliding_summary(read()), "update", ["window_end"]).collect()
+    assert len(totals) == 15 and sum(r["total_events"] for r in totals) == 5 * len(hours)
+
+
 def test_threat_index(stream, batch):
     live = sinks.drain_to_table(jobs.threat_index_stream(stream), "update", ["src_ip"])
     got = {r["src_ip"]: r["threat_index"] for r in live.collect()}

@@ -17,7 +17,7 @@ from vigilframe.operators.logs import blocklist
 from vigilframe.session import ROCKSDB_PROVIDER, fresh_path
 from vigilframe.streaming import sinks
 
-LATENESS = "10 minutes"  # default of every job with a watermark: rows later than that are left out
+LATENESS = "10 minutes"  # default where a state expires: rows later than that are left out
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -25,9 +25,10 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def with_event_time(df: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
-    """Watermarks need a zoned timestamp."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+def with_event_time(df: DataFrame, ts: str = "ts", lateness: str | None = LATENESS) -> DataFrame:
+    """Watermarks need a zoned timestamp; lateness None sets no watermark."""
+    zoned = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return zoned.withWatermark(ts, lateness) if lateness else zoned
 
 
 def ingest_writer(accepted_path: str, rejected_path: str, producer: str) -> sinks.BatchWriter:
@@ -61,15 +62,19 @@ def totals_of_sources(latest: DataFrame) -> DataFrame:
     )
 
 
-def minute_buckets(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Tumbling minute counts of attack and other events."""
+def minute_buckets(stream: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Tumbling minute counts of attack and other events, late rows included.
+
+    The state holds one row per minute. Only with ``lateness`` are minutes dropped from it, and
+    only then are rows later than that left out.
+    """
     windowed = with_event_time(stream, lateness=lateness).groupBy(F.window("ts", "1 minute").alias("w"))
     counts = windowed.agg(F.count_if("attack").alias("attack"), F.count_if(~F.col("attack")).alias("normal"))
     return counts.select(F.col("w.start").alias("minute"), "attack", "normal")
 
 
-def sliding_summary(stream: DataFrame, minutes: int = 5, lateness: str = LATENESS) -> DataFrame:
-    """Totals and attack rate of the trailing window, refreshed every minute."""
+def sliding_summary(stream: DataFrame, minutes: int = 5, lateness: str | None = None) -> DataFrame:
+    """Totals and attack rate of the trailing window, refreshed every minute; late rows as in minute_buckets."""
     windowed = with_event_time(stream, lateness=lateness).groupBy(F.window("ts", f"{minutes} minutes", "1 minute").alias("w"))
     return windowed.agg(F.count("*").alias("total_events"), F.count_if("attack").alias("attacks")).select(
         F.col("w.end").alias("window_end"), "total_events", F.round(F.col("attacks") / minutes, 2).alias("attack_rate")
