@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm import cascade, language, mixing, packing, quotes, separators, signature_join, sketch, toxicity, url_tree
+from vigilframe.llm import cascade, filter_audit, language, mixing, packing, quotes, separators, signature_join, sketch, toxicity, url_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_tournament_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=1)
+
+
+AUDIT_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORD_LIST} AS words FROM documents),
+f AS (SELECT doc_id, part, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+  100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS p FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT p, array_to_string(list_transform(p, lambda k: chr((64 + k)::INTEGER)), '') AS filter_order, k AS step, p[k] AS filter FROM o, x),
+r AS (SELECT part, filter_order, step, filter, n, good, toxic, fails[filter] AS fail,
+  len(list_filter(p[1:step - 1], lambda k: fails[k])) = 0 AS there, len(list_filter(fails, lambda q: q)) = 1 AS single FROM d, s),
+t AS (SELECT part, filter_order, step::INTEGER AS step, filter,
+  sum(CASE WHEN there AND NOT fail THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN there AND fail THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fail AND NOT there THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fail AND single THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN there AND fail THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN there AND fail THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM t
+"""
+
+
+@register("op12_filter_audit", AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
