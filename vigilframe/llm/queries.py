@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm import cascade, filter_audit, language, mixing, packing, quotes, separators, signature_join, sketch, toxicity, url_tree
+from vigilframe.llm import cascade, filter_audit, language, mixing, packing, quotes, separators, signature_join, sketch, suffix_dedup, toxicity, url_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +189,8 @@ SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGI
 @register("op12_filter_audit", AUDIT_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op13_suffix_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
