@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm import cascade, filter_audit, language, mixing, packing, quotes, separators, signature_join, sketch, suffix_dedup, toxicity, url_tree
+from vigilframe.llm import cascade, filter_audit, language, mixing, packing, prefix_trie, quotes, separators, signature_join, sketch, suffix_dedup, toxicity, url_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,6 +164,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=1)
 
 
+TRIE_SQL = r"""
+WITH m AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295::BIGINT, list_reduce(
+  [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, 3988292384 * (p & 1))))) % 6 AS share FROM m),
+g AS (SELECT c.conv_id, m.place, m.role, m.text FROM c JOIN m ON m.conv_id = c.base AND m.place < c.share),
+n AS (SELECT conv_id, count(*) AS given FROM g GROUP BY 1),
+b AS (SELECT * FROM g UNION ALL SELECT m.conv_id, m.place - share + coalesce(given, 0), role, text
+  FROM m JOIN c USING (conv_id) LEFT JOIN n USING (conv_id) WHERE m.place >= share),
+p AS (SELECT conv_id, place + 1 AS depth, length(text) AS len, md5(string_agg(concat(length(role), ':', role, length(text), ':', text), '') OVER (
+  PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)) AS path FROM b
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+o AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(len) AS len FROM p GROUP BY ALL),
+u AS (SELECT o.*, r.path AS above, r.conv_id AS parent_conv_id FROM o LEFT JOIN p ON p.conv_id = o.conv_id AND p.depth = o.depth - 1 LEFT JOIN o r ON r.path = p.path),
+k AS (SELECT above AS path, count(*) AS n_children FROM u WHERE above IS NOT NULL GROUP BY 1),
+x AS (SELECT o.*, coalesce(n_children, 0) AS n_children FROM o LEFT JOIN k USING (path)),
+s AS (SELECT p.path, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.len) AS saved FROM x JOIN p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY 1),
+l AS (SELECT conv_id, max_by(path, depth) AS path FROM p GROUP BY 1),
+e AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM l GROUP BY 1)
+SELECT u.conv_id, u.depth::BIGINT AS depth, u.parent_conv_id, u.n_convs, x.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM u JOIN x USING (path) JOIN s USING (path) LEFT JOIN e USING (path)
+"""
+
+
+@register("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 AUDIT_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORD_LIST} AS words FROM documents),
 f AS (SELECT doc_id, part, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
