@@ -265,10 +265,10 @@ def dedup_shard(pdf: pd.DataFrame, window: int, gram: int) -> pd.DataFrame:
         run = run[np.argsort(run["digest"], kind="stable")]
         lane = run["digest"] % np.uint64(lanes)
         for x in np.unique(lane).tolist():
-            rows.append((1, names[0], x, None, run[lane == x].tobytes()))
+            rows.append((1, names[0], x, 0, run[lane == x].tobytes()))
     columns = list(zip(*rows)) or [[]] * 5
     return pd.DataFrame(dict(zip(["kind", "anchor", "lane", "content", "data"], columns))).astype(
-        {"kind": "int32", "anchor": "int64", "lane": "int64", "content": "Int64", "data": "object"})
+        {"kind": "int32", "anchor": "int64", "lane": "int64", "content": "int64", "data": "object"})
 
 
 def merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -364,7 +364,8 @@ def repeated_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     path = fresh_path(spark, "pieces")
     pieces(docs, window, gram).write.parquet(path)
     everywhere = spark.read.schema(PIECES).parquet(path)
-    twice = everywhere.groupBy("anchor").agg(F.count("*").alias("times"), F.max("inner").alias("inner")).where("times > 1 or inner").select("anchor")
+    # Settled, so that the join has plain shuffles on both sides, which adaptive execution splits where an anchor is hot.
+    twice = settle(everywhere.groupBy("anchor").agg(F.count("*").alias("times"), F.max("inner").alias("inner")).where("times > 1 or inner").select("anchor"))
     places = settle(everywhere.join(twice, "anchor"))
 
     place = F.struct("text_key", "start", "windows")
@@ -372,9 +373,9 @@ def repeated_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
         F.count("*").alias("times"), F.min(place).alias("place"), F.max("inner").alias("inner")))
     held = F.col("place.windows") + F.lit(window - 1)
     # Only an anchor with a piece that occurs once has windows that are still to be judged.
-    several = kinds.groupBy("anchor").agg(
+    several = settle(kinds.groupBy("anchor").agg(
         F.count("*").alias("kinds"), F.sum(held).alias("bytes"), F.max("inner").alias("inner"), F.min("times").alias("least"),
-    ).where("least = 1 and (kinds > 1 or inner)")
+    ).where("least = 1 and (kinds > 1 or inner)"))
     total = several.agg(F.coalesce(F.sum("bytes"), F.lit(0))).scalar()
     shards = F.greatest(F.lit(1), F.ceil(total / F.lit(SHARD_BYTES))).cast("long")
     parts = F.greatest(F.ceil(F.col("kinds") / SHARD_PIECES), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("long")
