@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.llm.words import STEP, has_rows, scatter, settle
@@ -42,7 +42,8 @@ class Limits:
     block: int = 1 << 12  # ids in one row before their digest is taken
 
 
-SUFFIX = ("stretch long, k1 long, k2 long, taken int, ids binary, lens binary, turns int, conv_id long, n_convs long, n_more long")
+SUFFIX = ("stretch long, k1 long, k2 long, taken int, ids binary, lens binary, turns int, conv_id long, n_convs long, n_more long, "
+          "above_conv_id long, above_known boolean")
 NODE = ["k1", "k2", "depth", "conv_id", "n_convs", "n_children", "n_leaves", "saved"]
 SWEPT = ("kind int, k1 long, k2 long, depth long, conv_id long, n_convs long, n_children long, n_leaves long, saved long, "
          "parent_conv_id long, p1 long, p2 long, stretch long")
@@ -142,12 +143,17 @@ def placed(rows: DataFrame, size: int) -> DataFrame:
     return short.unionByName(rows.where(~whole).join(keys, ["conv_id", "stretch"]))
 
 
-def suffixes_of(rows: DataFrame) -> DataFrame:
-    """Equal stretches under one prefix as one row: smallest conversation, how many, how many go on."""
+def suffixes_of(rows: DataFrame, root: Column) -> DataFrame:
+    """Equal stretches under one prefix as one row: smallest conversation, how many, how many go on.
+
+    above_conv_id is the smallest member of the node above the container, where it is known:
+    the root's now, a head's when it bursts.
+    """
     return rows.groupBy("stretch", "k1", "k2", "x1", "x2").agg(
         F.first("ids").alias("ids"), F.first("lens").alias("lens"), F.first("turns").alias("turns"), F.min("conv_id").alias("conv_id"),
         F.count("*").alias("n_convs"), F.count_if("more").alias("n_more"),
-    ).select("stretch", "k1", "k2", F.lit(0).alias("taken"), "ids", "lens", "turns", "conv_id", "n_convs", "n_more")
+    ).select("stretch", "k1", "k2", F.lit(0).alias("taken"), "ids", "lens", "turns", "conv_id", "n_convs", "n_more",
+             F.coalesce(root, F.lit(0)).cast("long").alias("above_conv_id"), (F.col("stretch") == 0).alias("above_known"))
 
 
 CONTAINER = ["stretch", "k1", "k2"]
@@ -162,17 +168,20 @@ def burst(held: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame | None]
     done, heads = [], []
     held = settle(held)
     while True:
-        sizes = held.groupBy(*CONTAINER).agg(F.count("*").alias("suffixes"), F.sum(F.col("turns") - F.col("taken")).alias("left"))
-        large = settle(sizes.where((F.col("suffixes") > limits.suffixes) | ((F.col("left") > limits.turns) & (F.col("suffixes") > 1))).select(*CONTAINER))
+        sizes = held.groupBy(*CONTAINER).agg(F.count("*").alias("suffixes"), F.sum(F.col("turns") - F.col("taken")).alias("left"), F.min("conv_id").alias("head_conv_id"))
+        large = settle(sizes.where((F.col("suffixes") > limits.suffixes) | ((F.col("left") > limits.turns) & (F.col("suffixes") > 1))).select(*CONTAINER, "head_conv_id"))
         if not has_rows(large):
             done.append(held)
             break
-        done.append(held.join(large, CONTAINER, "left_anti"))
-        open_ones = settle(held.join(large, CONTAINER, "left_semi"))
+        done.append(held.join(large.drop("head_conv_id"), CONTAINER, "left_anti"))
+        open_ones = settle(held.join(large, CONTAINER))
         heads.append(open_ones.groupBy(*CONTAINER, "taken").agg(
-            F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.min(F.struct("conv_id", "ids", "lens")).alias("path")
-        ).select(*CONTAINER, "taken", "conv_id", "n_convs", "path.ids", "path.lens"))
-        held = settle(next_containers(open_ones.where("taken < turns"), limits.stretch))
+            F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.min(F.struct("conv_id", "ids", "lens")).alias("path"),
+            F.first("above_conv_id").alias("above_conv_id"), F.first("above_known").alias("above_known"),
+        ).select(*CONTAINER, "taken", "conv_id", "n_convs", "path.ids", "path.lens", "above_conv_id", "above_known"))
+        below = open_ones.where("taken < turns").withColumn("above_conv_id", F.col("head_conv_id")).withColumn(
+            "above_known", F.lit(True)).drop("head_conv_id")
+        held = settle(next_containers(below, limits.stretch))
     rest = done[0]
     for more in done[1:]:
         rest = rest.unionByName(more)
@@ -237,7 +246,7 @@ class Sweep:
     def part(self, key, children: int, leaves: int, saved: int) -> None:
         self.rows.append([KIND_PART, *key, None, None, None, children, leaves, saved, None, None, None, None])
 
-    def container(self, stretch: int, taken: int, rows: list) -> None:
+    def container(self, stretch: int, taken: int, above_conv: int | None, rows: list) -> None:
         """One container: (ids, lens, conv, members, going on) of its suffixes, sorted by ids."""
         base = stretch * self.size
         ids, lens = rows[0][0], rows[0][1]
@@ -264,7 +273,7 @@ class Sweep:
         while self.stack:
             tops += self.closed_top(stretch, 0)
         for row in tops:
-            row[10:13] = [*above, stretch]
+            row[9:13] = [above_conv, *above, stretch]
         leaves, saved = sum(r[7] for r in tops), sum(r[8] for r in tops)
         self.part(above, len(tops), 0, 0)
         # The start of a later stretch is no node of this one: what lies below reaches it by its conversations.
@@ -290,19 +299,20 @@ def sweep_shard(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
     lens = [np.frombuffer(x, "<i8").tolist() for x in pdf["lens"]]
     rows = sorted(zip(pdf["stretch"], pdf["k1"], pdf["k2"], pdf["ids"], range(len(pdf))))
     columns = [pdf[c].tolist() for c in ("taken", "conv_id", "n_convs", "n_more")]
+    known = [c if there else None for c, there in zip(pdf["above_conv_id"].tolist(), pdf["above_known"].tolist())]
     at = 0
     while at < len(rows):
         key, held = rows[at][:3], []
         while at < len(rows) and rows[at][:3] == key:
             n = rows[at][4]
             held.append((rows[at][3], lens[n], *[c[n] for c in columns[1:]]))
-            taken = columns[0][n]
+            taken, above = columns[0][n], known[n]
             at += 1
         start = np.array([key[1:]], np.int64).view(np.uint64)
         for turn in place_keys(held[0][0][: 16 * taken], key[0] * size):
             start = start ^ turn
         sweep.start = start.view(np.int64)[0].tolist()  # the key at the stretch's start
-        sweep.container(int(key[0]), int(taken), held)
+        sweep.container(int(key[0]), int(taken), above, held)
     for (conv, stretch), (saved, leaves) in sweep.owned.items():
         sweep.rows.append([KIND_OWNED, None, None, None, conv, None, None, leaves, saved, None, None, None, stretch])
     return swept_frame(sweep.rows)
@@ -326,7 +336,8 @@ def head_rows(heads: DataFrame, size: int) -> DataFrame:
                     place_keys(r.ids[: 16 * r.taken], r.stretch * size), axis=0)
                 path = prefix_keys(r.ids[: 16 * r.taken], r.stretch * size, *start.view(np.int64)[0].tolist()).tolist()
                 saved = (r.n_convs - 1) * int(np.frombuffer(r.lens, "<i8")[r.taken - 1])
-                sweep.rows.append([KIND_NODE, *path[-1], r.stretch * size + r.taken, r.conv_id, r.n_convs, 0, 0, saved, None, *path[-2], r.stretch])
+                sweep.rows.append([KIND_NODE, *path[-1], r.stretch * size + r.taken, r.conv_id, r.n_convs, 0, 0, saved,
+                                   r.above_conv_id if r.above_known else None, *path[-2], r.stretch])
                 sweep.part(path[-2], 1, 0, 0)
                 for key in path[(1 if r.stretch else 0) : -1]:
                     sweep.part(key, 0, 0, saved)
@@ -425,7 +436,7 @@ def trie(turns: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """
     convs, built = rebuilt(turns)
     rows = placed(settle(stretches(built, limits.stretch)), limits.stretch)
-    held, heads = burst(suffixes_of(rows), limits)
+    held, heads = burst(suffixes_of(rows, convs.agg(F.min("conv_id")).scalar()), limits)
     total = held.agg(F.coalesce(F.sum(F.col("turns") - F.col("taken")), F.lit(0))).scalar()
     shards = F.greatest(F.lit(1), F.ceil(total / F.lit(limits.shard))).cast("long")
     shard = F.pmod(F.xxhash64(*CONTAINER), shards).alias("shard")
@@ -443,8 +454,8 @@ def trie(turns: DataFrame, limits: Limits = Limits()) -> DataFrame:
         zero.alias("k1"), zero.alias("k2"), zero.alias("depth"), "conv_id", "n_convs", zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved"),
         *[F.lit(None).cast("long").alias(c) for c in ("parent_conv_id", "p1", "p2")])
     nodes = swept.where(F.col("kind") == KIND_NODE).select(*NODE, "parent_conv_id", "p1", "p2").unionByName(root)
-    # The tops of containers learn their parent's smallest member here; the others know it.
-    tops = nodes.where("p1 is not null").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("p1").alias("k1"), F.col("p2").alias("k2"))
+    # The first nodes of later stretches learn their parent's smallest member here; the others know it.
+    tops = nodes.where("p1 is not null and parent_conv_id is null").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("p1").alias("k1"), F.col("p2").alias("k2"))
     known = tops.join(nodes.select("k1", "k2", "conv_id"), ["k1", "k2"]).select(
         F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.col("conv_id").alias("top_parent"))
     more = lambda c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0))
