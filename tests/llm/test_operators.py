@@ -399,3 +399,29 @@ def test_pipeline_stages(spark, small):
     rows = corpus_pipeline.STAGES[4][1](spark, docs, small).toPandas()
     assert rows.groupby("doc_id").size().index.isin(before).all()
     assert rows.length.sum() == rows[rows.start == 0].doc_tokens.sum()
+
+
+def test_mixing_keeps_every_source_and_splits_ties(spark):
+    rows = [(i, "w " * 40, "big") for i in range(200)] + [(1000 + i, "w " * 5, "tiny") for i in range(5)]  # tiny stops at 3 times its size
+    rows += [(2000 + i, "", "empty") for i in range(4)] + [(3000 + i, "w " * 10, None) for i in range(50)]
+    rows += [(None, "w " * 10, "no ids")] * 400 + [(77, "w " * 10, "one id")] * 300
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, source string, row string, level long").repartition(5)
+    got = mixing.mixed(docs).toPandas()
+    assert len(got) == len(rows)
+    want = Counter((r[2], len(r[1].split())) for r in rows)
+    assert Counter((None if s != s or s is None else s, n) for s, n in zip(got["source"], got["size"])) == want
+    for source, part in got.groupby("source", dropna=False):
+        assert (part["taken"] <= 3 * part["size"]).all() and part["target"].nunique() == 1
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= part["size"].max()
+    assert (got[got["source"] == "tiny"]["taken"] == 15).all()
+    copies = Counter({(s, n): 0 for s, n in want})
+    for r in mixing.mixed_rows(docs).collect():
+        copies[(r.source, len(r.text.split()))] += len(r.text.split())
+    taken = got.assign(source=got["source"].where(got["source"].notna(), None)).groupby(["source", "size"], dropna=False)["taken"].sum()
+    assert {(None if s != s else s, n): v for (s, n), v in taken.items()} == dict(copies)
+
+
+def test_packing_keeps_large_ids_beside_null(spark):
+    ids = [(1 << 53) + 1, None, -(1 << 62) - 3, (1 << 63) - 1, None]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    assert Counter(r.doc_id for r in packing.pack(docs, TOKENIZER).collect()) == Counter(ids)

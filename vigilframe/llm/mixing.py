@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.words import settle
+from vigilframe.llm.words import has_rows, settle
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 CELLS = 1 << 16  # rank cells of a source
@@ -30,13 +30,37 @@ def level_of(size: Column) -> Column:
     return F.length(F.bin(size)).cast("long")
 
 
-def random_odds(doc_id: Column) -> Column:
-    """u / (1 - u) of a number drawn by the id alone, so that reruns agree."""
-    drawn = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double")
+def random_odds(doc_id: Column, row: Column) -> Column:
+    """u / (1 - u) of a number drawn by the id, so that reruns agree, and by the row number where it isn't unique."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(":"), row.cast("string")), F.lit("")))
+    drawn = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double")
     u = (drawn + 0.5) / F.lit(4503599627370496.0)
     return u / (1 - u)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds row: a number for each row without an id or with one that others have; null elsewhere.
+
+    Only these rows are settled, so that their numbers stay; the others are known by their ids.
+    """
+    again = settle(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    alone, several = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    if has_rows(again):
+        several = several.unionByName(alone.join(again, "doc_id", "left_semi").select(*rows.columns))
+        alone = alone.join(again, "doc_id", "left_anti").select(*rows.columns)
+    several = settle(several.withColumn("row", F.monotonically_increasing_id()))
+    return alone.withColumn("row", F.lit(None).cast("long")).unionByName(several)
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("level", level_of(F.col("size"))).withColumn("odds", random_odds(F.col("doc_id"), F.col("row")))
+
+
+def place_of() -> Column:
+    """What orders the documents of a source: rank, then what tells equal ranks apart."""
+    return F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size", F.coalesce("row", F.lit(-1)).alias("row"))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """Adds each source's target: a share by weight of all sizes, at most `most` times its own.
 
@@ -73,7 +97,7 @@ def ranked(rows: DataFrame, most: int) -> DataFrame:
 
 
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """One row per source: sums, target, and the rank (with doc_id and size) of the last document taken."""
+    """One row per source: sums, target, and the place (see place_of) of the last document taken."""
     sources = targets(sized.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("level")).alias("level_sum"),
         F.min("level").alias("low"), F.max("level").alias("high")), weights, most)
@@ -89,15 +113,16 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
     inner = by_source(cells, blocks.withColumnRenamed("block", "cut_block")).where("block = cut_block")
     cut = crossing(inner, "cell").withColumnRenamed("cell", "cut_cell")
     crossed = by_source(rows, cut).where("cell = cut_cell")
-    inside = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size")
+    inside = Window.partitionBy("source").orderBy(place_of())
     last = (
         crossed.withColumn("end", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .where(F.col("end") - F.col("size") / 2 <= F.col("left"))
-        .groupBy("source").agg(F.max(F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")).alias("last"))
+        .groupBy("source").agg(F.max(place_of()).alias("last"))
     )
+    # Each side has a name of its own for the key: a drop by column would take the left side's away.
     return settle(
-        sources.join(cut, sources["source"].eqNullSafe(cut["source"]), "left").drop(cut["source"])
-        .join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+        sources.join(cut.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+        .join(last.withColumnRenamed("source", "last_source"), F.col("source").eqNullSafe(F.col("last_source")), "left").drop("last_source"))
 
 
 def crossing(sums: DataFrame, key: str) -> DataFrame:
@@ -120,24 +145,23 @@ def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def with_copies(sized: DataFrame, plan: DataFrame, most: int = 3) -> DataFrame:
-    """Adds copies to rows that have doc_id, source, size, level and odds."""
+    """Adds copies to rows that have doc_id, source, size, row, level and odds."""
     rows = ranked(by_source(sized, plan), most)
-    own = F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
-    drawn = F.col("rank").isNotNull() & (
-        F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | ((F.col("cell") == F.col("cut_cell")) & (own <= F.col("last"))))
-    return rows.withColumn("copies", F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("long"))
+    taken = F.col("rank").isNotNull() & (
+        F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | ((F.col("cell") == F.col("cut_cell")) & (place_of() <= F.col("last"))))
+    return rows.withColumn("copies", F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words times copies), copies, source.
 
     Null or empty text has size 0 and is never drawn by chance; a source without words has
-    target 0. A null source is a source of its own, ordered last. Rows that repeat an id and a
-    size in a source share their rank and are taken or left together. A null id counts as the
-    empty text when drawing. An empty table gives no rows. Other columns are not read.
+    target 0. A null source is a source of its own, ordered last. Rows without an id, or with one
+    that others have, are drawn each by itself, by a row number: which of equal rows is taken may
+    depend on how the input is split. An empty table gives no rows. Other columns are not read.
     """
     sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")))
-    sized = sized.withColumn("level", level_of(F.col("size"))).withColumn("odds", random_odds(F.col("doc_id")))
+    sized = drawn(numbered(sized))
     rows = with_copies(sized, mixing_plan(sized, weights, most), most)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
@@ -147,11 +171,8 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     names = docs.columns
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
                          "source", size_of(F.col("text")).alias("size"))
-    small = settle(packed.select("doc_id", "source", "size"))
-
-    def drawn(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("level", level_of(F.col("size"))).withColumn("odds", random_odds(F.col("doc_id")))
-
+    packed = numbered(packed)
+    small = settle(packed.select("doc_id", "source", "size", "row"))
     rows = with_copies(drawn(packed), mixing_plan(drawn(small), weights, most), most)
     return rows.where("copies > 0").select("__row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(
         *[F.col("__row")[c].alias(c) for c in names])
