@@ -90,12 +90,15 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
     groups = max(1, -(-pieces.where("start = 0").count() // group_docs))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "order", "start"], ascending=[False, True, True], kind="stable")
         spots = first_fit(pdf["length"].tolist(), capacity)
         pdf["sequence_id"] = [(key[0] << GROUP_BITS) + b for b, _ in spots]
         pdf["offset"] = [o for _, o in spots]
+        pdf["doc_id"] = pd.array([int(d) if d is not None else None for d in pdf["doc_id"]], "Int64")
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     # The pieces are settled, so a repeated task sees the same row numbers.
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row", F.lit("pack")), F.lit(groups)).alias("group")
-    return pieces.groupBy(group).applyInPandas(place, PLACED)
+    group = F.pmod(F.xxhash64("order", "start", "ids_crc32", "row", F.lit("pack")), F.lit(groups)).alias("group")
+    # pandas makes floats of a nullable long column, which can't hold ids beyond 2^53: the id goes as text.
+    rows = pieces.withColumn("order", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.groupBy(group).applyInPandas(place, PLACED)
