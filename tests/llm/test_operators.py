@@ -195,6 +195,33 @@ def test_components_of_a_chain(spark):
     assert len({roots[i] for i in range(41)}) == 1 and roots[100] == roots[101] != roots[0]
 
 
+@pytest.mark.parametrize("most", [1 << 20, 5])
+def test_components_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "FINISH_EDGES", most)
+    draw = random.Random(most)
+    pairs = [(draw.randint(-200, 200) << 40, draw.randint(-200, 200) << 40) for _ in range(230)] + [(9, 9)]
+    low = {}
+
+    def find(x):
+        while low.setdefault(x, x) != x:
+            x = low[x]
+        return x
+
+    for u, v in pairs:
+        a, b = find(u), find(v)
+        low[max(a, b)] = min(a, b)
+    rows = components.components(spark.createDataFrame(pairs, "u long, v long").repartition(6)).collect()
+    groups = defaultdict(set)
+    for r in rows:
+        groups[r.root].add(r.node)
+    want = defaultdict(set)
+    for u, v in pairs:
+        if u != v:
+            want[find(u)] |= {u, v}
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and all(r in g for r, g in groups.items())
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_mixing_odd_rows(spark):
     docs = odd_rows(spark)
     rows = mixing.mixed(docs).toPandas()
