@@ -11,7 +11,7 @@ from vigilframe.plans.registry import query
 from vigilframe.plans.storage import BLOCK, log_folder
 from vigilframe.plans.windows import SUPPRESS, ema
 from vigilframe.session import fresh_path
-from vigilframe.sources import readers, views
+from vigilframe.sources import following, readers, views, writers
 from vigilframe.streaming import jobs, sinks
 
 
@@ -33,14 +33,55 @@ def parsed_stream(spark, sf):
     return logs.parse_lines(views.log_lines_from(events_stream(spark, sf)), views.as_of())
 
 
+ROWS_PER_BATCH = 20_000
+EARLY = "ts < TIMESTAMP '2024-01-11 00:00:00'"
+EVENT_FIELDS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+def arriving_events(spark, sf):
+    """A folder that events arrive in, and what adds the early or the other ones to it."""
+    path, events = fresh_path(spark, "arriving"), views.table(spark, sf, "events")
+
+    def arrive(part):
+        events.where(part).write.mode("append").parquet(path)
+
+    return path, arrive, events.select(*EVENT_FIELDS).schema
+
+
 @query("a19_telemetry_source", "", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def source(spark, sf):
-    return sinks.drain_to_table(events_stream(spark, sf).drop("props"))
+    """All records in batches of rows; the run stops in between and goes on where it was."""
+    folder, arrive, schema = arriving_events(spark, sf)
+    out, state, place = (fresh_path(spark, n) for n in ("records", "checkpoint", "place"))
+    for part in (EARLY, f"NOT ({EARLY})"):
+        arrive(part)
+        stream = following.follow_events(spark, folder, schema, rows_per_batch=ROWS_PER_BATCH, progress=place)
+        sinks.follow(stream, sinks.changelog(out), checkpoint=state)
+    return sinks.read_changelog(spark, out, schema).drop("batch_id")
+
+
+@query("a19_telemetry_from_now", "", f"SELECT event_id, ts, user_id, event_type, value FROM events WHERE NOT ({EARLY})")
+def source_from_now(spark, sf):
+    """Started when the early records are there already, it reads only what comes later."""
+    folder, arrive, schema = arriving_events(spark, sf)
+    out, state, place = (fresh_path(spark, n) for n in ("records", "checkpoint", "place"))
+    for part in (EARLY, f"NOT ({EARLY})"):
+        arrive(part)
+        stream = following.follow_events(spark, folder, schema, start="latest", rows_per_batch=ROWS_PER_BATCH, progress=place)
+        sinks.follow(stream, sinks.changelog(out), checkpoint=state)
+    return sinks.read_changelog(spark, out, schema).drop("batch_id")
 
 
 @query("a20_log_tail_source", "log_lines", "SELECT line FROM log_lines")
 def tail(spark, sf):
-    return sinks.drain_to_table(readers.log_tail_source(spark, log_folder(spark, sf), "*.txt"))
+    """Lines of the files there, then, from the checkpoint, those of the files that came since."""
+    lines = views.log_lines(spark, sf)
+    early = F.col("line") < "[2024-01-01 00:30"
+    folder, out, state = (fresh_path(spark, n) for n in ("logs", "tailed", "checkpoint"))
+    for part in (early, ~early):
+        writers.write_log_lines(lines.filter(part), folder)
+        sinks.drain(readers.log_tail_source(spark, folder, "*.txt"), sinks.changelog(out), checkpoint=state)
+    return spark.read.parquet(out).select("line")
 
 
 @query("i1_stream_ingest", "inbound", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilframe.operators import ordering
+from vigilframe.sources.following import follow_lines
 
 LOG_GLOB = "detection_log_*.txt"
 
@@ -121,7 +122,6 @@ def telemetry_source(
     )
 
 
-def log_tail_source(spark: SparkSession, folder: str, glob: str = LOG_GLOB, files_per_batch: int = 10) -> DataFrame:
-    """Unbounded read of log lines; new files are picked up as they appear."""
-    lines = spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).text(folder)
-    return lines.select(F.col("value").alias("line"))
+def log_tail_source(spark: SparkSession, folder: str, glob: str = LOG_GLOB, start: str = "earliest") -> DataFrame:
+    """Unbounded read of log lines: those appended to a file as well as those of newer files, each once."""
+    return follow_lines(spark, folder, glob, start).select("line")

@@ -52,6 +52,19 @@ def drain(stream: DataFrame, write: BatchWriter, mode: str = "append", checkpoin
     return query
 
 
+def follow(stream: DataFrame, write: BatchWriter, mode: str = "append", checkpoint: str | None = None):
+    """Run a stream, batch after batch, until nothing new is there; for sources that admit a part at a time."""
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(write)
+        .option("checkpointLocation", checkpoint or fresh_path(stream.sparkSession, "checkpoint")).start()
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def drain_to_table(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), label: str = "table") -> DataFrame:
     """Drain into a change log and read it back (newest row per key when keys are given)."""
     path = fresh_path(stream.sparkSession, label)
