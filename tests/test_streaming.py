@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vigilframe.operators import summary, threats
 from vigilframe.session import fresh_path
 from vigilframe.sources import readers, views
-from vigilframe.streaming import jobs, sinks
+from vigilframe.streaming import jobs, sinks, tables
 
 
 @pytest.fixture(scope="module")
@@ -85,7 +85,7 @@ def test_threat_state_and_deltas(spark, stream, batch):
 
 
 def test_transitions(spark, stream, batch):
-    path, latest = fresh_path(spark, "moves"), fresh_path(spark, "latest")
+    path, latest = fresh_path(spark, "moves"), tables.KeyedTable(spark, fresh_path(spark, "latest"), jobs.STATUSES, ["src_ip"], buckets=4)
     sinks.drain(stream, jobs.transitions_writer(path, latest))
     got = {r["seq"]: r["previous"] for r in spark.read.parquet(path).collect()}
     assert got == {r["seq"]: r["previous"] for r in threats.status_transition(batch).collect()}

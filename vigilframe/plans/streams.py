@@ -12,7 +12,7 @@ from vigilframe.plans.storage import BLOCK, log_folder
 from vigilframe.plans.windows import SUPPRESS, ema
 from vigilframe.session import fresh_path
 from vigilframe.sources import following, readers, views, writers
-from vigilframe.streaming import jobs, sinks
+from vigilframe.streaming import jobs, scoring, sinks, states, tables
 
 
 def events_stream(spark, sf):
@@ -112,16 +112,20 @@ def stream_blocked(spark, sf):
 @query("i3_stream_minute_buckets", "telemetry", f"""
 SELECT date_trunc('minute', ts) AS minute, count(*) FILTER ({ATTACK}) AS attack, count(*) FILTER (NOT {ATTACK}) AS normal FROM telemetry GROUP BY 1""")
 def stream_minutes(spark, sf):
-    out = sinks.drain_to_table(jobs.minute_buckets(attack_stream(spark, sf)), "update", ["minute"])
-    return out.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+    return minute_totals(spark, sf)
+
+
+def minute_totals(spark, sf):
+    minutes = tables.MinuteTotals(spark, fresh_path(spark, "minutes"))
+    sinks.drain(attack_stream(spark, sf), minutes.write)
+    return minutes.totals()
 
 
 @query("i4_stream_attack_summary", "telemetry", f"""
 WITH w AS (SELECT unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 5 MINUTE, INTERVAL 1 MINUTE)) AS window_end, {ATTACK} AS attack FROM telemetry)
 SELECT window_end, count(*) AS total_events, round(count(*) FILTER (attack) / CAST(5 AS DOUBLE), 2) AS attack_rate FROM w GROUP BY 1""")
 def stream_summary(spark, sf):
-    out = sinks.drain_to_table(jobs.sliding_summary(attack_stream(spark, sf)), "update", ["window_end"])
-    return out.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    return tables.trailing_summary(minute_totals(spark, sf), minutes=5)
 
 
 @query("i5_stream_threat_index", "telemetry", f"""WITH {ema('PARTITION BY src_ip')}
@@ -143,7 +147,8 @@ def stream_state(spark, sf):
 @query("c4_stream_previous_status", "telemetry", """
 SELECT seq, src_ip, lag(status) OVER (PARTITION BY src_ip ORDER BY seq) AS previous FROM telemetry""")
 def stream_previous(spark, sf):
-    path, latest = fresh_path(spark, "moves"), fresh_path(spark, "latest")
+    path = fresh_path(spark, "moves")
+    latest = tables.KeyedTable(spark, fresh_path(spark, "latest"), jobs.STATUSES, ["src_ip"])
     sinks.drain(telemetry_stream(spark, sf), jobs.transitions_writer(path, latest))
     return spark.read.parquet(path).select("seq", "src_ip", "previous")
 
@@ -152,10 +157,9 @@ def stream_previous(spark, sf):
 WITH s AS (SELECT seq, tanh((confidence + vector / 360) / (2 + 1e-6)) AS score FROM telemetry)
 SELECT seq, round(score, 9) AS score, CASE WHEN score >= 0.5 THEN 'ANOMALY' ELSE 'NORMAL' END AS label FROM s""")
 def stream_score(spark, sf):
-    path = fresh_path(spark, "scores")
-    scorer = lambda df: df.withColumn("score", heuristic_score([F.col("confidence"), F.col("vector") / 360]))
-    sinks.drain(telemetry_stream(spark, sf), jobs.score_writer(scorer, path))
-    return spark.read.schema(jobs.SCORED).parquet(path).select("seq", F.round("score", 9).alias("score"), "label")
+    rows = telemetry_stream(spark, sf).select("seq", "confidence", (F.col("vector") / 360).alias("vector"))
+    scores = sinks.drain_to_table(scoring.scored_in_groups(rows, ["confidence", "vector"]), label="scores")
+    return scores.select("seq", F.round("score", 9).alias("score"), "label")
 
 
 @query("i8_stream_detect_and_route", "telemetry", BLOCK.format(cond="is_attack"))
@@ -202,10 +206,12 @@ def live_feed(spark, sf):
     return jobs.live_feed(history, telemetry_stream(spark, sf).filter(F.col("ts") >= start).select("seq", "src_ip"))
 
 
-@query("i12_stream_dedup", "telemetry", "SELECT DISTINCT concat('e', CAST(seq // 3 AS VARCHAR)) AS id FROM telemetry")
+@query("i12_stream_dedup", "telemetry", "SELECT concat('e', CAST(seq // 3 AS VARCHAR)) AS id, min(seq) AS seq FROM telemetry GROUP BY 1")
 def stream_dedup(spark, sf):
-    t = telemetry_stream(spark, sf).select(F.concat(F.lit("e"), F.floor(F.col("seq") / 3).cast("string")).alias("id"), "ts")
-    return sinks.drain_to_table(jobs.with_event_time(t).dropDuplicatesWithinWatermark(["id"])).select("id")
+    rows = telemetry_stream(spark, sf).select(F.concat(F.lit("e"), F.floor(F.col("seq") / 3).cast("string")).alias("id"), "seq")
+    path = fresh_path(spark, "firsts")
+    sinks.drain(rows, tables.first_of_id_writer(tables.SeenIds(spark, fresh_path(spark, "seen")), path, "seq"))
+    return sinks.read_changelog(spark, path, rows.schema).drop("batch_id")
 
 
 @query("i13_stream_log_analytics", "log_lines", f"""WITH {PARSED}
@@ -243,8 +249,5 @@ def latency(spark, sf):
 WITH l AS (SELECT src_ip, arg_max(status, seq) AS status FROM telemetry GROUP BY 1)
 SELECT count(*) FILTER (status = 'Active') AS active, count(*) FILTER (status = 'Blocked') AS blocked, count(*) FILTER (status <> 'Blocked') AS suspicious FROM l""")
 def stream_deltas(spark, sf):
-    path = fresh_path(spark, "states")
-    stream = jobs.threat_state_stream(telemetry_stream(spark, sf))
-    sinks.drain(stream, sinks.changelog(path), "update")
-    deltas = jobs.counter_deltas(sinks.read_changelog(spark, path, stream.schema))
-    return deltas.agg(*[F.sum(c).alias(c) for c in ("active", "blocked", "suspicious")])
+    jobs.use_rocksdb(spark)
+    return states.counters(sinks.drain_to_table(states.threat_deltas(telemetry_stream(spark, sf)), "update", label="deltas"))

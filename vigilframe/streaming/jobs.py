@@ -15,7 +15,7 @@ from vigilframe.functions import bands
 from vigilframe.operators import ingest, logs, ordering, threats
 from vigilframe.operators.logs import blocklist
 from vigilframe.session import ROCKSDB_PROVIDER, fresh_path
-from vigilframe.streaming import sinks
+from vigilframe.streaming import sinks, tables
 
 LATENESS = "10 minutes"  # default where a state expires: rows later than that are left out
 
@@ -155,24 +155,21 @@ def counter_deltas(log: DataFrame) -> DataFrame:
     )
 
 
-def transitions_writer(path: str, latest_path: str) -> sinks.BatchWriter:
-    """Row-level status transitions; the status before a batch comes from the batch before."""
+STATUSES = T.StructType([T.StructField("src_ip", T.StringType()), T.StructField("status", T.StringType())])
+
+
+def transitions_writer(path: str, latest: tables.KeyedTable) -> sinks.BatchWriter:
+    """Row-level status transitions; the status before a batch comes from the table that the batches maintain."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
         rows = df.select("seq", "src_ip", "status").persist()
         try:
             newest = rows.groupBy("src_ip").agg(F.max_by("status", "seq").alias("status"))
-            moves = threats.status_transition(rows)
-            if batch_id == 0:
-                latest = newest
-            else:
-                held = spark.read.parquet(sinks.batch_path(latest_path, batch_id - 1))
-                known = held.select("src_ip", F.col("status").alias("_held"))
-                moves = moves.join(known, "src_ip", "left").withColumn("previous", F.coalesce("previous", "_held")).drop("_held")
-                latest = held.join(newest.select("src_ip"), "src_ip", "left_anti").unionByName(newest)
+            known = latest.read(batch_id - 1, latest.touched(newest)).select("src_ip", F.col("status").alias("_held"))
+            moves = threats.status_transition(rows).join(known, "src_ip", "left")
+            moves = moves.withColumn("previous", F.coalesce("previous", "_held")).drop("_held")
             moves.write.mode("overwrite").parquet(sinks.batch_path(path, batch_id))
-            latest.write.mode("overwrite").parquet(sinks.batch_path(latest_path, batch_id))
+            latest.upsert(newest, batch_id)
         finally:
             rows.unpersist()
 

@@ -52,6 +52,12 @@ def drain(stream: DataFrame, write: BatchWriter, mode: str = "append", checkpoin
     return query
 
 
+def kept(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written once and read back, so that what follows sees the same."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def follow(stream: DataFrame, write: BatchWriter, mode: str = "append", checkpoint: str | None = None):
     """Run a stream, batch after batch, until nothing new is there; for sources that admit a part at a time."""
     query = (
