@@ -72,8 +72,8 @@ def test_empty_summary_and_texts(spark, empty):
     assert [t["minute"] for t in one["timeline"]] == ["00:56", "00:57", "00:58", "00:59", "01:00"]
     doc = summary.attack_summary(events, AS_OF, 5)
     said = narrative.incident_narrative(doc, F.lit(AS_OF).cast("timestamp_ntz"), 5).first()[0]
-    assert said == "As of 01:00 UTC, no suspicious activity was detected in the last 5 minutes. All monitored channels remain quiet."
-    assert narrative.cycle_summary_text(doc).first()[0].startswith("Traffic baseline stable")
+    assert said == "01:00 UTC: nothing hostile in the past 5 minutes."
+    assert narrative.cycle_summary_text(doc).first()[0] == "Quiet cycle: no hostile event."
     stats = threats.threat_stats(empty).first()
     assert tuple(stats) == (0, 0, 0, 0.0)
 
@@ -131,7 +131,7 @@ def test_spikes_of_all_alerts(spark, small, monkeypatch):
     from vigilframe.sources import views
 
     alerts = views.telemetry(spark, small).where("severity = 'ALERT'").where(F.col("ts") >= F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    rows = plans.QUERIES["e7_spike_or_cooldown_all_alerts"](spark, small)
+    rows = plans.QUERIES["e7_spike_or_cooldown"](spark, small)
     assert rows.count() == 60
     shown = alerts.where(F.col("ts") >= F.lit("2024-01-01 00:01:00").cast("timestamp_ntz")).count()
     assert rows.agg(F.sum("count")).first()[0] == shown > 0
@@ -141,7 +141,7 @@ def test_spikes_of_all_alerts(spark, small, monkeypatch):
             [("30", "ALERT")] * 10 + [("45", "ALERT")] * 20 + [(f"{m:02d}", "INFO") for m in range(60)])],
         "seq bigint, t string, severity string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
     monkeypatch.setattr(views, "telemetry", lambda spark, sf: few)
-    got = {str(r["minute"])[11:16]: (r["count"], r["state"]) for r in plans.QUERIES["e7_spike_or_cooldown_all_alerts"](spark, small).collect()}
+    got = {str(r["minute"])[11:16]: (r["count"], r["state"]) for r in plans.QUERIES["e7_spike_or_cooldown"](spark, small).collect()}
     assert len(got) == 60 and got["00:29"] == (0, "steady") and got["00:30"] == (10, "spike") and got["00:31"] == (0, "cooled")
     assert got["00:45"] == (20, "spike") and got["01:00"] == (0, "cooled") and sum(c for c, _ in got.values()) == 30
 

@@ -6,7 +6,7 @@ import check
 from vigilframe import plans
 
 # The training queries are covered by test_models.
-ROWS_ONLY = ["c9_dashboard_composite", "a7_latest_log_only", "a8_last_lines"]
+ROWS_ONLY = ["c9_dashboard_composite"]
 
 
 @pytest.fixture(scope="module")

@@ -176,19 +176,18 @@ def document(spark, sf):
 
 
 @query("j13_incident_narrative", "telemetry", f"""WITH {DOC}
-SELECT concat_ws(' ', printf('As of 01:00 UTC, approximately %d high-risk events were observed in the last 5 minutes, averaging %.1f per minute.', total, rate),
- printf('The most active source was %s accounting for %d%% of alerts.', ip.v, CAST(round(ip.c / CAST(total AS DOUBLE) * 100) AS BIGINT)),
- printf('Most probes targeted destination port %s (%.1f attempts).', port.v, CAST(port.c AS DOUBLE)), printf('Traffic remained predominantly %s protocol.', pr.v),
- CASE WHEN l > mean * 1.5 AND l >= 3 THEN 'Alert frequency spiked in the most recent minute — investigate promptly.' WHEN l <= mean * 0.5 AND mean > 0 THEN 'Activity has cooled compared to the preceding minutes.' END,
- 'Recommend reviewing correlated alerts to confirm containment.') AS narrative FROM s, ip, port, pr, lastb""")
+SELECT concat_ws(' ', printf('01:00 UTC: %d hostile events in the past 5 minutes, or %.1f a minute.', total, rate),
+ printf('%s sent %d%% of them, more than any other address.', ip.v, CAST(round(ip.c / CAST(total AS DOUBLE) * 100) AS BIGINT)),
+ printf('Port %s was hit most often, %.1f times.', port.v, CAST(port.c AS DOUBLE)), printf('The leading protocol is %s.', pr.v),
+ CASE WHEN l > mean * 1.5 AND l >= 3 THEN 'The latest minute is well above the ones before it: look into it first.' WHEN l <= mean * 0.5 AND mean > 0 THEN 'The latest minute is calmer than the ones before it.' END,
+ 'Next: check whether the listed sources are blocked.') AS narrative FROM s, ip, port, pr, lastb""")
 def incident(spark, sf):
     return narrative.incident_narrative(document(spark, sf), views.as_of(), 5)
 
 
 @query("j14_model_summary_text", "telemetry importance", f"""WITH {NORM},
 r AS (SELECT name, CASE WHEN normalized_score > 0.65 THEN 'rising' ELSE 'elevated' END AS sig, row_number() OVER (ORDER BY normalized_score DESC, name) AS n FROM norm)
-SELECT concat('Past 15 minutes show elevated activity driven by ', string_agg(concat(name, ' (', sig, ')'), ', ' ORDER BY n),
- '. Recommend tightening firewall rules on highlighted ports and monitoring anomalous IP chatter.') AS text FROM r WHERE n <= 3""")
+SELECT concat('Strongest signals of the past 15 minutes: ', string_agg(concat(name, ' (', sig, ')'), ', ' ORDER BY n), '.') AS text FROM r WHERE n <= 3""")
 def model_text(spark, sf):
     return narrative.model_summary_text(importance.top_feature_signals(norm_importance(spark, sf), 5), 900)
 
@@ -196,9 +195,9 @@ def model_text(spark, sf):
 @query("j15_diagnosis_patterns", "telemetry importance", f"""WITH {DOC}, {NORM},
 f AS (SELECT name, normalized_score AS w FROM norm ORDER BY normalized_score DESC, name LIMIT 1),
 h AS (SELECT minute, count FROM (SELECT * FROM t ORDER BY minute DESC LIMIT 3) WHERE count >= 5 ORDER BY minute LIMIT 1)
-SELECT 0 AS pos, concat('ip-', v) AS id, concat('Concentrated activity from ', v) AS title, CAST(least(99, 60 + c) AS INT) AS confidence, {ASOF} AS last_seen FROM ip
-UNION ALL SELECT 1, concat('feature-', name), concat('Model weights emphasise ', name), CAST(round(w * 100) AS INT), {ASOF} - INTERVAL 4 MINUTE FROM f
-UNION ALL SELECT 2, concat('spike-', strftime(minute, '%H:%M')), 'Spike detected in recent minutes', CAST(least(95, count * 12) AS INT), {ASOF} - INTERVAL 2 MINUTE FROM h""")
+SELECT 0 AS pos, concat('ip-', v) AS id, concat('Many events from ', v) AS title, CAST(least(99, 60 + c) AS INT) AS confidence, {ASOF} AS last_seen FROM ip
+UNION ALL SELECT 1, concat('feature-', name), concat('The model relies on ', name), CAST(round(w * 100) AS INT), {ASOF} - INTERVAL 4 MINUTE FROM f
+UNION ALL SELECT 2, concat('spike-', strftime(minute, '%H:%M')), 'A busy minute', CAST(least(95, count * 12) AS INT), {ASOF} - INTERVAL 2 MINUTE FROM h""")
 def diagnosis(spark, sf):
     top = norm_importance(spark, sf).orderBy(F.col("normalized_score").desc(), "name").limit(1)
     found = narrative.diagnosis_patterns(document(spark, sf), top.select("name", F.col("normalized_score").alias("importance")), views.as_of())
@@ -206,15 +205,15 @@ def diagnosis(spark, sf):
 
 
 @query("j16_cycle_summary_text", "telemetry", f"""WITH {DOC}
-SELECT concat_ws(' ', printf('In the last cycle, %d hostile events were recorded at %.1f per minute.', total, rate), printf('Source %s exhibited the highest pressure.', ip.v),
- printf('%s traffic dominated the vector mix.', pr.v)) AS text FROM s, ip, pr""")
+SELECT concat_ws(' ', printf('Hostile events this cycle: %d (%.1f a minute).', total, rate), printf('Busiest source: %s.', ip.v),
+ printf('Busiest protocol: %s.', pr.v)) AS text FROM s, ip, pr""")
 def cycle_text(spark, sf):
     return narrative.cycle_summary_text(document(spark, sf))
 
 
 @query("j17_attribution_pattern", "telemetry importance", f"""WITH {WEIGHTED.strip()},
 b AS (SELECT row_id, arg_max(feature, (abs(value), feature)) AS f, arg_max(value, (abs(value), feature)) AS v FROM contributions GROUP BY 1)
-SELECT row_id, concat('Anomaly influenced by ', f) AS title, CAST(CASE WHEN row_id % 2 = 0 THEN 72 ELSE round(confidence * 100) END AS INT) AS confidence
+SELECT row_id, concat('Main driver: ', f) AS title, CAST(CASE WHEN row_id % 2 = 0 THEN 72 ELSE round(confidence * 100) END AS INT) AS confidence
 FROM b JOIN telemetry ON seq = row_id""")
 def attribution_pattern(spark, sf):
     p = views.telemetry(spark, sf).select(F.col("seq").alias("row_id"), F.when(F.col("seq") % 2 == 1, F.col("confidence")).alias("prediction"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from vigilframe.functions import logtext
@@ -63,15 +65,29 @@ def read_logs(spark, sf):
     return readers.read_log_dir(spark, log_folder(spark, sf), "*.txt").select("line")
 
 
-@query("a7_latest_log_only")
+LAST_MINUTE = "line >= '[2024-01-01 00:59'"
+
+
+def log_files(spark, sf):
+    """Log files in order of time; the last minute's lines are the newest file, in order."""
+    path, lines = fresh_path(spark, "logs"), views.log_lines(spark, sf)
+    writers.write_log_lines(lines.where(f"NOT ({LAST_MINUTE})"), path)
+    time.sleep(1.1)  # file times may be whole seconds
+    writers.write_log_lines(lines.where(LAST_MINUTE).coalesce(1).sortWithinPartitions("seq"), path)
+    return path
+
+
+@query("a7_latest_log_only", "log_lines", f"SELECT line FROM log_lines WHERE {LAST_MINUTE}")
 def latest_log(spark, sf):
-    return readers.latest_log_only(spark, log_folder(spark, sf), "*.txt").select("line", "modified")
+    return readers.latest_log_only(spark, log_files(spark, sf), "*.txt").select("line")
 
 
-@query("a8_last_lines")
+@query("a8_last_lines", "log_lines", f"""
+SELECT line, CAST(row_number() OVER (ORDER BY seq DESC) AS INT) AS from_end FROM log_lines WHERE {LAST_MINUTE} ORDER BY seq DESC LIMIT 200""")
 def last_lines(spark, sf):
-    lines = readers.read_log_dir(spark, log_folder(spark, sf), "*.txt")
-    return readers.last_lines(lines, 200).select("file", "line", "from_end")
+    """The last lines of the newest file."""
+    lines = readers.latest_log_only(spark, log_files(spark, sf), "*.txt")
+    return readers.last_lines(lines, 200).select("line", "from_end")
 
 
 @query("a9_scan_importance_csv", "importance_lines", """

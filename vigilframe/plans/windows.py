@@ -70,9 +70,6 @@ def rank(spark, sf):
     return imp.importance_rank(norm_importance(spark, sf))
 
 
-RARE = "severity = 'ALERT' AND seq % 97 = 0"  # leaves minutes empty
-
-
 def _buckets(rows):
     return f"""s AS (SELECT unnest(generate_series({ASOF} - INTERVAL 59 MINUTE, {ASOF}, INTERVAL 1 MINUTE)) AS minute),
 c AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS count FROM telemetry WHERE {rows} AND ts >= {ASOF} - INTERVAL 60 MINUTE GROUP BY 1),
@@ -83,20 +80,13 @@ def buckets(spark, sf, rows):
     return summary.timeline(views.telemetry(spark, sf).where(rows), views.AS_OF, 60)
 
 
-@query("e7_spike_or_cooldown", "telemetry", f"""WITH {_buckets(RARE)},
-m AS (SELECT *, avg(count) OVER w AS mean, count(*) OVER w AS n FROM b WINDOW w AS (ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT minute, count, CASE WHEN n < 1 THEN 'steady' WHEN count > mean * 1.5 AND count >= 3 THEN 'spike' WHEN count <= mean * 0.5 AND mean > 0 THEN 'cooled' ELSE 'steady' END AS state FROM m""")
-def spike(spark, sf):
-    return summary.spike_states(buckets(spark, sf, RARE))
-
-
 ALERTS = "severity = 'ALERT'"
 
 
-@query("e7_spike_or_cooldown_all_alerts", "telemetry", f"""WITH {_buckets(ALERTS)},
+@query("e7_spike_or_cooldown", "telemetry", f"""WITH {_buckets(ALERTS)},
 m AS (SELECT *, avg(count) OVER w AS mean, count(*) OVER w AS n FROM b WINDOW w AS (ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT minute, count, CASE WHEN n < 1 THEN 'steady' WHEN count > mean * 1.5 AND count >= 3 THEN 'spike' WHEN count <= mean * 0.5 AND mean > 0 THEN 'cooled' ELSE 'steady' END AS state FROM m""")
-def spike_all(spark, sf):
+def spike(spark, sf):
     return summary.spike_states(buckets(spark, sf, ALERTS))
 
 
