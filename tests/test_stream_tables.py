@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from vigilframe.operators import summary, threats
 from vigilframe.session import fresh_path
 from vigilframe.sources import readers, views
-from vigilframe.streaming import jobs, scoring, sinks, states, tables
+from vigilframe.streaming import gauges, jobs, scoring, sinks, states, tables
 
 
 def arriving(spark, batches, schema):
@@ -191,3 +191,38 @@ def test_idle_addresses_leave_the_counters(spark, rocksdb):
     gone = [(r["status"], r["active"], r["suspicious"]) for r in sorted(log, key=lambda r: r["active"], reverse=True) if r["src_ip"] == "gone"]
     assert gone == [("Active", 1, 1), (None, -1, -1)]
     assert sum(r["active"] for r in log) == 1
+
+
+# ---------------------------------------------------------------- gauges
+
+def test_latency_quantiles_stay_within_their_bound(spark):
+    draw = random.Random(8)
+    values = [int(2 ** draw.uniform(0, 20)) for _ in range(900)]
+    rows = [(f"2024-01-01 00:{i % 3:02d}:00.{i:03d}", v) for i, v in enumerate(values)]
+    batches = [rows[n::4] for n in range(4)]
+    stream = arriving(spark, batches, "t string, ms long").select(F.col("t").cast("timestamp_ntz").alias("ts"), "ms")
+    done = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("ms") * 1000).cast("timestamp_ntz")
+    cells = sinks.drain_to_table(gauges.latency_cells(stream.withColumn("done", done), "ts", "done"), "update", ["minute", "cell"])
+    for r in gauges.latency_quantiles(cells).collect():
+        held = sorted(values[r["minute"].minute :: 3])
+        assert r["events"] == len(held) == 300
+        for name, q in gauges.QUANTILES.items():
+            exact = held[-(-len(held) * q // 1000) - 1]
+            assert exact * (1 - 1 / 128) <= r[name] <= exact and (exact >= 256 or r[name] == exact)
+
+
+def test_backlog_rises_and_falls(spark):
+    path = fresh_path(spark, "offered")
+    put = lambda first, n: spark.range(first, first + n).coalesce(1).write.mode("append").parquet(path)
+    put(0, 10)
+    out, state = fresh_path(spark, "consumed"), fresh_path(spark, "checkpoint")
+    schema = spark.range(1).schema
+    gauge = gauges.Backlog(spark, fresh_path(spark, "gauge"), lambda: spark.read.schema(schema).parquet(path))
+    run = lambda: sinks.drain(readers.telemetry_source(spark, path, schema, files_per_batch=1), gauge.noted(sinks.changelog(out)), checkpoint=state)
+    run()
+    assert gauge.now() == 0
+    put(10, 5)
+    put(15, 7)
+    assert gauge.now() == 12  # the consumer stands still
+    run()
+    assert [tuple(r) for r in gauge.history().orderBy("batch_id").select("offered", "processed", "backlog").collect()] == [(10, 10, 0), (22, 15, 7), (22, 22, 0)]

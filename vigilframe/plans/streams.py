@@ -12,7 +12,7 @@ from vigilframe.plans.storage import BLOCK, log_folder
 from vigilframe.plans.windows import SUPPRESS, ema
 from vigilframe.session import fresh_path
 from vigilframe.sources import following, readers, views, writers
-from vigilframe.streaming import jobs, scoring, sinks, states, tables
+from vigilframe.streaming import gauges, jobs, scoring, sinks, states, tables
 
 
 def events_stream(spark, sf):
@@ -221,12 +221,21 @@ def stream_logs(spark, sf):
     return sinks.drain_to_table(jobs.log_messages(lines, views.as_of()))
 
 
-@query("i14_stream_backlog", "", "SELECT CAST(count(*) AS BIGINT) AS input_rows FROM events")
+@query("i14_stream_backlog", "", f"""
+WITH n AS (SELECT count(*) FILTER ({EARLY}) AS early, count(*) AS total FROM events),
+r AS (SELECT 0 AS start, early AS stop FROM n UNION ALL SELECT early, total FROM n),
+b AS (SELECT stop AS offered, least(stop, start + {ROWS_PER_BATCH} * k) AS processed FROM r, generate_series(1, 1000) AS g(k) WHERE start + {ROWS_PER_BATCH} * (k - 1) < stop)
+SELECT CAST(offered AS BIGINT) AS offered, CAST(processed AS BIGINT) AS processed, CAST(offered - processed AS BIGINT) AS backlog FROM b""")
 def stream_backlog(spark, sf):
-    path = fresh_path(spark, "backlog")
-    ids = events_stream(spark, sf).select("event_id")
-    sinks.drain(ids, sinks.changelog(path))
-    return jobs.rows_per_batch(sinks.read_changelog(spark, path, ids.schema)).agg(F.sum("input_rows").alias("input_rows"))
+    """The gauge of a consumer that is behind twice: it rises as records arrive and falls as they are read."""
+    folder, arrive, schema = arriving_events(spark, sf)
+    out, state, place = (fresh_path(spark, n) for n in ("records", "checkpoint", "place"))
+    gauge = gauges.Backlog(spark, fresh_path(spark, "backlog"), lambda: spark.read.schema(schema).parquet(folder))
+    for part in (EARLY, f"NOT ({EARLY})"):
+        arrive(part)
+        stream = following.follow_events(spark, folder, schema, rows_per_batch=ROWS_PER_BATCH, progress=place)
+        sinks.follow(stream, gauge.noted(sinks.changelog(out)), checkpoint=state)
+    return gauge.history().drop("batch_id")
 
 
 @query("e10_stream_suppress_alerts", "telemetry", f"""WITH RECURSIVE {SUPPRESS.strip()}
@@ -245,6 +254,22 @@ def latency(spark, sf):
     return out.select("minute", "events", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
+LATENCY = 13 * 37  # spreads the made latencies over more than one cell size
+
+
+@query("d33_stream_latency_sketch", "telemetry", f"""
+WITH p AS (SELECT date_trunc('minute', ts) AS minute, (seq * {LATENCY}) % 2000 AS ms FROM telemetry),
+c AS (SELECT minute, (ms >> greatest(length(bin(ms)) - 8, 0)) << greatest(length(bin(ms)) - 8, 0) AS cell FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY minute ORDER BY cell) AS k, count(*) OVER (PARTITION BY minute) AS events FROM c)
+SELECT minute, any_value(events) AS events, min(cell) FILTER (k * 1000 >= events * 500) AS p50, min(cell) FILTER (k * 1000 >= events * 950) AS p95,
+ min(cell) FILTER (k * 1000 >= events * 990) AS p99 FROM n GROUP BY 1""")
+def latency_sketch(spark, sf):
+    done = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("seq") * LATENCY) % 2000 * 1000).cast("timestamp_ntz")
+    stream = telemetry_stream(spark, sf).select("ts", done.alias("processed"))
+    cells = sinks.drain_to_table(gauges.latency_cells(stream, "ts", "processed"), "update", ["minute", "cell"], label="cells")
+    return gauges.latency_quantiles(cells)
+
+
 @query("c4_stream_counter_deltas", "telemetry", """
 WITH l AS (SELECT src_ip, arg_max(status, seq) AS status FROM telemetry GROUP BY 1)
 SELECT count(*) FILTER (status = 'Active') AS active, count(*) FILTER (status = 'Blocked') AS blocked, count(*) FILTER (status <> 'Blocked') AS suspicious FROM l""")
