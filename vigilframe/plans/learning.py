@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilframe.operators import attribution, evaluation, exact, flows, importance, models, narrative, summary
+from vigilframe.operators import attribution, boosting, evaluation, exact, flows, importance, models, narrative, summary
 from vigilframe.plans.lookups import NORM, TOPIP, WEIGHTED, WIN, attack_telemetry, norm_importance
 from vigilframe.plans.registry import query
 from vigilframe.plans.scalar import ASOF
@@ -67,6 +67,14 @@ def full(spark, sf):
     return models.evaluate_holdout(test_scores(spark, sf, "full"))
 
 
+@query("j1_train_regularised")
+def regularised(spark, sf):
+    """Boosted trees with an L2 penalty and columns drawn per tree, on the test part."""
+    train, test = parts(spark, sf)
+    model = boosting.train(train, FEATURES)[0]
+    return models.evaluate_holdout(boosting.score(model, test))
+
+
 @query("j2_train_edge_model")
 def edge(spark, sf):
     return models.evaluate_holdout(test_scores(spark, sf, "edge"))
