@@ -452,3 +452,56 @@ def test_packing_keeps_large_ids_beside_null(spark):
     ids = [(1 << 53) + 1, None, -(1 << 62) - 3, (1 << 63) - 1, None]
     docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
     assert Counter(r.doc_id for r in packing.pack(docs, TOKENIZER).collect()) == Counter(ids)
+
+
+def brute_links(rows):
+    """What linked_messages says of (conv_id, turn, text) rows, by a scan of all earlier ones."""
+    mark = re.compile(r"[ \t]*((?:>[ \t]?)*)")
+    norm = lambda line: re.sub(r"[\s!-/:-@\[-`{-~]+", " ", line.lower(), flags=re.A).strip()
+    lines = [[(mark.match(x)[1].count(">"), norm(x)) for x in re.split("\r\n|\n|\r", text)] if text is not None else [] for _, _, text in rows]
+    out = []
+    for (conv, turn, _), own in zip(rows, lines):
+        earlier = [(t, ls) for (c, t, _), ls in zip(rows, lines) if c == conv and t is not None and turn is not None and t < turn]
+        found = [(level, max((t for t, ls in earlier if (0, n) in ls), default=None)) for level, n in own if level and n]
+        votes = Counter(t for level, t in found if level == 1 and t is not None)
+        reply = max(votes, key=lambda t: (votes[t], t)) if votes else max((t for t, _ in earlier), default=None)
+        out.append((conv, turn, reply, ",".join(map(str, sorted({t for _, t in found if t is not None}))),
+                    sum(level > 0 for level, _ in own), sum(t is not None for _, t in found), max((level for level, _ in own), default=0)))
+    return sorted(out, key=repr)
+
+
+LINKS = ["conv_id", "turn", "reply_to", "quoted_turns", "n_quoted", "n_linked", "max_level"]
+
+
+def test_quotes_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SEGMENT", 3)
+    monkeypatch.setattr(quotes, "ENDS", 2)
+    random.seed(11)
+    pool = ["alpha", "Beta!", "  gamma, delta", "---", "", "ok", "tEn eleven"]
+    rows = []
+    for conv in [1, 2, None] * 2:
+        for _ in range(30):
+            text = random.choice(["\n", "\r\n"]).join(random.choice(["", "", "> ", ">> ", " >  > ", ">"]) + random.choice(pool) for _ in range(random.randint(1, 5)))
+            rows.append((conv, random.choice([None, *range(25)]), random.choice([text, text, text, None, ""])))
+    rows += rows[:20] + [(7, 4, "> alpha")] * 5
+    frame = spark.createDataFrame([(c, t, "u", x, 1, 2) for c, t, x in rows], "conv_id long, turn long, role string, text string, conv int, segment int")
+    got = [tuple(r) for r in quotes.linked_messages(frame).select(*LINKS).collect()]
+    assert sorted(got, key=repr) == brute_links(rows)
+    assert quotes.linked_messages(frame.limit(0)).count() == 0
+
+
+def test_mail_lines_are_those_of_the_written_mail(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SEGMENT", 4)
+    random.seed(5)
+    rows = [(c, t, "u", "\n".join(random.choice(["one", "two", "> three", "Four."]) for _ in range(random.randint(1, 3))))
+            for c in (1, None, 3) for t in sorted(random.sample(range(60), 25))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    mail = quotes.as_mail(frame)
+    got = quotes.linked_messages(frame, quotes.mail_lines(frame)).select(*LINKS).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_links([(r.conv_id, r.turn, r.text) for r in mail.collect()])
+
+
+def test_rows_without_a_turn_stay_apart(spark):
+    rows = [(1, None, "u", f"> line {i}\nown {i}") for i in range(5)] + [(1, None, "u", None)]
+    got = quotes.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.own_text for r in got) == ["", *[f"own {i}" for i in range(5)]] and sum(r.n_quoted for r in got) == 5

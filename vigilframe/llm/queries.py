@@ -62,7 +62,8 @@ FROM around a LEFT JOIN reply r USING (conv_id, turn) LEFT JOIN total t USING (c
 
 @register("op1_quotation_linking", QUOTES_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.linked_messages(quotes.as_mail(table(spark, sf_dir, "conversations")))
+    messages = table(spark, sf_dir, "conversations")
+    return quotes.linked_messages(messages, quotes.mail_lines(messages))
 
 
 @register("op1_reply_threads")
