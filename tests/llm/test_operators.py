@@ -505,3 +505,10 @@ def test_rows_without_a_turn_stay_apart(spark):
     rows = [(1, None, "u", f"> line {i}\nown {i}") for i in range(5)] + [(1, None, "u", None)]
     got = quotes.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted(r.own_text for r in got) == ["", *[f"own {i}" for i in range(5)]] and sum(r.n_quoted for r in got) == 5
+
+
+def test_short_terms_are_found_misspelt():
+    lexicon = toxicity.Lexicon({"scum": 3.0, "oaf": 2.0, "idio*": 1.0}, frozenset({"scam"}))
+    assert [lexicon.match(w) for w in ("scum", "scvm", "scuum", "scm", "scam", "scvn")] == [("scum", 0), ("scum", 1), ("scum", 1), ("scum", 1), None, None]
+    assert lexicon.match("oaf") == ("oaf", 0) and lexicon.match("oat") is None and lexicon.match("idxot") is None
+    assert lexicon.features(["you are scvm"], lexicon.memo())[0][1] > 0

@@ -23,6 +23,7 @@ from vigilframe.llm.words import Memo, settle
 
 STEMS = (4, 5, 6)  # letters of a stem
 WINDOW = 6  # words on either side of a hit
+SHORTEST = 4  # letters of a term that may be misspelt
 EDGE = ".,;:!?\"'`()[]{}<>*#$%&|_-/\\…«»“”„‘’¡¿"
 QUOTES = frozenset("\"«»“”„")
 # Words of reporting and of address in the languages served.
@@ -32,8 +33,8 @@ FEATURES = 6
 
 
 def edits_of(term: str) -> int:
-    """Misspellings a term allows: none for stems and short words, one, or two from ten letters on."""
-    if term.endswith("*") or len(term) < 5:
+    """Misspellings a term allows: none for stems and words under four letters, one, or two from ten letters on."""
+    if term.endswith("*") or len(term) < SHORTEST:
         return 0
     return 1 if len(term) < 10 else 2
 
