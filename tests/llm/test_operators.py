@@ -512,3 +512,53 @@ def test_short_terms_are_found_misspelt():
     assert [lexicon.match(w) for w in ("scum", "scvm", "scuum", "scm", "scam", "scvn")] == [("scum", 0), ("scum", 1), ("scum", 1), ("scum", 1), None, None]
     assert lexicon.match("oaf") == ("oaf", 0) and lexicon.match("oat") is None and lexicon.match("idxot") is None
     assert lexicon.features(["you are scvm"], lexicon.memo())[0][1] > 0
+
+
+def brute_repeats(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(zip(words, words[1:], words[2:]))
+    return len({i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)})
+
+
+@pytest.mark.parametrize("bits", [32, 60])  # 60: four bits of hash, so most windows share theirs
+def test_repeats_where_hashes_collide(spark, monkeypatch, bits):
+    monkeypatch.setattr(cascade, "PLACE_BITS", bits)
+    random.seed(bits)
+    texts = [" ".join(random.choices("abcdefg", k=n)) for n in (0, 1, 2, 3, 4, 9, 40, 200)] + ["x y " * 50, "a b c d a b c", None]
+    texts += [" ".join(random.choices([f"w{i}" for i in range(60)], k=400))]
+    got = cascade.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {i: brute_repeats(t) for i, t in enumerate(texts)}
+
+
+def test_rules_go_by_rejections_left_per_cost(spark, monkeypatch):
+    low = [cascade.Rule(name, F.col("n_words") % 100 < n) for name, n in (("a", 60), ("b", 50), ("c", 10))] + [cascade.Rule("d", F.col("n_words") % 100 >= 90)]
+    monkeypatch.setattr(cascade, "rule_costs", lambda sample, rules: {"a": 1.0, "b": 0.5, "c": 0.001, "d": 1.0})
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(100 + i))) for i in range(100)], "doc_id long, text string")
+    # c is nearly free; then b rejects 40 in half a second, d and a 10 each of what is left in one: the first named goes first.
+    assert [r.name for r in cascade.ordered_rules(docs, low)] == ["c", "b", "a", "d"]
+    assert cascade.ordered_rules(docs.limit(0), low)
+
+
+def test_rules_against_plain_python(spark, small):
+    """kept by the eight rules, each said anew."""
+    import unicodedata
+
+    import regex
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    want = {}
+    for r in docs.collect():
+        text = r.text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        n, chars = len(words), sum(map(len, words))
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        letters = sum(unicodedata.category(c)[0] == "L" for c in text)
+        bad = [
+            n < 50 or 100 * brute_repeats(text) > 50 * n, chars < 2 * n or chars > 15 * n, 10 * len(re.findall(r"[#*$%&|<>]", text)) > n,
+            10 * (len(lines) - len(set(lines))) > 3 * len(lines), 10 * letters < 6 * chars,
+            2 * sum(unicodedata.category(c) == "Lu" for c in text) > letters,
+            10 * sum(any(unicodedata.category(c)[0] == "L" for c in w) for w in words) < 8 * n,
+            10 * len(regex.findall(r"(?m)(?:\.\.\.|\u2026)[ \t]*$", text)) > 3 * len(lines), 10 * len(regex.findall(r"(?m)^[ \t]*[-*\u2022]", text)) > 9 * len(lines)]
+        want[r.doc_id] = not any(bad)
+    got = {r.doc_id: r.kept for r in cascade.judged(docs).collect()}
+    assert got == want and len(set(want.values())) == 2
