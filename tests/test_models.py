@@ -96,3 +96,60 @@ def test_learning_queries_read_all_flows(spark, small, monkeypatch):
     long = attribution.explain_rows(flows, learning.background(spark, small), full, learning.FEATURES, ["flow_key"])
     mean = {r["name"]: r["score"] for r in attribution.mean_abs_attribution(long).collect()}
     assert {r["name"]: r["score"] for r in plans.QUERIES["d19_mean_abs_attribution"](spark, small).collect()} == pytest.approx(mean)
+
+
+@pytest.fixture(scope="module")
+def three(spark, small):
+    """The scored test rows of the three kinds of models on the small flows."""
+    from vigilframe.plans import learning
+
+    return {kind: learning.test_scores(spark, small, kind).cache() for kind in ("full", "edge", "baseline")}
+
+
+def plain_quality(scored):
+    """Accuracy of the predictions (a score of exactly 0.5 is a 0), area by comparing all pairs, share of the 1s."""
+    rows = [(r["score"], r["label"]) for r in scored.select("score", "label").collect()]
+    good = [s for s, y in rows if y == 1]
+    bad = [s for s, y in rows if y == 0]
+    area = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    return sum((s > 0.5) == (y == 1) for s, y in rows) / len(rows), area, len(good) / len(rows)
+
+
+@pytest.mark.parametrize("name,kind", [("j1_train_full_model", "full"), ("j2_train_edge_model", "edge"), ("j3_train_baseline", "baseline")])
+def test_holdout_quality_of_each_model(spark, small, three, name, kind):
+    from vigilframe import plans
+
+    got = plans.QUERIES[name](spark, small).first()
+    accuracy, area, share = plain_quality(three[kind])
+    assert got["accuracy"] == pytest.approx(accuracy) and got["auc_roc"] == pytest.approx(area, abs=1e-9)
+    assert got["accuracy"] > max(share, 1 - share) and got["auc_roc"] > 0.75  # better than the larger class
+
+
+def test_importances_and_status(spark, small, three):
+    from vigilframe import plans
+    from vigilframe.plans import learning
+
+    split = {r["name"]: r["score"] for r in plans.QUERIES["j6_feature_importances"](spark, small).collect()}
+    assert set(split) == set(learning.FEATURES) and sum(split.values()) == pytest.approx(1) and min(split.values()) >= 0
+    assert max(split, key=split.get) == "pkt_len_mean"  # the label's rule reads it
+    sample = learning.background(spark, small)
+    assert sample.count() == 512
+    long = attribution.explain_rows(sample, sample, learning.trained(spark, small, "full"), learning.FEATURES, ["flow_key"])
+    sums = {r["name"]: r["s"] / 512 for r in attribution.mean_abs_attribution(long).withColumn("s", F.col("score") * 512).collect()}
+    rows = {r["name"]: r for r in plans.QUERIES["j10_global_importance"](spark, small).collect()}
+    for n, r in rows.items():
+        assert r["score"] == pytest.approx(sums[n]) and r["normalized_score"] == pytest.approx(sums[n] / max(sums.values()))
+    scored = [(r["score"] > 0.5, r["label"] == 1) for r in three["full"].collect()]
+    hits, said, true = sum(a and b for a, b in scored), sum(a for a, _ in scored), sum(b for _, b in scored)
+    doc = plans.QUERIES["j18_model_status"](spark, small).first()
+    assert (doc["model_loaded"], doc["feature_count"], doc["features"]) == (True, 5, learning.FEATURES)
+    assert (doc["precision"], doc["recall"]) == pytest.approx((hits / said, hits / true))
+    assert doc["f1_score"] == pytest.approx(2 * hits / (said + true))
+
+
+def test_event_text_is_built_once(spark, small):
+    """The text of an event is built once for each row, however many fields are read from it."""
+    from vigilframe import plans
+
+    plan = plans.QUERIES["b8_extract_src_ip"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(props") <= 12

@@ -224,8 +224,9 @@ def host_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_events_from(telemetry_df: DataFrame) -> DataFrame:
     # The SQL formatter of spark.sql would read the JSON braces as fields: use selectExpr.
     body = view_sql("raw_events", "spark").strip()
-    case = body[len("SELECT seq, "):body.rindex("FROM telemetry")].strip()
-    return telemetry_df.selectExpr("seq", case)
+    case = body[len("SELECT seq, "):body.rindex(" AS raw")].strip()
+    # The generator keeps each of the many fields read from the text from building it anew.
+    return telemetry_df.selectExpr("seq", f"explode(array({case})) AS raw")
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
