@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -74,34 +75,47 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[floa
     return both / (len(x) + len(y) - both), both / len(x)
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(doc_id, text, bucket, copy) so that in each bucket, ordered by descending doc_id with the
-    copies last, a row's next document is the row after it.
+def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """(doc_id, text, mark, bucket, copy) and the number of buckets, so that in each bucket, ordered by descending doc_id and
+    then by mark with the copies last, a row's next document is the row after it.
 
-    Ids are cut into buckets at their quantiles; the first document of a bucket is copied to the
-    end of the bucket before it (the very first one to the last bucket). Null ids come last.
+    Ids are cut into buckets at their quantiles. An id that fills several quantiles, and the rows
+    without an id, which come last, are cut further by the mark, a hash of the text. The first
+    documents of a bucket are copied to the end of the bucket before it (those of the very first one
+    to the last bucket). Buckets are numbered from 0 in order. Rows equal in id and text aren't cut.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     quantiles = [i / buckets for i in range(1, buckets)] or [0.5]
-    cuts = docs.agg(F.percentile_approx("doc_id", quantiles, max(10_000, 20 * buckets))).head()[0] or []
-    splits = [-float("inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="__at", outputCol="__bucket", handleInvalid="keep")
+    cuts, rows, ids = docs.agg(
+        F.percentile_approx("doc_id", quantiles, max(10_000, 20 * buckets)), F.count("*"), F.count("doc_id")).head()
+    cuts = Counter(cuts or [0])
+    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="__at", outputCol="__range", handleInvalid="keep")
+    share = (F.col("mark") / F.lit(2.0**64)) + 0.5  # 0 to 1
+    # The pieces of ids with several quantiles lie between the larger and the smaller ids of their range.
+    piece = F.when(F.col("doc_id").isNull(), F.floor(share * max(1, -(-(rows - ids) * buckets // max(1, rows)))))
+    for hot, n in sorted((c, n) for c, n in cuts.items() if n > 1):
+        piece = piece.when(F.col("doc_id") == hot, 1 + F.least(F.floor(share * n), F.lit(n - 1)))
+        piece = piece.when((F.col("doc_id") < hot) & (F.col("__at") == float(hot)), n + 1)
     placed = cut.transform(docs.withColumn("__at", F.col("doc_id").cast("double"))).select(
-        "doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__bucket")).cast("int").alias("bucket"))
-    # One row for each bucket, at most `buckets` and the one of null ids.
-    heads = sorted(placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect(), key=lambda r: -r["bucket"])
-    before = [(r["bucket"], r["head"], heads[i - 1]["bucket"]) for i, r in enumerate(heads)]
-    targets = spark.createDataFrame(before, "bucket int, head long, target int")
+        "doc_id", "text", "mark", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__range")).cast("int").alias("range"),
+        F.coalesce(piece, F.lit(0)).cast("int").alias("piece"))
+    # One row for each bucket: at most three for each quantile and those of null ids.
+    first = F.min(F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("at"), "mark")).alias("first")
+    heads = sorted(placed.groupBy("range", "piece").agg(first).collect(), key=lambda r: (-r["range"], r["piece"]))
+    listed = [(r["range"], r["piece"], *r["first"], i, (i - 1) % len(heads)) for i, r in enumerate(heads)]
+    targets = spark.createDataFrame(listed, "range int, piece int, head_at long, head_mark long, bucket int, target int")
     own = F.struct(F.col("bucket"), F.lit(False).alias("copy"))
     halo = F.struct(F.col("target").alias("bucket"), F.lit(True).alias("copy"))
-    is_head = F.col("doc_id").eqNullSafe(F.col("head"))
-    return (
-        placed.join(F.broadcast(targets), "bucket")
-        .select("doc_id", "text", F.explode(F.when(is_head, F.array(own, halo)).otherwise(F.array(own))).alias("p"))
-        .select("doc_id", "text", "p.bucket", "p.copy")
+    is_head = (F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)) == F.col("head_at")) & (F.col("mark") == F.col("head_mark"))
+    rows = (
+        placed.join(F.broadcast(targets), ["range", "piece"])
+        .select("doc_id", "text", "mark", F.explode(F.when(is_head, F.array(own, halo)).otherwise(F.array(own))).alias("p"))
+        .select("doc_id", "text", "mark", "p.bucket", "p.copy")
     )
+    return rows, len(heads)
 
 
 def fingerprints(docs: DataFrame, width: int = 5, fraction: int = 16, least: int = 32) -> DataFrame:
@@ -109,12 +123,14 @@ def fingerprints(docs: DataFrame, width: int = 5, fraction: int = 16, least: int
 
     contained_edited and contained_next are null where nothing of the text can be compared (likeness).
     Edited: the last third of the code points gives way to the next document's first ones. Null
-    text is empty; rows that repeat an id follow each other by text; null ids come last. A single
-    document is its own next one. An empty table gives no rows. Other columns are not read.
+    text is empty; rows that repeat an id follow each other by a hash of the text; null ids come last.
+    A single document is its own next one. An empty table gives no rows. Other columns are not read.
     """
+    placed, buckets = with_next(docs)
     rows = (
-        with_next(docs).repartition("bucket")
-        .sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+        placed.repartitionById(max(1, buckets), "bucket")  # one task for each bucket
+        .sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), "mark", F.col("text").asc_nulls_first())
+        .drop("mark")
     )
 
     def run(batches):
