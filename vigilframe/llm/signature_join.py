@@ -431,6 +431,9 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     stays; of several sets with the smallest id that of the smallest hash. Texts without words are
     no duplicates of anything, so all these rows stay.
     """
+    names = docs.columns
+    # Other columns may have any name, so they go by their place.
+    docs = docs.select(*[F.col("`" + n.replace("`", "``") + "`").alias(n if n in ("doc_id", "text") else f"c{i}") for i, n in enumerate(names)])
     _, classes = linked_classes(docs, width, num, den)
     first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "cls")).alias("first")
     kept = classes.groupBy(F.coalesce("root", "cls").alias("component")).agg(first).select(
@@ -441,5 +444,5 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     row = F.row_number().over(Window.partitionBy("__cls", "__spread", "__id").orderBy(F.col("text").desc_nulls_last()))
     return (
         chosen.where("__cls is null or __kept is not null").withColumn("__row", row)
-        .where("__cls is null or __row = 1").drop("__cls", "__spread", "__kept", "__id", "__row")
+        .where("__cls is null or __row = 1").select(*docs.columns).toDF(*names)
     )
