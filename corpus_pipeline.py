@@ -23,6 +23,8 @@ LANGUAGE_FROM = 0.5  # least confidence
 def kept(docs: DataFrame, column, keep) -> DataFrame:
     """The rows of docs for which keep(column) holds, with their columns as they are."""
     name = "__judged"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
     return docs.withColumn(name, column).where(keep(F.col(name))).drop(name)
 
 
@@ -63,7 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again.
+
+    Texts that are null or have no letter have no language, so their rows go. Rows without an id stay if
+    they are the only ones of their group, rows with a null source are a source of their own. An
+    empty table gives no rows. Other columns, whatever their names, are carried along.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
