@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vigilframe.llm import language, signature_join, sketch, url_tree
-from vigilframe.llm.queries import URL_RULES
+from vigilframe.llm import language, separators, signature_join, sketch, url_tree
+from vigilframe.llm.queries import QUERIES, TOKENIZER, URL_RULES
 
 WORD = 1 << 64
 
@@ -48,6 +49,27 @@ def test_hot_ids_are_cut_into_buckets(spark):
     assert len(sizes) == n and max(sizes) < 1.6 * 30_000 / 12 and sum(sizes) == 30_000 + n
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_crowded_token_files_are_cut(spark, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(separators, "FEW", few)
+    docs, rows = hot_documents(spark)
+    placed = separators.with_file(docs, 4).collect()
+    assert Counter((r.doc_id, r.text) for r in placed) == Counter(rows)
+    sizes = Counter(r.file for r in placed)
+    texts = Counter((r.doc_id, r.text) for r in placed)
+    assert max(sizes.values()) <= 16 + max(texts.values()) and sum(f >= separators.FAR for f in sizes) > 20
+    assert all(r.file == r.doc_id // 4 for r in placed if r.doc_id is not None and r.doc_id != 100 and r.file < separators.FAR)
+    whole = Tokenizer.from_file(TOKENIZER)
+    want = Counter((d, len(whole.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+    monkeypatch.setattr(separators, "SHARD", 4)
+    monkeypatch.setattr(separators.with_file, "__defaults__", (4,))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.n_tokens) for r in QUERIES["op6_separator_scan"](spark, str(tmp_path)).collect())
+    assert Counter(n for _, n in got.elements()) == Counter(n for _, n in want.elements())
+    assert Counter(d for d, _ in got.elements()) == Counter(d for d, _ in want.elements())
+    assert {k: n for k, n in got.items() if k[0] not in (None, 100)} == {k: n for k, n in want.items() if k[0] not in (None, 100)}
+
+
 def test_clashing_column_names(spark):
     names = ["__cls", "__spread", "__id", "__kept", "__row", "__judged", "__source", "__copy", "c0", "c1", "a.b", "root", "none"]
     docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "")], "doc_id long, text string")

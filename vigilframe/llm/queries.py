@@ -130,10 +130,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_separator_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = separators.documents_in(separators.token_files(docs, TOKENIZER, DOCUMENT_END), DOCUMENT_END)
+    placed = separators.with_file(docs)
+    found = separators.documents_in(separators.blocks_of_files(placed, TOKENIZER, DOCUMENT_END), DOCUMENT_END)
     # Which document lies at which place is known here, as the files were made from this table.
-    file = F.coalesce(F.floor(F.col("doc_id") / separators.SHARD), F.lit(-1)).cast("long")
-    names = docs.select("doc_id", file.alias("file")).withColumn(
+    names = placed.select("doc_id", "file").withColumn(
         "doc_index", F.row_number().over(Window.partitionBy("file").orderBy("doc_id")).cast("long") - 1)
     return found.join(names, ["file", "doc_index"], "left").select("doc_id", "file", "doc_index", "start", "n_tokens")
 

@@ -19,13 +19,41 @@ from vigilframe.llm.words import settle
 BLOCK = 1 << 16  # tokens
 LANE = 1024  # blocks scanned in one window
 SHARD = 1024  # documents of consecutive ids in a file
+FAR = 1 << 62  # files of rows without an id and pieces of crowded files; no id div SHARD comes near
+FEW = 10_000  # crowded files that are sent to all tasks
+
+
+def with_file(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(file, doc_id, text): file is doc_id div shard, rows without an id have one of their own.
+
+    A file that would hold more than 4 * shard documents, as ids repeat or are missing, is cut by a
+    hash of the text into pieces of about `shard`, which are files with numbers from 2^62 on. Rows equal
+    in id and text share a file.
+    """
+    doc = F.col("doc_id").cast("long")
+    docs = docs.select(F.floor(doc / shard).cast("long").alias("range"), doc.alias("doc_id"), "text")
+    crowded = settle(docs.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > 4 * shard).select(
+        F.col("range").alias("crowd"), F.ceil(F.col("n") / shard).alias("pieces")))
+    n, far = crowded.count(), F.lit(FAR)
+    own = F.coalesce("range", far)
+    if not n:
+        return docs.select(own.alias("file"), "doc_id", "text")
+    rows = docs.join(F.broadcast(crowded) if n <= FEW else crowded, F.col("range").eqNullSafe(F.col("crowd")), "left")
+    # Pieces whose hashes agree are one file.
+    piece = far + F.pmod(F.xxhash64("range", F.pmod(F.xxhash64("text"), F.col("pieces"))), far)
+    return rows.select(F.when(F.col("pieces").isNull(), own).otherwise(piece).alias("file"), "doc_id", "text")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(file, block, data) of flat 16-bit token files made from documents; file: doc_id div shard.
+    """The blocks (see blocks_of_files) of the files that with_file makes from documents."""
+    return blocks_of_files(with_file(docs, shard), path, end_id, block)
+
 
-    In a file documents follow each other by doc_id (of one id by length of text, then text). Null ids
-    share a file of their own, -1. The block holds `block` ids, the last one of a file the rest.
+def blocks_of_files(placed: DataFrame, path: str, end_id: int, block: int = BLOCK) -> DataFrame:
+    """(file, block, data) of flat 16-bit token files made from (file, doc_id, text).
+
+    In a file documents follow each other by doc_id (of one id by length of text, then text). The block
+    holds `block` ids, the last one of a file the rest.
     """
     if end_id >= 1 << 16:
         raise ValueError("ids must fit 16 bits")
@@ -59,9 +87,7 @@ def token_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK, sha
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["file", "block", "data"])
 
-    doc = F.col("doc_id").cast("long")
-    encoded = docs.select(F.coalesce(F.floor(doc / shard), F.lit(-1)).cast("long").alias("file"), doc.alias("doc_id"), "text").mapInArrow(
-        encode, "file long, doc_id long, data binary")
+    encoded = placed.select("file", "doc_id", "text").mapInArrow(encode, "file long, doc_id long, data binary")
     return encoded.repartition("file").sortWithinPartitions("file", "doc_id", F.length("data"), "data").mapInArrow(
         cut, "file long, block long, data binary")
 
