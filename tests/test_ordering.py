@@ -95,6 +95,34 @@ def test_suppression_across_segments(spark, width):
     assert {r["seq"] for r in got.collect()} == replay_suppression(rows)
 
 
+def test_suppression_where_time_runs_back(spark, monkeypatch):
+    """Nothing is forgotten when each hour starts anew: one state a segment, and no round for each of them."""
+    rng = random.Random(4)
+    rows = [(seq, rng.choice("aab"), rng.choice(["info", "critical"]), rng.choice("xyz"), seq % 400 * 3000 + rng.randrange(9000)) for seq in range(2400)]
+    df = spark.createDataFrame(rows, "seq bigint, src_ip string, level string, identity string, ms bigint")
+    labels = []
+    fresh = ordering.fresh_path
+    monkeypatch.setattr(ordering, "fresh_path", lambda s, label: labels.append(label) or fresh(s, label))
+    for width in (50, 65536):
+        got = ordering.accept_in_order(df, ["src_ip"], "seq", threats.suppression_rule, width)
+        assert {r["seq"] for r in got.collect()} == replay_suppression(rows)
+    assert labels.count("ends") + labels.count("redone") <= 16
+
+
+def test_signals_where_time_runs_back(spark):
+    rng = random.Random(6)
+    rows = [(seq, rng.choice("ab"), rng.choice(["up", "down"]), seq % 100 * 700 + rng.randrange(2000)) for seq in range(600)]
+    df = spark.createDataFrame(rows, "seq bigint, src_ip string, jump string, ms bigint")
+    last, want = {}, set()
+    for seq, src, jump, ms in rows:
+        if src not in last or ms - last[src] > threats.PAUSE[jump]:
+            last[src] = ms
+            want.add(seq)
+    for width in (8, 65536):
+        got = ordering.accept_in_order(df, ["src_ip"], "seq", threats._pause_rule, width)
+        assert {r["seq"] for r in got.collect()} == want
+
+
 def test_newest_per_key(frame, events):
     got = ordering.newest_n_per_key(frame, ["key"], 3).collect()
     want = {(k, s) for k, items in by_key(events).items() for s, _ in items[-3:]}

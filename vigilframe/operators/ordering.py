@@ -173,22 +173,24 @@ def decayed_sum_last(df: DataFrame, keys: Sequence[str], order: str, value: Colu
 
 # --- sequential acceptance ----------------------------------------------------------------
 
-# (ordered rows, states by key) -> (accepted mask, states worth keeping)
-Decide = Callable[[pd.DataFrame, dict], tuple[list[bool], dict]]
+# (ordered rows, states by key, least time of any later row) -> (accepted mask, states worth keeping)
+Decide = Callable[[pd.DataFrame, dict, float], tuple[list[bool], dict]]
 LANE = "_lane"
 
 
 def accept_in_order(
-    df: DataFrame, keys: Sequence[str], order: str, decide: Decide, width: int = 65536, lanes: int = 64
+    df: DataFrame, keys: Sequence[str], order: str, decide: Decide, width: int = 65536, lanes: int = 64,
+    clock: str = "ms", rounds: int = 3,
 ) -> DataFrame:
     """Rows a sequential rule accepts, where each decision depends on earlier acceptances.
 
     Keys are dealt into ``lanes`` by hash, and a lane is cut into segments of at most
     ``width`` rows, so a hot key is split like any other. All segments run at once from an
     empty start state; then only those whose true start state (the end state of the segment
-    before) turns out different run again, until none does. Rules that forget after a while
-    settle in two or three rounds, and the result is exact in any case, since round ``i``
-    fixes at least ``i`` segments. Time must not run backwards along ``order``.
+    before) turns out different run again. Rules that forget after a while settle in two or
+    three rounds. Lanes that don't settle in ``rounds``, or whose time runs back by a segment
+    or more so that nothing is forgotten, are read key by key in order instead. The result
+    is exact in any case. States are known by the first of ``keys``.
     """
     spark = df.sparkSession
     group = [LANE, SEG]
@@ -207,32 +209,63 @@ def accept_in_order(
     # A sequence number may repeat among keys, so an accepted row is known by both.
     mask_schema = T.StructType([T.StructField(f"_is_{c}", base.schema[c].dataType) for c in (*keys, order)])
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf["_start"].iloc[0] or "{}"
-        _, end = decide(pdf.sort_values(order), json.loads(start))
+    def accepted_of(rows: pd.DataFrame, mask: list[bool]) -> pd.DataFrame:
+        return rows.loc[mask, [*keys, order]].set_axis(mask_schema.names, axis=1)
+
+    def decided(rows: pd.DataFrame, known: pd.DataFrame):
+        later = known["_later"].iloc[0]
+        return decide(rows, json.loads(known["_start"].iloc[0]), float("inf") if pd.isna(later) else float(later))
+
+    def finish(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        _, end = decided(pdf.sort_values(order), known)
         head = {c: [pdf[c].iloc[0]] for c in group}
-        return pd.DataFrame({**head, "_start": [start], "_end": [json.dumps(end, sort_keys=True)]})
+        return pd.DataFrame({**head, "_start": [known["_start"].iloc[0]], "_end": [json.dumps(end, sort_keys=True)]})
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+    def keep(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order)
-        mask, _ = decide(rows, json.loads(rows["_start"].iloc[0] or "{}"))
-        return rows.loc[mask, [*keys, order]].set_axis(mask_schema.names, axis=1)
+        return accepted_of(rows, decided(rows, known)[0])
+
+    def in_turn(batches):
+        states: dict = {}
+        for rows in batches:
+            if len(rows):
+                mask, states = decide(rows, states, float("-inf"))
+                last = rows[keys[0]].iloc[-1]
+                states = {k: v for k, v in states.items() if k == last}
+                yield accepted_of(rows, mask)
 
-    def ends_of(starts: DataFrame) -> DataFrame:
-        return written(starts.groupBy(*group).applyInPandas(finish, end_schema), "ends")
+    def per_segment(rows: DataFrame, starts: DataFrame, run, schema) -> DataFrame:
+        # A state meets its segment once; joined, it would be copied to each row.
+        return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(run, schema)
 
-    ends = ends_of(base.withColumn("_start", F.lit("{}")))
     over_lane = Window.partitionBy(LANE).orderBy(SEG)
-    while True:
-        true_start = ends.select(
-            *group, "_end", F.col("_start").alias("_used"),
-            F.coalesce(F.lag("_end").over(over_lane), F.lit("{}")).alias("_start"),
-        )
-        stale = true_start.filter(F.col("_start") != F.col("_used")).select(*group, "_start")
-        if stale.isEmpty():
-            break
-        redone = ends_of(base.join(stale, group))
-        ends = written(ends.join(redone.select(*group), group, "left_anti").unionByName(redone), "ends")
-    accepted = base.join(ends.select(*group, "_start"), group).groupBy(*group).applyInPandas(keep, mask_schema)
+    least = base.groupBy(*group).agg(F.min(clock).alias("_least"))
+    spans = written(least.withColumn("_later", F.min("_least").over(over_lane.rowsBetween(1, Window.unboundedFollowing))), "spans")
+    runs_back = F.coalesce(F.bool_or(F.col("_later") < F.col("_least")), F.lit(False))
+    found = spans.groupBy(LANE).agg(runs_back.alias("back")).collect()  # at most one row a lane
+    back, forward = ({r[LANE] for r in found if r["back"] == b} for b in (True, False))
+    accepted = spark.createDataFrame([], mask_schema)
+    if forward:
+        rows = base.where(F.col(LANE).isin(forward))
+        spans = spans.where(F.col(LANE).isin(forward)).select(*group, "_later")
+        ends = written(per_segment(rows, spans.withColumn("_start", F.lit("{}")), finish, end_schema), "ends")
+        for turn in range(rounds + 1):
+            true_start = ends.select(
+                *group, "_end", F.col("_start").alias("_used"),
+                F.coalesce(F.lag("_end").over(over_lane), F.lit("{}")).alias("_start"),
+            )
+            stale = written(true_start.filter(F.col("_start") != F.col("_used")).select(*group, "_start"), "stale")
+            unsettled = {r[LANE] for r in stale.select(LANE).distinct().collect()}
+            if not unsettled or turn == rounds:
+                break
+            again = rows.join(stale.select(*group), group, "left_semi")
+            redone = written(per_segment(again, stale.join(spans, group), finish, end_schema), "redone")
+            ends = written(ends.join(redone.select(*group), group, "left_anti").unionByName(redone), "ends")
+        back, forward = back | unsettled, forward - unsettled
+        settled = ends.where(F.col(LANE).isin(forward)).select(*group, "_start").join(spans, group)
+        accepted = per_segment(rows.where(F.col(LANE).isin(forward)), settled, keep, mask_schema)
+    if back:
+        rows = base.where(F.col(LANE).isin(back)).repartition(*keys).sortWithinPartitions(*keys, order)
+        accepted = accepted.unionByName(rows.mapInPandas(in_turn, mask_schema))
     same = [base[c].eqNullSafe(accepted[f"_is_{c}"]) for c in (*keys, order)]
     return base.join(accepted, same, "left_semi").drop(SEG, LANE)

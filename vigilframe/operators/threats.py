@@ -169,16 +169,16 @@ def level_jumps(df: DataFrame) -> DataFrame:
     )
 
 
-def _pause_rule(rows: pd.DataFrame, last: dict) -> tuple[list[bool], dict]:
-    """``last`` holds the time of each source's last signal."""
-    mask, ms = [], 0
+def _pause_rule(rows: pd.DataFrame, last: dict, horizon: float) -> tuple[list[bool], dict]:
+    """``last`` holds the time of each source's last signal, as long as a time from ``horizon`` on may need it."""
+    mask = []
     for src, ms, jump in zip(rows["src_ip"].tolist(), rows["ms"].tolist(), rows["jump"].tolist()):
         ok = src not in last or ms - last[src] > PAUSE[jump]
         mask.append(ok)
         if ok:
             last[src] = ms
     longest = max(PAUSE.values())
-    return mask, {src: at for src, at in last.items() if ms - at <= longest}
+    return mask, {src: at for src, at in last.items() if horizon - at <= longest}
 
 
 def level_signals(df: DataFrame) -> DataFrame:
@@ -192,10 +192,11 @@ LEVEL_PAUSE = {"info": 5_000, "warning": 3_000, "critical": 1_000}
 LEVEL_ORDER = ("critical", "warning", "info")
 
 
-def suppression_rule(rows: pd.DataFrame, sources: dict) -> tuple[list[bool], dict]:
+def suppression_rule(rows: pd.DataFrame, sources: dict, horizon: float | None = None) -> tuple[list[bool], dict]:
     """Accept unless this text or this level of the source was accepted too recently.
 
-    ``sources`` maps a source to its last times by text and by level.
+    ``sources`` maps a source to its last times by text and by level. What no time from ``horizon``
+    on (by default the time of the last row) can need is forgotten.
     """
     mask, ms = [], 0
     columns = (rows[c].tolist() for c in ("src_ip", "ms", "level", "identity"))
@@ -206,10 +207,11 @@ def suppression_rule(rows: pd.DataFrame, sources: dict) -> tuple[list[bool], dic
         mask.append(ok)
         if ok:
             texts[text] = levels[level] = ms
+    until = ms if horizon is None else horizon
     live = {}
     for src, (texts, levels) in sources.items():
-        texts = {t: at for t, at in texts.items() if ms - at < REPEAT_MS}
-        levels = {v: at for v, at in levels.items() if ms - at < LEVEL_PAUSE[v]}
+        texts = {t: at for t, at in texts.items() if until - at < REPEAT_MS}
+        levels = {v: at for v, at in levels.items() if until - at < LEVEL_PAUSE[v]}
         if texts or levels:
             live[src] = (texts, levels)
     return mask, live
