@@ -3,11 +3,12 @@
 import ipaddress
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vigilframe.functions import bands, coerce, geo, logtext, text
-from vigilframe.operators import importance, ingest, logs, narrative, summary, threats
+from vigilframe.operators import health, importance, ingest, logs, narrative, summary, threats
 from vigilframe.sources import readers
 
 AS_OF = "2024-01-01 01:00:00"
@@ -220,3 +221,18 @@ def test_ids_tell_events_apart(spark):
 def test_only_the_named_pulse_goes(spark):
     df = spark.createDataFrame([(" Sensor auto-pulse ok",), ("worm auto-pulse",), (None,)], "message string")
     assert [r[0] for r in ingest.drop_heartbeats(df, producer="sensor").collect()] == ["worm auto-pulse", None]
+
+
+def test_warning_numbers_are_rounded_as_in_sql(spark):
+    """90.35 lies just below the tie, 90.25 on it; the texts are those of the checking database."""
+    values = [90.35, 90.25, 90.15, 90.45, 99.95, 452.5, 451.5]
+    rows = [(n, f"h{n}", v, v, v, (v - 90) * 2, v + 1000, "online") for n, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "seq long, host string, cpu double, memory double, latency_ms double, disk_free_percent double, disk_free_gb double, status string")
+    got = health.health_warnings(df).select("seq", "host", F.array_join("warnings", " ").alias("warnings"))
+    host_metrics = df.toPandas()  # noqa: F841
+    from vigilframe import plans
+    con = duckdb.connect()
+    con.register("host_metrics", host_metrics)
+    body = plans.ORACLES["b42_health_warnings"].rsplit("FROM events\n)", 1)[1]
+    want = con.execute(body).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)

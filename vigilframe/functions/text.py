@@ -30,5 +30,17 @@ def hash_fraction(value: Column) -> Column:
     return F.coalesce(value.try_cast("double"), hash_bucket(value) / 1000)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """The number with so many decimals, rounded from its exact binary value, ties to even, as C's printf does.
+
+    ``format_string`` rounds the shortest decimal text half up instead: 90.35 (below the tie) becomes 90.4.
+    """
+    x = value.cast("double")
+    pattern = "0." + "0" * digits if digits else "0"
+    known = F.call_function("format_number", x, F.lit(pattern))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(x.isNotNull(), F.coalesce(odd, known))
+
+
 def percent(value: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", value)
+    return F.concat(fixed(value, digits), F.lit("%"))

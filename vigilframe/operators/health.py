@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.functions.text import fixed, percent
 from vigilframe.operators import ordering
 
 # Warning thresholds.
@@ -15,12 +16,12 @@ def health_warnings(df: DataFrame) -> DataFrame:
     """Adds ``warnings``, the messages that apply to a sample."""
     down = F.col("status") == "offline"
     checks = F.array(
-        F.when(F.col("cpu") >= WARN_CPU, F.format_string("High CPU load detected (%.1f%%).", "cpu")),
-        F.when(F.col("memory") >= WARN_MEMORY, F.format_string("Elevated memory utilisation (%.1f%%).", "memory")),
+        F.when(F.col("cpu") >= WARN_CPU, F.concat(F.lit("High CPU load detected ("), percent(F.col("cpu")), F.lit(")."))),
+        F.when(F.col("memory") >= WARN_MEMORY, F.concat(F.lit("Elevated memory utilisation ("), percent(F.col("memory")), F.lit(")."))),
         F.when(down, F.lit("Store connection lost.")).when(
-            F.col("latency_ms") > WARN_LATENCY_MS, F.format_string("Store latency elevated (%.0fms).", "latency_ms")),
+            F.col("latency_ms") > WARN_LATENCY_MS, F.concat(F.lit("Store latency elevated ("), fixed(F.col("latency_ms"), 0), F.lit("ms)."))),
         F.when(F.col("disk_free_percent") <= WARN_DISK_FREE,
-               F.format_string("Low disk space: %.1f%% free (%.1f GB).", "disk_free_percent", "disk_free_gb")),
+               F.concat(F.lit("Low disk space: "), percent(F.col("disk_free_percent")), F.lit(" free ("), fixed(F.col("disk_free_gb"), 1), F.lit(" GB)."))),
     )
     return df.withColumn("warnings", F.filter(checks, lambda m: m.isNotNull()))
 

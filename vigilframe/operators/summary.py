@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigilframe.functions import bands, coerce, geo
+from vigilframe.functions.text import percent
 from vigilframe.operators.threats import lookback, minute, resolve_as_of
 
 TOP = 10
@@ -146,7 +147,7 @@ def threat_table_from_summary(df: DataFrame, as_of: str | None, minutes: int) ->
         F.col("src_ip").alias("ip"),
         F.concat_ws(" ", F.coalesce("_proto", F.lit("Unknown")), F.coalesce("_port", F.lit("--"))).alias("threat_type"),
         F.round(weight * 100).cast("int").alias("confidence"),
-        F.concat(F.lit("Weight "), F.format_string("%.1f", weight * 100), F.lit("%")).alias("geo"),
+        F.concat(F.lit("Weight "), percent(weight * 100)).alias("geo"),
         bands.share_status(weight).alias("status"),
     ).orderBy(F.col("confidence").desc())
 
