@@ -93,3 +93,14 @@ def test_report_and_matrix(spark):
     assert cells == {(0, 0): 2, (0, 1): 0, (1, 0): 1, (1, 1): 1}
     rep = {r["class"]: r for r in evaluation.classification_report(df).collect()}
     assert rep["1"]["recall"] == 0.5 and rep["1"]["precision"] == 1.0 and rep["macro avg"]["support"] == 4
+
+
+def test_rows_of_cells_without_a_cut_stay_where_they_are(spark):
+    """Only the rows of the cells a cut runs through are sent: the others lie in the partitions they came in."""
+    df = spark.range(4000, numPartitions=4).selectExpr("id", "id % 2 AS cls").withColumn("was", F.spark_partition_id())
+    split = exact.stratified_split(df, "cls", ["id"]).withColumn("now", F.spark_partition_id())
+    rows = split.collect()
+    assert sum(r["now"] != r["was"] for r in rows) < 20
+    for cls in (0, 1):
+        first = sorted(range(cls, 4000, 2), key=lambda n: hashlib.md5(f"42|{n}".encode()).hexdigest())[:1600]
+        assert {r["id"] for r in rows if r["cls"] == cls and r["part"] == "train"} == set(first)
