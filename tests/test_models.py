@@ -24,6 +24,18 @@ def model(rows):
     return models.train_full_model(rows, FEATURES, maxIter=4)
 
 
+def test_training_rows_are_spread_evenly(spark, monkeypatch):
+    """However the input lies, no task of a fit holds more than its share."""
+    seen = []
+    fit = models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: seen.append(df) or fit(self, df))
+    lump = spark.range(20_000, numPartitions=1).selectExpr("CAST(id % 97 AS DOUBLE) AS a", "CAST(id % 89 AS DOUBLE) AS b", "CAST(id % 83 AS DOUBLE) AS c", "CAST(id % 2 AS INT) AS label")
+    monkeypatch.setattr(models, "spread", lambda df, columns, most=1000, wide=models.spread: wide(df, columns, most))
+    models.train_baseline(lump, FEATURES)
+    sizes = [n for n in seen[0].rdd.glom().map(len).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 1200
+
+
 def test_quality(rows, model):
     q = models.evaluate_holdout(models.score(model, rows)).first()
     assert q["accuracy"] > 0.85 and q["auc_roc"] > 0.9
