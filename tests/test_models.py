@@ -165,3 +165,23 @@ def test_event_text_is_built_once(spark, small):
 
     plan = plans.QUERIES["b8_extract_src_ip"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("get_json_object(props") <= 12
+
+
+def test_attribution_of_odd_values_in_batches(spark, rows, model):
+    """NULL, NaN and infinite values pass the tests that SQL says; the plan doesn't grow with the trees."""
+    nan, inf = float("nan"), float("inf")
+    odd = [(n, a, b, c) for n, (a, b, c) in enumerate([
+        (a, b, c) for a in (None, nan, -inf, 0.5) for b in (None, nan, inf, 0.3) for c in (None, nan, inf, -inf, 0.95)])]
+    df = spark.createDataFrame(odd, "k long, a double, b double, c double")
+    leaves = attribution.leaf_boxes(spark, model)
+    background = rows.orderBy("k").limit(20)
+    tables, _ = attribution.contributions(leaves, attribution.background_masks(background, leaves, FEATURES))
+    masks = {r["k"]: r["_masks"] for r in attribution.with_masks(df, leaves, FEATURES, ["k"]).collect()}
+    wide = attribution.explain_wide(df, background, model, FEATURES, ["k"])
+    for r in wide.collect():
+        for n, name in enumerate(FEATURES):
+            want = sum(float(t[n][m]) for t, m in zip(tables, masks[r["k"]]) if n in t)
+            assert r[f"phi_{name}"] == pytest.approx(want, abs=1e-12)
+        margin = sum(leaf.value for leaf, m in zip(leaves, masks[r["k"]]) if m == (1 << len(leaf.box)) - 1)
+        assert r["margin"] == pytest.approx(margin, abs=1e-12)
+    assert len(wide._jdf.queryExecution().optimizedPlan().toString()) < 20_000
