@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilframe.functions import bands, coerce, geo, logtext, text
-from vigilframe.operators import health, importance, ingest, logs, narrative, summary, threats
+from vigilframe.operators import flows, health, importance, ingest, logs, narrative, summary, threats
 from vigilframe.sources import readers
 
 AS_OF = "2024-01-01 01:00:00"
@@ -236,3 +236,14 @@ def test_warning_numbers_are_rounded_as_in_sql(spark):
     body = plans.ORACLES["b42_health_warnings"].rsplit("FROM events\n)", 1)[1]
     want = con.execute(body).fetchall()
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_rows_of_few_labels_stay_in_their_partitions(spark):
+    df = spark.range(0, 3_000_000, 1, 6).selectExpr("id", "IF(id % 7 = 0, NULL, CAST(id % 2 AS STRING)) AS t")
+    got = flows.label_encode(df, ["t"]).withColumn("p", F.spark_partition_id())
+    rows = {r["p"]: (r["n"], r["odd"], r["none"]) for r in got.groupBy("p").agg(
+        F.count("*").alias("n"), F.sum("t").alias("odd"), F.count_if(F.col("t").isNull()).alias("none")).collect()}
+    assert max(n for n, _, _ in rows.values()) == 500_000
+    assert sum(n for n, _, _ in rows.values()) == 3_000_000
+    assert sum(odd for _, odd, _ in rows.values()) == sum(1 for n in range(1, 3_000_000, 2) if n % 7)
+    assert sum(none for _, _, none in rows.values()) == len(range(0, 3_000_000, 7))

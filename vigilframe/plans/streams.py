@@ -43,7 +43,8 @@ def arriving_events(spark, sf):
     path, events = fresh_path(spark, "arriving"), views.table(spark, sf, "events")
 
     def arrive(part):
-        events.where(part).write.mode("append").parquet(path)
+        # Row groups of some ten thousand records: a batch of records decodes few others.
+        events.where(part).write.mode("append").option("parquet.block.size", 1 << 20).parquet(path)
 
     return path, arrive, events.select(*EVENT_FIELDS).schema
 

@@ -166,6 +166,9 @@ class EventReader(DataSourceStreamReader):
     """Admission needs the place reached so far, which Spark does not hand to a source: it is known
     from the last plan or commit, and after a restart from the file that commits leave in `progress`.
     From a place a plan always comes to the same end or a later one, so an old note does no harm.
+
+    A row group is decoded from its start up to the rows wanted, so files that are followed in small
+    micro-batches are best written with row groups of about the size of one.
     """
 
     def __init__(self, options, schema: T.StructType):
@@ -220,6 +223,8 @@ class EventReader(DataSourceStreamReader):
                 if at < partition.end and at + n > partition.start:
                     place = at
                     for batch in file.iter_batches(row_groups=[group], columns=self.schema.names):
+                        if place >= partition.end:  # the rest of the group belongs to later batches
+                            break
                         low, high = max(0, partition.start - place), min(batch.num_rows, partition.end - place)
                         place += batch.num_rows
                         if low < high:

@@ -49,25 +49,42 @@ class Backlog:
     """Records offered to a consumer and not yet processed by it, noted with each of its micro-batches.
 
     `offered` gives the records there are as a frame, which is counted; from Parquet files that
-    reads their footers only. A replayed batch overwrites its note.
+    reads their footers only, and not again before other files are there. A replayed batch overwrites its note.
     """
 
     def __init__(self, spark: SparkSession, path: str, offered):
         self.spark, self.path, self.offered = spark, path, offered
+        self.last = (-1, 0)  # newest note of this run; after a restart it is read
+        self.files, self.there = [], 0
+
+    def count_offered(self) -> int:
+        frame = self.offered()
+        files = sorted(frame.inputFiles())
+        if not files or files != self.files:  # no files: what else the frame reads may have grown
+            self.there, self.files = frame.count(), files
+        return self.there
 
     def processed(self, batch_id: int) -> int:
         if batch_id < 0:
             return 0
+        if batch_id == self.last[0]:
+            return self.last[1]
         return self.spark.read.schema(GAUGE).parquet(sinks.batch_path(self.path, batch_id)).first()["processed"]
 
     def noted(self, write: sinks.BatchWriter) -> sinks.BatchWriter:
         """A writer that also notes the gauge."""
 
         def run(df: DataFrame, batch_id: int) -> None:
-            write(df, batch_id)
-            offered, done = self.offered().count(), self.processed(batch_id - 1) + df.count()
-            self.spark.createDataFrame([(offered, done, offered - done)], GAUGE).coalesce(1).write.mode("overwrite").parquet(
-                sinks.batch_path(self.path, batch_id))
+            df = df.persist()  # the source is read once for both
+            try:
+                write(df, batch_id)
+                offered, done = self.count_offered(), self.processed(batch_id - 1) + df.count()
+            finally:
+                df.unpersist()
+            note = {"offered": offered, "processed": done, "backlog": offered - done}
+            self.spark.range(1, numPartitions=1).select(*[F.lit(v).cast("long").alias(c) for c, v in note.items()]).write.mode(
+                "overwrite").parquet(sinks.batch_path(self.path, batch_id))
+            self.last = (batch_id, done)
 
         return run
 
@@ -76,4 +93,4 @@ class Backlog:
 
     def now(self) -> int:
         """The backlog at this moment, also while the consumer stands still."""
-        return self.offered().count() - (self.history().agg(F.max("processed")).first()[0] or 0)
+        return self.count_offered() - (self.history().agg(F.max("processed")).first()[0] or 0)
