@@ -226,3 +226,33 @@ def test_backlog_rises_and_falls(spark):
     assert gauge.now() == 12  # the consumer stands still
     run()
     assert [tuple(r) for r in gauge.history().orderBy("batch_id").select("offered", "processed", "backlog").collect()] == [(10, 10, 0), (22, 15, 7), (22, 22, 0)]
+
+
+def test_backlog_reads_notes_and_footers_once(spark, monkeypatch):
+    """A batch costs no job for the note before it, nor for files that were counted."""
+    path, schema = fresh_path(spark, "offered"), spark.range(1).schema
+    spark.range(0, 10, numPartitions=1).write.parquet(path)
+    counted = []
+
+    class Offered:
+        def __init__(self):
+            self.frame = spark.read.schema(schema).parquet(path)
+
+        def inputFiles(self):
+            return self.frame.inputFiles()
+
+        def count(self):
+            counted.append(1)
+            return self.frame.count()
+
+    gauge = gauges.Backlog(spark, fresh_path(spark, "gauge"), Offered)
+    note = gauge.noted(lambda df, batch_id: None)
+    for n in range(3):
+        note(spark.range(n * 2, n * 2 + 2), n)
+    note(spark.range(4, 6), 2)  # a replay
+    assert len(counted) == 1 and gauge.now() == 4
+    again = gauges.Backlog(spark, gauge.path, Offered)  # after a restart
+    spark.range(10, 15, numPartitions=1).write.mode("append").parquet(path)
+    again.noted(lambda df, batch_id: None)(spark.range(6, 7), 3)
+    assert [tuple(r) for r in again.history().orderBy("batch_id").select("offered", "processed", "backlog").collect()] == [
+        (10, 2, 8), (10, 4, 6), (10, 6, 4), (15, 7, 8)]
