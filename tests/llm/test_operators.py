@@ -578,3 +578,25 @@ def test_contained_excerpts_never_score_zero():
     assert errors and max(errors) == 0 and 0.18 < unknown / 300 < 0.38
     none = sketch.sketch(long[:0], 16, 32)
     assert sketch.likeness(none, none) == (1, 1) and sketch.likeness(none, whole) == (0, 0) and sketch.likeness(whole, none) == (0, 0)
+
+
+def test_texts_are_taken_up_in_slices(spark):
+    """What a task makes of texts at once doesn't follow the size of Spark's batches."""
+    from types import SimpleNamespace
+
+    class Bounded:  # stands for the flags of wanted documents, and for the models
+        def __getitem__(self, slots):
+            assert len(slots) <= 1024
+            return np.ones(len(slots), bool)
+
+        def scores(self, texts, memo=None):
+            assert len(texts) <= 1024
+            return [("en", 0.5)] * len(texts) if memo is None else np.full(len(texts), 0.5)
+
+        lexicon = SimpleNamespace(memo=dict)
+
+    local = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda model: SimpleNamespace(value=model)))
+    docs = spark.range(5000).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and the number "), "id").alias("text"))
+    assert signature_join.wanted_sets(docs, SimpleNamespace(value=Bounded()), 5).count() == 5000
+    assert docs.select(language.predicted(F.col("text"), Bounded(), local).alias("p")).where("p.score = 0.5").count() == 5000
+    assert docs.select(toxicity.score_of(F.col("text"), Bounded(), local).alias("s")).where("s = 0.5").count() == 5000

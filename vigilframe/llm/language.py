@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.words import PART, counter_rows, packed, scatter, summed_counts, unpacked
+from vigilframe.llm.words import PART, counter_rows, packed, scatter, slices, summed_counts, unpacked
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -97,7 +97,7 @@ def learnt(docs: DataFrame, per_lang: int = 4000, smoothing: float = 0.1) -> Mod
 
     def count(batches):
         tables, rows, pid = {}, {}, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 table = tables.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 table += np.bincount(grams(text), minlength=BUCKETS)
@@ -131,7 +131,7 @@ def predicted(text: Column, model: Model, spark) -> Column:
 
     @F.arrow_udf(OUT)
     def guess(column: pa.Array) -> pa.Array:
-        answers = list(sent.value.scores(column.to_pylist()))
+        answers = [a for part in slices([column]) for a in sent.value.scores(part.to_pylist())]
         return pa.StructArray.from_arrays(
             [pa.array([a for a, _ in answers], pa.string()), pa.array([b for _, b in answers], pa.float64())],
             names=["lang_pred", "score"])

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from vigilframe.llm.components import components
 from vigilframe.llm.words import (
-    PART, STEP, byte_texts, counter_rows, scatter, settle, shingle_set, summed_counts, unpacked, word_hashes, word_memo,
+    PART, STEP, byte_texts, counter_rows, scatter, settle, shingle_set, slices, summed_counts, unpacked, word_hashes, word_memo,
 )
 from vigilframe.session import fresh_path
 
@@ -40,7 +40,6 @@ BITS = 2048  # bitmap of a tree node
 LEAF, FAN = 16, 8
 BLOCK_CLASSES, BLOCK_TOKENS = 1024, 1 << 20
 MOST_SENT = 200_000  # classes a task remembers having sent
-FLUSH = 4096  # documents or rows in one batch to Spark
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -211,7 +210,7 @@ def shingled(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                               names=["doc_id", "n_shingles", "cls", "part", "pid", "counts"])
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
                 tokens = shingle_set(word_hashes(text.lower(), memo), width)
@@ -239,7 +238,7 @@ def prefixes(docs: DataFrame, counts, width: int, num: int, den: int) -> DataFra
 
     def run(batches):
         memo, table = word_memo(), counts.value
-        for batch in batches:
+        for batch in slices(batches):
             tokens, classes, needs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for text in byte_texts(batch.column(0)):
                 found = shingle_set(word_hashes(text.lower(), memo), width)
@@ -277,18 +276,17 @@ def wanted_sets(docs: DataFrame, flags, width: int) -> DataFrame:
 
     def run(batches):
         memo, table, sent = word_memo(), flags.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             slots = batch.column(0).to_numpy(zero_copy_only=False)
-            picked = batch.filter(pa.array(table[slots]))
-            for at in range(0, max(1, picked.num_rows), FLUSH):
-                sets = [shingle_set(word_hashes(t.lower(), memo), width) for t in byte_texts(picked.column(1).slice(at, FLUSH))]
-                fresh = {c: s for s in sets if len(s) and (c := set_hash(s)) not in sent}
-                if len(sent) > MOST_SENT:
-                    sent.clear()
-                sent.update(fresh)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(fresh), pa.int64()), pa.array([s.tobytes() for s in fresh.values()], pa.binary())],
-                    names=["cls", "tokens"])
+            picked = batch.column(1).filter(pa.array(table[slots]))
+            sets = [shingle_set(word_hashes(t.lower(), memo), width) for t in byte_texts(picked)]
+            fresh = {c: s for s in sets if len(s) and (c := set_hash(s)) not in sent}
+            if len(sent) > MOST_SENT:
+                sent.clear()
+            sent.update(fresh)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(fresh), pa.int64()), pa.array([s.tobytes() for s in fresh.values()], pa.binary())],
+                names=["cls", "tokens"])
 
     # Both parts of the aggregate combine; its shuffle is the one the join by class needs anyway.
     return docs.select(slot, "text").mapInArrow(run, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
@@ -396,13 +394,13 @@ def linked_documents(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
 def with_class(docs: DataFrame, width: int) -> DataFrame:
     """docs with __cls and __spread. Rows without words have no class, but a number of their own in __spread.
 
-    Of the rows of an Arrow batch with one id and class only the last by text stays.
+    Of the rows of a slice of a batch with one id and class only the last by text stays.
     """
     names = docs.columns
 
     def run(batches):
         memo, n, pid = word_memo(), 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(names.index("text"))
             ids = batch.column(len(names)).to_pylist()
             classes, spread, best = [], [], {}

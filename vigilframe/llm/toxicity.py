@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.words import Memo, settle
+from vigilframe.llm.words import Memo, settle, slices
 
 STEMS = (4, 5, 6)  # letters of a stem
 WINDOW = 6  # words on either side of a hit
@@ -190,7 +190,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
     """(term, toxic, clean): how many toxic and clean documents hold each word and stem."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             terms, flags = [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = {bare(c) for c in text.split()} - {""}
@@ -250,7 +250,7 @@ def learnt(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Model
 
     def features(batches):
         memos = [h.memo() for h in halves]
-        for batch in batches:
+        for batch in slices(batches):
             text, toxic, half = (batch.column(i).to_pylist() for i in range(3))
             values = [halves[bool(h) * 1].features([t], memos[bool(h) * 1])[0].tolist() for t, h in zip(text, half)]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), pa.array([float(t) for t in toxic])],
@@ -272,7 +272,8 @@ def score_of(text: Column, model: Model, spark) -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         global_memo = MEMOS.get(sent.value)
-        return pa.array(sent.value.scores(column.to_pylist(), global_memo), pa.float64())
+        found = [sent.value.scores(part.to_pylist(), global_memo) for part in slices([column])]
+        return pa.array(np.concatenate([np.empty(0), *found]), pa.float64())
 
     return score.asNondeterministic()(text)  # else a filter on the score would run it twice
 
