@@ -256,3 +256,20 @@ def test_backlog_reads_notes_and_footers_once(spark, monkeypatch):
     again.noted(lambda df, batch_id: None)(spark.range(6, 7), 3)
     assert [tuple(r) for r in again.history().orderBy("batch_id").select("offered", "processed", "backlog").collect()] == [
         (10, 2, 8), (10, 4, 6), (10, 6, 4), (15, 7, 8)]
+
+
+def test_backlog_of_a_change_log_costs_one_job_a_batch(spark):
+    """Rows are counted as they are written, and the note is no job; empty and replayed batches are as others."""
+    path, schema = fresh_path(spark, "offered"), spark.range(1).schema
+    spark.range(0, 10, numPartitions=1).write.parquet(path)
+    gauge = gauges.Backlog(spark, fresh_path(spark, "gauge"), lambda: spark.read.schema(schema).parquet(path))
+    note = gauge.noted(sinks.changelog(fresh_path(spark, "out")), once=True)
+    note(spark.range(0, 3, numPartitions=2), 0)  # counts what is offered
+    spark.sparkContext.setJobGroup("one batch", "")
+    note(spark.range(3, 7, numPartitions=3), 1)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("one batch")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    note(spark.range(3, 7, numPartitions=3), 1)
+    note(spark.range(0, numPartitions=1), 2)
+    assert [tuple(r) for r in gauge.history().orderBy("batch_id").select("offered", "processed", "backlog").collect()] == [(10, 3, 7), (10, 7, 3), (10, 7, 3)]

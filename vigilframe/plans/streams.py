@@ -235,7 +235,7 @@ def stream_backlog(spark, sf):
     for part in (EARLY, f"NOT ({EARLY})"):
         arrive(part)
         stream = following.follow_events(spark, folder, schema, rows_per_batch=ROWS_PER_BATCH, progress=place)
-        sinks.follow(stream, gauge.noted(sinks.changelog(out)), checkpoint=state)
+        sinks.follow(stream, gauge.noted(sinks.changelog(out), once=True), checkpoint=state)
     return gauge.history().drop("batch_id")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilframe.operators import threats
+from vigilframe.sources.following import opened
 from vigilframe.streaming import sinks
 from vigilframe.streaming.jobs import with_event_time
 
@@ -49,7 +52,8 @@ class Backlog:
     """Records offered to a consumer and not yet processed by it, noted with each of its micro-batches.
 
     `offered` gives the records there are as a frame, which is counted; from Parquet files that
-    reads their footers only, and not again before other files are there. A replayed batch overwrites its note.
+    reads their footers only, and not again before other files are there. A replayed batch overwrites its note,
+    a small file that the driver writes: `path` has to be one that it reaches.
     """
 
     def __init__(self, spark: SparkSession, path: str, offered):
@@ -71,23 +75,40 @@ class Backlog:
             return self.last[1]
         return self.spark.read.schema(GAUGE).parquet(sinks.batch_path(self.path, batch_id)).first()["processed"]
 
-    def noted(self, write: sinks.BatchWriter) -> sinks.BatchWriter:
-        """A writer that also notes the gauge."""
+    def noted(self, write: sinks.BatchWriter, once: bool = False) -> sinks.BatchWriter:
+        """A writer that also notes the gauge.
+
+        `once`: the write reads the whole batch in a single action without a shuffle, as a change
+        log does, so that rows are counted as they pass and the batch costs no other job. Without
+        it the batch is held and counted apart, whatever the write does with it.
+        """
 
         def run(df: DataFrame, batch_id: int) -> None:
-            df = df.persist()  # the source is read once for both
-            try:
-                write(df, batch_id)
-                offered, done = self.count_offered(), self.processed(batch_id - 1) + df.count()
-            finally:
-                df.unpersist()
-            note = {"offered": offered, "processed": done, "backlog": offered - done}
-            self.spark.range(1, numPartitions=1).select(*[F.lit(v).cast("long").alias(c) for c, v in note.items()]).write.mode(
-                "overwrite").parquet(sinks.batch_path(self.path, batch_id))
+            if once:
+                seen = Observation()
+                write(df.observe(seen, F.count(F.lit(1)).alias("n")), batch_id)
+                n = seen.get["n"]
+            else:
+                df = df.persist()  # the source is read once for both
+                try:
+                    write(df, batch_id)
+                    n = df.count()
+                finally:
+                    df.unpersist()
+            offered, done = self.count_offered(), self.processed(batch_id - 1) + n
+            self.keep({"offered": offered, "processed": done, "backlog": offered - done}, batch_id)
             self.last = (batch_id, done)
 
         return run
 
+    def keep(self, note: dict[str, int], batch_id: int) -> None:
+        """The note's folder holds one file, which is there as a whole or not at all."""
+        fs, folder = opened(sinks.batch_path(self.path, batch_id))
+        fs.create_dir(folder)
+        fs.delete_dir_contents(folder)
+        pq.write_table(pa.table({c: pa.array([v], pa.int64()) for c, v in note.items()}), f"{folder}/.note", filesystem=fs)
+        fs.move(f"{folder}/.note", f"{folder}/note.parquet")
+
     def history(self) -> DataFrame:
         return sinks.read_changelog(self.spark, self.path, T._parse_datatype_string(GAUGE))
 
