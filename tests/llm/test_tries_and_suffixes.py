@@ -207,3 +207,15 @@ def test_dedup_on_the_given_documents(spark, small):
     want = {r.doc_id: b for r, b in zip(rows, brute_dedup([(r.text or "").encode() for r in rows], 400))}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(docs).collect()}
     assert got == want
+
+
+def test_digests_that_end_in_zero_bytes(spark):
+    """A text is found by its whole digest, also where that ends in a zero byte."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=9))
+    passage = " ".join(word() for _ in range(60))
+    while not suffix_dedup.digest_of((text := f"{word()} {passage} {word()}").encode()).endswith(b"\0"):
+        pass
+    docs = spark.createDataFrame([(1, text), (2, f"{word()} {passage} {word()}")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.deduplicated(docs).collect()}
+    assert got == {1: (len(passage) + 2, 1), 2: (len(passage) + 2, 1)}
