@@ -109,3 +109,30 @@ def test_cross_validation(rows):
     assert [r["fold"] for r in folds] == [0, 1, 2, 3] and all(0.5 < r["accuracy"] <= 1 and 0.5 < r["auc_roc"] <= 1 for r in folds)
     summary = evaluation.cv_summary(rows.sparkSession.createDataFrame(folds), ["accuracy", "auc_roc"]).first()
     assert summary["accuracy_mean"] == pytest.approx(np.mean([r["accuracy"] for r in folds]))
+
+
+def test_passes_read_blocks_of_rows(rows):
+    edges = boosting.bin_edges(rows, FEATURES)
+    data = boosting.binned(rows, FEATURES, edges, "label", ["k"], F.col("k") % 3)
+    blocks = data.collect()
+    assert len(blocks) == 5 and sum(len(b["bins"]) for b in blocks) == 1000 * len(FEATURES)
+    assert sorted(h for b in blocks for h in np.frombuffer(b["h"], np.int64)) == sorted(r["h"] for r in rows.select(F.xxhash64("k").alias("h")).collect())
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
+def test_places_by_codes_are_those_of_the_tests(depth):
+    draw, inner = np.random.default_rng(depth), (1 << depth) - 1
+    bins = draw.integers(0, boosting.BINS, (4, 500))
+    for _ in range(20):
+        tree = boosting.Tree(draw.integers(-1, 4, inner), draw.integers(0, boosting.BINS, inner), draw.normal(size=1 << depth), np.arange(4))
+        for levels in range(depth + 1):
+            codes, place = tree.places(bins, levels)
+            assert (place[codes] == tree.walk(bins, levels)).all()
+
+
+def test_folds_are_scored_by_the_models_without_them(rows):
+    folded = rows.withColumn("fold", (F.col("k") % 3).cast("int"))
+    by_part = boosting.train(folded, FEATURES, key=["k"], settings=SETTINGS, part=F.col("fold"), parts=range(3))
+    want = [r for n, model in enumerate(by_part) for r in boosting.score(model, folded.where(F.col("fold") == n)).select("fold", "label", "score", "prediction").collect()]
+    got = boosting.cross_scored(folded, FEATURES, "fold", 3, ["k"], SETTINGS).select("fold", "label", "score", "prediction").collect()
+    assert sorted(got) == sorted(want)
