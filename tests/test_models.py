@@ -110,6 +110,15 @@ def test_learning_queries_read_all_flows(spark, small, monkeypatch):
     assert {r["name"]: r["score"] for r in plans.QUERIES["d19_mean_abs_attribution"](spark, small).collect()} == pytest.approx(mean)
 
 
+def test_explaining_the_sample_sorts_no_other_rows(spark, small):
+    from vigilframe.plans import learning
+
+    assert learning.background(spark, small).count() == 512
+    sample = learning.background(spark, small)
+    plan = attribution.explain_rows(sample, sample, learning.trained(spark, small, "full"), learning.FEATURES, ["flow_key"])
+    assert "rangepartitioning" not in plan._jdf.queryExecution().toString()
+
+
 @pytest.fixture(scope="module")
 def three(spark, small):
     """The scored test rows of the three kinds of models on the small flows."""
