@@ -110,6 +110,15 @@ def test_learning_queries_read_all_flows(spark, small, monkeypatch):
     assert {r["name"]: r["score"] for r in plans.QUERIES["d19_mean_abs_attribution"](spark, small).collect()} == pytest.approx(mean)
 
 
+def test_margins_need_no_shuffle_of_rows(spark, rows, model):
+    got = attribution.leaf_margins(rows, model, ["k"])
+    members = attribution.leaf_membership(rows, model, ["k"])
+    values = attribution.leaf_values(spark, attribution.leaf_boxes(spark, model))
+    want = {r["k"]: r["m"] for r in members.join(values, ["tree", "leaf"]).groupBy("k").agg(F.sum("value").alias("m")).collect()}
+    assert {r["k"]: r["margin"] for r in got.collect()} == pytest.approx(want, abs=1e-12)
+    assert "hashpartitioning(k" not in got._jdf.queryExecution().toString()
+
+
 def test_explaining_the_sample_sorts_no_other_rows(spark, small):
     from vigilframe.plans import learning
 
