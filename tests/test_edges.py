@@ -247,3 +247,12 @@ def test_rows_of_few_labels_stay_in_their_partitions(spark):
     assert sum(n for n, _, _ in rows.values()) == 3_000_000
     assert sum(odd for _, odd, _ in rows.values()) == sum(1 for n in range(1, 3_000_000, 2) if n % 7)
     assert sum(none for _, _, none in rows.values()) == len(range(0, 3_000_000, 7))
+
+
+def test_preparation_reads_its_rows_once(spark):
+    """Filled columns have no gaps left, so no means are looked for; values and types are as with them."""
+    rows = spark.createDataFrame(
+        [("a", float("nan"), 7, "BENIGN"), ("b", float("inf"), None, "Bot"), ("c", 4e9, 1, None), ("c", 4e9, 1, None), ("d", -0.5, 2, "x")], "k string, x double, n int, l string")
+    got = flows.preprocess(rows, "l", ["x", "n"])
+    assert sorted(got.collect()) == [("a", 0.0, 7.0, "BENIGN", 0), ("b", 0.0, 0.0, "Bot", 1), ("c", 1e9, 1.0, None, 1), ("d", -0.5, 2.0, "x", 1)]
+    assert dict(got.dtypes)["n"] == "double" and "subquery" not in got._jdf.queryExecution().optimizedPlan().toString()
