@@ -102,6 +102,15 @@ def test_records_come_in_batches_of_rows(spark, tmp_path):
     assert [r["seq"] for r in rows] == list(range(44)) and rows[40]["name"] == "e40"
 
 
+def test_a_batch_leaves_its_records_and_no_mark(spark, tmp_path):
+    folder, out = str(tmp_path / "events"), str(tmp_path / "out")
+    put(folder, "a.parquet", 0, 25, age=50)
+    schema = spark.createDataFrame([], EVENTS).schema
+    sinks.follow(following.follow_events(spark, folder, schema, rows_per_batch=10), sinks.changelog(out))
+    assert batches(spark, out) == [10, 10, 5]
+    assert not [n for _, _, names in os.walk(out) for n in names if "_SUCCESS" in n]
+
+
 def test_a_restart_without_a_note_finds_its_place(spark, tmp_path):
     folder, out, state = str(tmp_path / "events"), fresh_path(spark, "unnoted"), fresh_path(spark, "unnoted-state")
     put(folder, "a.parquet", 0, 25, age=50)
