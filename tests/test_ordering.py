@@ -61,6 +61,15 @@ def test_decayed_sum(frame, events, keys, levels):
             assert got[s] == pytest.approx(state, abs=1e-9)
 
 
+def test_segments_and_index_are_worked_out_once(spark, frame):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    flat, deep = (plan(ordering.decayed_sum(frame, ["key"], "seq", "v", "s", levels)) for levels in (0, 1))
+    assert deep.count("collect_list") == flat.count("collect_list") > 0
+    rows = frame.selectExpr("seq", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, seq) AS ts", "key AS src_ip", "IF(v > 30, 'ALERT', 'INFO') AS severity")
+    jumps = threats.level_jumps(rows)
+    assert jumps.count() > 0 and "collect_list" not in plan(jumps)
+
+
 def test_decayed_sum_last(frame, events):
     got = {r["key"]: r["s"] for r in ordering.decayed_sum_last(frame, ["key"], "seq", F.col("v"), "s").collect()}
     for key, items in by_key(events).items():

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vigilframe.session import fresh_path
+from vigilframe.session import fresh_path, written
 
 SEG, PARENT = "_seg", "_parent"
 
@@ -117,6 +117,8 @@ def _decay_carry(parts: DataFrame, keys: Sequence[str], levels: int, fan: int =
     )
     if not levels:
         return parts.select(*keys, SEG, F.col("_local").alias("_carry"))
+    # Written once: the parents are made of them, and join them.
+    parts = written(parts.select(*keys, SEG, PARENT, "_rows", "_end", "_before", "_local"), "parts")
     own_end = F.col("_end") + F.col("_local") * F.pow(F.lit(0.5), F.col("_rows"))
     parents = (
         parts.groupBy(*keys, PARENT)

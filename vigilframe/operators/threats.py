@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from vigilframe.functions import bands, coerce, geo
 from vigilframe.operators import ordering
+from vigilframe.session import written
 
 EMA_GAIN = 10.0  # half of weight times 20
 
@@ -158,7 +159,8 @@ def level_jumps(df: DataFrame) -> DataFrame:
 
     The level before the first sample is 0.
     """
-    index = threat_index_per_source(df)
+    # Written once: the rows and the ends of their segments would each work out the index anew.
+    index = written(threat_index_per_source(df), "index")
     lagged = ordering.lag_by_key(index, ["src_ip"], "seq", "threat_index", "previous")
     change = F.round(F.col("threat_index") - F.coalesce("previous", F.lit(0.0)), 6)
     return (
