@@ -24,7 +24,7 @@ def batch_path(path: str, batch_id: int) -> str:
 
 def changelog(path: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> BatchWriter:
     def write(df: DataFrame, batch_id: int) -> None:
-        # The checkpoint tells which batches are whole, so a folder needs no mark of it; writing one takes a tenth of a small batch.
+        # The checkpoint tells which batches are whole, so a folder needs no mark of it.
         out = transform(df).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", False)
         out.parquet(batch_path(path, batch_id))
 
