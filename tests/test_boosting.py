@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from vigilframe.operators import boosting, evaluation, models
@@ -136,3 +137,68 @@ def test_folds_are_scored_by_the_models_without_them(rows):
     want = [r for n, model in enumerate(by_part) for r in boosting.score(model, folded.where(F.col("fold") == n)).select("fold", "label", "score", "prediction").collect()]
     got = boosting.cross_scored(folded, FEATURES, "fold", 3, ["k"], SETTINGS).select("fold", "label", "score", "prediction").collect()
     assert sorted(got) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def coarse(spark):
+    """Features of few values, so that all their thresholds are tried."""
+    x = lambda m, n: ((F.col("id") * m) % n).cast("double")
+    df = spark.range(3000).select(
+        F.col("id").alias("k"), x(7, 29).alias("a"), x(13, 23).alias("b"), x(29, 5).alias("c"), x(31, 19).alias("d"))
+    hit = (F.col("a") > 15) & (F.col("b") < 12) | (F.col("c") == 3) & (F.col("d") > 4)
+    return df.withColumn("label", (hit != (F.xxhash64("k") % 9 == 0)).cast("int")).repartition(5).cache()
+
+
+def shape(model):
+    """Features, thresholds, gains and leaves of all trees, in order, and the trees' weights."""
+    def of(node):
+        if "LeafNode" in node.getClass().getName():
+            return [node.prediction()]
+        split = node.split()
+        return [split.featureIndex(), split.threshold(), node.gain(), node.impurity(), *of(node.leftChild()), *of(node.rightChild())]
+
+    last = model.stages[-1]
+    return list(last.treeWeights), [of(t._call_java("rootNode")) for t in last.trees]
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_full_model_has_the_trees_of_spark(coarse, depth):
+    """With all rows and columns used, nothing is drawn: the model is that of Spark's own fit."""
+    whole = {"maxIter": 4, "maxDepth": depth, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "stepSize": 0.3}
+    got = models.train_full_model(coarse, FEATURES, **whole)
+    want = models._pipeline(GBTClassifier(labelCol="label", seed=models.SEED, **whole), FEATURES).fit(coarse.orderBy("k").repartition(3))
+    (weights, trees), (true_weights, true_trees) = shape(got), shape(want)
+    assert weights == true_weights
+    for one, other in zip(trees, true_trees, strict=True):
+        assert one == pytest.approx(other, abs=1e-9)
+    score = lambda model: [(r["prediction"], round(r["score"], 12)) for r in models.score(model, coarse).orderBy("k").collect()]
+    assert score(got) == score(want)
+    assert got.stages[-1].featureImportances.toArray() == pytest.approx(want.stages[-1].featureImportances.toArray())
+
+
+def test_full_model_is_grown_on_blocks(coarse, monkeypatch):
+    """No row is kept as an object: a pass reads blocks, a task one after another."""
+    seen, grown = [], boosting.grown
+    monkeypatch.setattr(boosting, "grown", lambda data, *more: seen.append(data) or grown(data, *more))
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: pytest.fail("Spark's fit caches each row"))
+    model = models.train_full_model(coarse, FEATURES)
+    assert sum(len(b["label"]) // 4 for b in seen[0].collect()) == 3000 and seen[0].count() < 20
+    columns = [len({x.split().featureIndex() for x in [t._call_java("rootNode")]}) for t in model.stages[-1].trees]
+    assert len(columns) == models.FULL["maxIter"] == len(model.stages[-1].trees)
+    again = models.train_full_model(coarse, FEATURES)
+    assert shape(again) == shape(model)  # rows are drawn alike from the same input
+
+
+def test_thresholds_lie_midway():
+    values = np.arange(100.0)
+    cuts = boosting.thresholds(values, np.ones(100, int), 4)
+    assert cuts.tolist() == [24.5, 49.5, 74.5]
+    assert boosting.thresholds(np.array([1.0, 3.0, 9.0]), np.array([1, 990, 1]), 32).tolist() == [2.0, 6.0]
+    assert boosting.thresholds(np.array([5.0]), np.array([7]), 32).tolist() == boosting.thresholds(np.array([]), np.array([], int), 32).tolist() == []
+
+
+def test_full_model_refuses_odd_rows_as_spark_does(coarse):
+    for column, odd, why in (("label", F.lit(None).cast("int"), "labels must"), ("label", F.lit(2), "labels must"),
+                             ("a", F.lit(float("nan")), "features must"), ("b", F.lit(None).cast("double"), "features must")):
+        with pytest.raises(Exception, match=why):
+            models.train_full_model(coarse.withColumn(column, F.when(F.col("k") == 5, odd).otherwise(F.col(column))), FEATURES)
