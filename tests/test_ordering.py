@@ -118,6 +118,21 @@ def test_suppression_where_time_runs_back(spark, monkeypatch):
     assert labels.count("ends") + labels.count("redone") <= 16
 
 
+@pytest.mark.parametrize("hot", [0.0, 0.4])
+def test_states_of_many_sources_are_handed_on_seldom(spark, monkeypatch, hot):
+    """Many sources are heard at once: a segment takes as many rows as it may, not a few of each sequence span."""
+    rng = random.Random(8)
+    rows = [(seq, "hot" if rng.random() < hot else f"s{rng.randrange(900)}", rng.choice(["info", "critical"]), rng.choice("xyz"), seq * 40) for seq in range(12_000)]
+    df = spark.createDataFrame(rows, "seq bigint, src_ip string, level string, identity string, ms bigint")
+    paths, fresh = [], ordering.fresh_path
+    monkeypatch.setattr(ordering, "fresh_path", lambda s, label: paths.append((label, fresh(s, label))) or paths[-1][1])
+    got = ordering.accept_in_order(df, ["src_ip"], "seq", threats.suppression_rule, width=800, lanes=8)
+    assert {r["seq"] for r in got.collect()} == replay_suppression(rows)
+    label, path = next(p for p in paths if p[0] == "ends")
+    per_lane = [r["n"] for r in spark.read.parquet(path).groupBy(ordering.LANE).agg(F.count("*").alias("n")).collect()]
+    assert min(per_lane) <= 4 and max(per_lane) <= (15 if hot else 4)  # 15 each, when a span of 800 numbers was a segment
+
+
 def test_signals_where_time_runs_back(spark):
     rng = random.Random(6)
     rows = [(seq, rng.choice("ab"), rng.choice(["up", "down"]), seq % 100 * 700 + rng.randrange(2000)) for seq in range(600)]

@@ -187,8 +187,9 @@ def accept_in_order(
     """Rows a sequential rule accepts, where each decision depends on earlier acceptances.
 
     Keys are dealt into ``lanes`` by hash, and a lane is cut into segments of at most
-    ``width`` rows, so a hot key is split like any other. All segments run at once from an
-    empty start state; then only those whose true start state (the end state of the segment
+    ``width`` rows, so a hot key is split like any other. A segment takes as many sequence
+    numbers as that allows: its state, which holds all sources heard of late, is handed on once
+    for that many rows. All segments run at once from an empty start state; then only those whose true start state (the end state of the segment
     before) turns out different run again. Rules that forget after a while settle in two or
     three rounds. Lanes that don't settle in ``rounds``, or whose time runs back by a segment
     or more so that nothing is forgotten, are read key by key in order instead. The result
@@ -241,15 +242,18 @@ def accept_in_order(
         return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(run, schema)
 
     over_lane = Window.partitionBy(LANE).orderBy(SEG)
-    least = base.groupBy(*group).agg(F.min(clock).alias("_least"))
-    spans = written(least.withColumn("_later", F.min("_least").over(over_lane.rowsBetween(1, Window.unboundedFollowing))), "spans")
+    later = F.min("_least").over(over_lane.rowsBetween(1, Window.unboundedFollowing))
+    spans = written(base.groupBy(*group).agg(F.min(clock).alias("_least"), F.count("*").alias("_rows")).withColumn("_later", later), "spans")
     runs_back = F.coalesce(F.bool_or(F.col("_later") < F.col("_least")), F.lit(False))
-    found = spans.groupBy(LANE).agg(runs_back.alias("back")).collect()  # at most one row a lane
+    found = spans.groupBy(LANE).agg(runs_back.alias("back"), F.max("_rows").alias("most")).collect()  # at most one row a lane
     back, forward = ({r[LANE] for r in found if r["back"] == b} for b in (True, False))
     accepted = spark.createDataFrame([], mask_schema)
     if forward:
-        rows = base.where(F.col(LANE).isin(forward))
-        spans = spans.where(F.col(LANE).isin(forward)).select(*group, "_later")
+        fits = {r[LANE]: max(1, width // r["most"]) for r in found}
+        wider = F.expr(f"{SEG} div element_at(array({', '.join(str(fits.get(n, 1)) for n in range(lanes))}), {LANE} + 1)")
+        rows = base.where(F.col(LANE).isin(forward)).withColumn(SEG, wider)
+        spans = spans.where(F.col(LANE).isin(forward)).withColumn(SEG, wider).groupBy(*group).agg(F.min("_least").alias("_least"))
+        spans = written(spans.withColumn("_later", later).select(*group, "_later"), "spans")
         ends = written(per_segment(rows, spans.withColumn("_start", F.lit("{}")), finish, end_schema), "ends")
         for turn in range(rounds + 1):
             true_start = ends.select(
